@@ -18,11 +18,11 @@ def month_spine(facts: DataFrame, day: str):
 
     The first entry is the first fact day itself, which need not be the 1st.
     """
-    bounds = facts.agg(F.struct(F.min(day).alias("a"), F.max(day).alias("b")).alias("s")).scalar()
+    bounds = facts.agg(F.min(day).alias("a"), F.max(day).alias("b"))
     months = F.sequence(
-        F.trunc(bounds["a"], "month"), F.trunc(bounds["b"], "month"), F.expr("interval 1 month")
+        F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month")
     )
-    return F.transform(months, lambda m: F.greatest(m, bounds["a"]))
+    return bounds.select(F.transform(months, lambda m: F.greatest(m, F.col("a")))).scalar()
 
 
 def active_months(sessions: DataFrame, actor: str, day: str) -> DataFrame:

@@ -8,17 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import (
-    count_where,
-    fiscal_quarter,
-    fiscal_year,
-    is_sensitive,
-    ratio,
-    sum_where,
-    year_month,
-)
-from ..functions.policy import is_mandatory
-from .governance import governance_screen
+from ..functions.exprs import count_where, is_sensitive, ratio, sum_where, year_month
+from ..session import cut_lineage
+from .governance import daily_outputs, daily_sessions, screen_from_daily
 from .percentiles import exact_percentiles
 
 # Rule name, category, threshold, comparison, severity, owner.
@@ -126,21 +118,36 @@ def monthly_cost_change(sessions: DataFrame, seats: DataFrame, runs: DataFrame)
 
 
 def rule_values(star: Star) -> DataFrame:
-    """Current value and affected count of every rule, one row each."""
-    sessions, outputs = star.sessions, star.outputs
-    as_at = sessions.agg(F.max("activity_date")).scalar()
-    failed = F.col("status") != "Success"
+    """Current value and affected count of every rule, one row each.
+
+    Sessions and outputs are read once each into daily counts, which answer most
+    rules; only the percentile rules go back to the rows of a recent period.
+    """
+    days = cut_lineage(daily_sessions(star.sessions))
+    produced = cut_lineage(daily_outputs(star.outputs))
+    seats = cut_lineage(
+        star.seats.groupBy("tool_id", "month").agg(
+            F.count(F.lit(1)).alias("seats"),
+            count_where(~F.col("used_in_month")).alias("idle"),
+            F.sum("licence_cost").alias("licence_cost"),
+        )
+    )
+    as_at = days.agg(F.max("activity_date")).scalar()
     one = F.count(F.lit(1))
+    total = F.sum
 
-    last_day = sessions.where(F.col("activity_date") == as_at)
-    slow = exact_percentiles(last_day.where(~failed), ["tool_id"], "latency_ms", {"p95": 0.95})
+    ok_last_day = star.sessions.where(
+        (F.col("activity_date") == as_at) & (F.col("status") == "Success")
+    )
+    slow = exact_percentiles(ok_last_day, ["tool_id"], "latency_ms", {"p95": 0.95})
+    last_day = days.where(F.col("activity_date") == as_at)
     recent_health = star.health.where(F.col("run_date") > F.date_sub(as_at, 30))
     source_rate = (
         star.health.where(F.col("run_date") > F.date_sub(as_at, 7))
         .groupBy("source")
         .agg(
             ratio(
-                F.sum("referential_failures"), F.sum(F.col("rows_loaded") + F.col("rows_rejected"))
+                total("referential_failures"), total(F.col("rows_loaded") + F.col("rows_rejected"))
             ).alias("rate")
         )
     )
@@ -149,66 +156,49 @@ def rule_values(star: Star) -> DataFrame:
 
     recent = F.col("activity_date") > F.date_sub(as_at, 30)
     edit_by_task = (
-        outputs.where(recent)
+        star.outputs.where(recent)
         .groupBy("task_type_id")
         .agg(F.percentile(F.col("edit_distance_pct").cast("double"), 0.5).alias("med"))
     )
-    by_month = outputs.groupBy(year_month("activity_date").alias("year_month")).agg(
-        ratio(count_where(F.col("accepted")), one).alias("acceptance")
+    by_month = produced.groupBy(year_month("activity_date").alias("year_month")).agg(
+        ratio(total("accepted"), total("outputs")).alias("acceptance")
     )
     # one row per month from here on
     delta = by_month.withColumn(
         "delta", F.col("acceptance") - F.lag("acceptance").over(Window.orderBy("year_month"))
     )
-    licence = star.seats.agg(F.sum("licence_cost")).scalar()
-    tokens = sessions.agg(F.sum("cost")).scalar()
-    accepted = count_where(F.col("accepted"))
-    barrier = (F.col("confidentiality_tier") == "Barrier") & is_mandatory()
-    gap = F.col("is_review_gap") & recent
+    licence = seats.agg(total("licence_cost")).scalar()
+    tokens = days.agg(total("cost")).scalar()
+    barrier = F.col("confidentiality_tier") == "Barrier"
+    gap = sum_where(recent, "gap")
 
     idle = (
-        star.seats.where(F.col("month") > F.add_months(as_at, -3))
+        seats.where(F.col("month") > F.add_months(as_at, -3))
         .groupBy("tool_id")
-        .agg(ratio(count_where(~F.col("used_in_month")), one).alias("idle"))
+        .agg(ratio(total("idle"), total("seats")).alias("idle"))
     )
     new_tool = (
-        sessions.select("tool_id", "lawyer_id", "matter_id", "activity_date")
-        .join(star.matters.where(is_sensitive()).select("matter_id"), "matter_id")
+        days.join(star.matters.where(is_sensitive()).select("matter_id"), "matter_id")
         .join(star.tools.select("tool_id", "deployment_date"), "tool_id")
         .where(F.col("activity_date") <= F.date_add("deployment_date", 90))
         .select("tool_id", "lawyer_id")
         .distinct()
     )
-    crossing = (
-        sessions.select(
-            "lawyer_id",
-            "matter_id",
-            fiscal_year("activity_date").alias("fy_year"),
-            fiscal_quarter("activity_date").alias("fy_quarter"),
+    screen = cut_lineage(screen_from_daily(days, produced, star.matters))
+    crossing = screen.where(F.col("barrier_groups_touched") >= 2)
+    per_lawyer = cut_lineage(
+        screen.groupBy("lawyer_id").agg(
+            ratio(total("sensitive_sessions"), total("sessions")).alias("rate")
         )
-        .distinct()
-        .join(
-            star.matters.where(F.col("barrier_group_id").isNotNull()).select(
-                "matter_id", "barrier_group_id"
-            ),
-            "matter_id",
-        )
-        .groupBy("lawyer_id", "fy_year", "fy_quarter")
-        .agg(F.countDistinct("barrier_group_id").alias("groups"))
-        .where(F.col("groups") >= 2)
-    )
-    screen = governance_screen(sessions, outputs, star.matters)
-    per_lawyer = screen.groupBy("lawyer_id").agg(
-        ratio(F.sum("sensitive_sessions"), F.sum("sessions")).alias("rate")
     )
     median = exact_percentiles(per_lawyer, [], "rate", {"m": 0.5}).select("m").scalar()
     relative = F.try_divide(F.col("rate"), median)
     low = F.col("review_completion")
-    change = monthly_cost_change(sessions, star.seats, star.health)
+    change = monthly_cost_change(days, seats, star.health)
 
     frames = [
         _rows(slow, (P95_LATENCY, F.max("p95"), one)),
-        _rows(last_day, (ERROR_RATE, ratio(count_where(failed), one), count_where(failed))),
+        _rows(last_day, (ERROR_RATE, ratio(total("failed"), total("n")), total("failed"))),
         _rows(
             recent_health,
             (
@@ -226,19 +216,23 @@ def rule_values(star: Star) -> DataFrame:
         _rows(edit_by_task, (MEDIAN_EDIT, F.max("med"), count_where(F.col("med") > 45))),
         _rows(delta, (ACCEPTANCE_FALL, F.min("delta"), count_where(F.col("delta") < -0.15))),
         _rows(
-            outputs,
-            (COST_PER_ACCEPTED, ratio(licence + tokens, accepted), accepted),
+            produced,
+            (
+                COST_PER_ACCEPTED,
+                ratio(licence + tokens, total("accepted")),
+                total("accepted"),
+            ),
             (
                 BARRIER_COVERAGE,
-                ratio(count_where(barrier & F.col("reviewed")), count_where(barrier)),
-                count_where(barrier),
+                ratio(sum_where(barrier, "reviewed"), sum_where(barrier, "mandatory")),
+                sum_where(barrier, "mandatory"),
             ),
-            (UNREVIEWED, count_where(gap), count_where(gap)),
+            (UNREVIEWED, gap, gap),
         ),
         _rows(idle, (IDLE_SEATS, F.max("idle"), one)),
         _rows(change, (MONTHLY_COST, F.max("change"), F.max(F.lit(None)))),
         _rows(new_tool, (NEW_TOOL, one, one)),
-        _rows(crossing, (TWO_BARRIERS, F.max("groups"), one)),
+        _rows(crossing, (TWO_BARRIERS, F.max("barrier_groups_touched"), one)),
         _rows(
             screen.where(F.col("is_screenable")),
             (LOW_COMPLETION, F.min(low), count_where(low < 0.70)),

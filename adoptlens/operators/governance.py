@@ -73,13 +73,47 @@ def governance_screen(
     min_mandatory: int = MIN_MANDATORY,
 ) -> DataFrame:
     """Lawyer x fiscal quarter. ``is_screenable`` needs enough mandatory outputs."""
-    # one row per lawyer, quarter and matter first: a hot lawyer shrinks on the map side
-    per_matter = sessions.groupBy(
+    return screen_from_daily(
+        daily_sessions(sessions), daily_outputs(enriched), matters, min_mandatory
+    )
+
+
+def daily_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions counted per day, lawyer, matter and tool. A hot lawyer or source
+    shrinks on the map side, and many reports read this instead of the sessions."""
+    return sessions.groupBy("activity_date", "lawyer_id", "matter_id", "tool_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        count_where(F.col("status") != "Success").alias("failed"),
+        count_where(F.col("retry_count") > 0).alias("retried"),
+        F.sum("cost").alias("cost"),
+    )
+
+
+def daily_outputs(enriched: DataFrame) -> DataFrame:
+    """Outputs counted per day, lawyer, tool, task, tier and review type."""
+    heavy = F.col("accepted") & (F.col("edit_distance_pct") > 40)
+    return enriched.groupBy(
+        "activity_date", "lawyer_id", "tool_id", "task_type_id", "confidentiality_tier", "review_type"
+    ).agg(
+        F.count(F.lit(1)).alias("outputs"),
+        count_where(F.col("accepted")).alias("accepted"),
+        count_where(heavy).alias("heavy"),
+        count_where(is_mandatory()).alias("mandatory"),
+        count_where(is_mandatory() & F.col("reviewed")).alias("reviewed"),
+        count_where(F.col("is_review_gap")).alias("gap"),
+    )
+
+
+def screen_from_daily(
+    days: DataFrame, outputs: DataFrame, matters: DataFrame, min_mandatory: int = MIN_MANDATORY
+) -> DataFrame:
+    """``governance_screen`` over ``daily_sessions`` and ``daily_outputs``."""
+    per_matter = days.groupBy(
         "lawyer_id",
         fiscal_year("activity_date").alias("fy_year"),
         fiscal_quarter("activity_date").alias("fy_quarter"),
         "matter_id",
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.sum("n").alias("n"))
     keys = ["lawyer_id", "fy_year", "fy_quarter"]
     used = (
         per_matter.join(
@@ -92,13 +126,13 @@ def governance_screen(
             F.countDistinct("barrier_group_id").alias("barrier_groups_touched"),
         )
     )
-    reviewed = enriched.groupBy(
+    reviewed = outputs.groupBy(
         "lawyer_id",
         fiscal_year("activity_date").alias("fy_year"),
         fiscal_quarter("activity_date").alias("fy_quarter"),
     ).agg(
-        count_where(is_mandatory()).alias("mandatory_outputs"),
-        count_where(is_mandatory() & F.col("reviewed")).alias("mandatory_reviewed"),
+        F.sum("mandatory").alias("mandatory_outputs"),
+        F.sum("reviewed").alias("mandatory_reviewed"),
     )
     return (
         used.join(reviewed, keys, "left")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 BUCKETS = 2048
 
 
@@ -41,7 +43,8 @@ def global_rank(
     own = by or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(1))
     signed = -F.col(score).cast("double") if descending else F.col(score).cast("double")
-    rows = rows.withColumn("__s", signed)
+    # several branches read the rows; a checkpoint makes them read the same values
+    rows = cut_lineage(rows.withColumn("__s", signed))
 
     bounds = rows.groupBy(*own).agg(
         F.min("__s").alias("__s0"),
@@ -101,7 +104,7 @@ def running_total(df: DataFrame, value: str, position: str, by: Sequence[str] =
     by = list(by)
     own = by or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(1))
-    rows = rows.withColumn("__blk", F.floor((F.col(position) - 1) / F.lit(65536)))
+    rows = cut_lineage(rows).withColumn("__blk", F.floor((F.col(position) - 1) / F.lit(65536)))
     totals = rows.groupBy(*own, "__blk").agg(F.sum(value).alias("__bt"))
     before = Window.partitionBy(*own).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(

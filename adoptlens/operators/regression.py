@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_where, ratio
+from ..session import cut_lineage
 
 Z95 = 1.96
 MIN_CELL = 40
@@ -63,6 +64,8 @@ def _moments(df, y, arm, group, cell, cluster, min_cell) -> tuple[DataFrame, Dat
         F.sum("y").alias("sy"),
         F.sum(F.col("t") * F.col("y")).alias("sty"),
     )
+    # the estimate reads these sums several times; the rows behind them only once
+    sums = cut_lineage(sums)
     # a group of cells is a function of the cell; a cell in two groups stops the job
     cells = (
         sums.groupBy("cell")

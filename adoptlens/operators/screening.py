@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_where, is_sensitive, ratio
 from ..functions.policy import is_mandatory
 from .governance import MIN_MANDATORY
+from ..session import cut_lineage
 from .ranking import global_rank, running_total
 
 LIST_SIZES = (10, 20, 30, 50)
@@ -40,7 +41,7 @@ def screen_features(sessions: DataFrame, enriched: DataFrame, matters: DataFrame
 
 def score_screens(features: DataFrame, min_mandatory: int = MIN_MANDATORY) -> DataFrame:
     """Long table (screen, lawyer_id, score); a higher score comes earlier."""
-    eligible = features.where(F.col("mandatory_outputs") >= min_mandatory)
+    eligible = cut_lineage(features.where(F.col("mandatory_outputs") >= min_mandatory))
     plain = eligible.select(
         "lawyer_id",
         F.explode(
