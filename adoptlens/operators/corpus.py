@@ -59,15 +59,15 @@ def length_bands(
     slice b ends at n*b//bands rows. Adds ``band`` (1-based) and ``eligible``."""
     sizes = docs.groupBy(partition).agg(F.count(F.lit(1)).alias("eligible"))
     hashed = docs.withColumn("__h", F.sha2(col(identity).cast("string"), 256)).withColumn(
-        "__t", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long")
+        "__tie", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long")
     )
     ranked = global_rank(
-        hashed, length, "__t", by=[partition], descending=False, tie_break=["__h"]
+        hashed, length, "__tie", by=[partition], descending=False, tie_break=["__h"]
     )
     return (
         ranked.join(sizes, partition)
         .withColumn("band", F.ceil(bands * F.col("row_number") / F.col("eligible")).cast("int"))
-        .drop("__h", "__t", "row_number", "average_rank")
+        .drop("__h", "__tie", "row_number", "average_rank")
     )
 
 
@@ -179,7 +179,9 @@ def mask_spans(docs: DataFrame, masks: DataFrame) -> DataFrame:
     listed = masks.groupBy("document_id").agg(
         F.array_sort(
             F.collect_list(
-                F.struct(F.col("start").cast("int"), F.col("end").cast("int"))
+                F.struct(
+                    F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")
+                )
             )
         ).alias("__m")
     )

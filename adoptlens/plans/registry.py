@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import operations
+from . import evidence, operations, telemetry
 
-MODULES = (operations,)
+MODULES = (operations, evidence, telemetry)
 
 
 def queries() -> dict:
