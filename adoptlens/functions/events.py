@@ -102,10 +102,13 @@ def instant(value: Column) -> Column:
 
 
 def parse_events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """JSON lines -> typed columns, the raw line and its hash. Works on batches and streams."""
-    parsed = lines.withColumn("event_json", F.col(line)).withColumn(
-        "__e", F.from_json(line, EVENT_TYPE)
-    )
+    """JSON lines -> typed columns, the raw line and its hash. Works on batches and streams.
+
+    The one-element generator keeps later filters above the parser; otherwise each
+    field a filter mentions would parse the line again.
+    """
+    once = F.struct(F.col(line).alias("event_json"), F.from_json(line, EVENT_TYPE).alias("__e"))
+    parsed = lines.select(F.inline(F.array(once)))
     return parsed.select(
         "event_json",
         F.sha2("event_json", 256).alias("payload_hash"),
@@ -337,10 +340,11 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         )
     )
     malformed = F.json_object_keys("event_json").isNull()
-    return parsed.withColumn(
-        "violations",
-        F.when(malformed, F.array(F.lit("malformed"))).otherwise(F.array_compact(F.array(*checks))),
+    found = F.when(malformed, F.array(F.lit("malformed"))).otherwise(
+        F.array_compact(F.array(*checks))
     )
+    # again one element: a filter on the violations must not repeat the checks
+    return parsed.select("*", F.explode(F.array(found)).alias("violations"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -198,7 +198,7 @@ def apply_rate_card(attempts: DataFrame, rates: DataFrame) -> DataFrame:
         & F.col("cached_input_tokens").isNotNull()
     )
     consistent = F.col("cached_input_tokens").between(F.lit(0), F.col("input_tokens"))
-    tokens = "decimal(18,0)"
+    tokens = "decimal(10,0)"
     price = "decimal(14,6)"
     amount = (
         (F.col("input_tokens") - F.col("cached_input_tokens")).cast(tokens)

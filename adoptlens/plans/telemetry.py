@@ -149,13 +149,13 @@ def parsed(spark: SparkSession, d: str, source: Column | None = None) -> DataFra
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
-    checked = validate_events(parsed(spark, d))
-    return checked.where(F.size("violations") == 0).drop("violations")
+    checked = validate_events(parsed(spark, d)).where(F.size("violations") == 0)
+    return cut_lineage(checked.drop("violations", "event_json", "payload_hash", "schema_version"))
 
 
 BASE_SQL = """WITH base AS (
   SELECT event_id AS eid, event_id // 2 AS num, CAST(event_id % 2 AS INT) AS odd, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k,
-    event_type AS kind, ts AS at, user_id, value FROM events),
+    event_type AS kind, ts AS tm, user_id, value FROM events),
 ids AS (SELECT *, sha256(concat('e', eid)) AS eh, sha256(concat('r', num)) AS rh,
   concat('src', num % 3) AS source_id, odd + 1 AS revision,
   CASE kind WHEN 'view' THEN 'source.heartbeat' WHEN 'signup' THEN 'review.recorded' ELSE 'request.completed' END AS event_type FROM base),
@@ -202,7 +202,7 @@ roll AS (SELECT num, count(*) AS attempt_count, count(*) FILTER (WHERE inp IS NU
     CASE WHEN count(DISTINCT cur) = 1 THEN max(cur) END AS currency, count(cost) AS cost_known_attempts FROM att GROUP BY 1),
 rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY num ORDER BY revision DESC) AS rn
   FROM ev WHERE event_type = 'review.recorded') WHERE rn = 1),
-latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.at, r.k, concat('exp', r.num % 2) AS experiment_id,
+latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.tm, r.k, concat('exp', r.num % 2) AS experiment_id,
     concat('case', r.num // 4 % 25) AS case_id, concat('cfg', r.num // 2 % 2) AS config_id, r.value * 10 AS duration_ms,
     CASE WHEN r.kind = 'error' THEN 'failed' ELSE 'success' END AS status, CASE WHEN r.kind <> 'error' THEN r.k % 4 <> 0 END AS auto_pass,
     roll.*, CASE WHEN v.num IS NOT NULL THEN CASE WHEN v.k % 3 = 0 THEN 'scripted_fixture' ELSE 'human' END END AS review_method,
@@ -215,7 +215,7 @@ latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.at
 
 @query(
     REQUESTS_SQL
-    + """SELECT request_id, event_id, revision, source_id, strftime(at, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, experiment_id, case_id, config_id,
+    + """SELECT request_id, event_id, revision, source_id, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, experiment_id, case_id, config_id,
   round(duration_ms, 6) AS duration_ms, status, auto_pass, attempt_count, review_method, review_revision, human_task_pass,
   citations_correct, major_rework, round(CAST(edit_distance_ratio AS DOUBLE), 6) AS edit_distance_ratio FROM latest"""
 )
@@ -291,7 +291,7 @@ COMPARISON_SQL = """count(*) AS request_count, count(DISTINCT case_id) AS case_c
   round(count(*) FILTER (WHERE status = 'failed') / count(*), 6) AS failure_rate, CAST(sum(attempt_count) AS BIGINT) AS attempt_count,
   CAST(sum(attempt_count - 1) AS BIGINT) AS retry_count,
   CAST(sum(attempt_count) - count(*) FILTER (WHERE status = 'success') AS BIGINT) AS failed_attempts,
-  CAST(sum(unknown_usage_attempts) AS BIGINT) AS unknown_usage_attempts, round(avg(duration_ms), 4) AS mean_request_ms,
+  CAST(sum(unknown_usage_attempts) AS BIGINT) AS unknown_usage_attempts, round(avg(duration_ms), 6) AS mean_request_ms,
   count(*) FILTER (WHERE auto_pass) AS auto_passed, round(count(*) FILTER (WHERE auto_pass) / count(*), 6) AS auto_pass_rate,
   count(*) FILTER (WHERE review_method = 'human' AND human_task_pass IS NOT NULL) AS human_reviewed,
   count(*) FILTER (WHERE review_method = 'human' AND human_task_pass) AS human_passed,
@@ -323,9 +323,7 @@ def _comparison(df: DataFrame) -> DataFrame:
         "estimated_cost",
         "p95_request_ms",
     )
-    return out.withColumn("mean_request_ms", F.round("mean_request_ms", 4)).drop(
-        "cost_per_auto_pass", "cost_per_human_pass"
-    )
+    return rounded(out, "mean_request_ms").drop("cost_per_auto_pass", "cost_per_human_pass")
 
 
 @query(
@@ -439,7 +437,7 @@ n AS (SELECT e.request_id, e.num, e.k, e.eid, r.kind AS rk, r.revision AS rr, s.
   CASE WHEN r.num IS NULL THEN 'unknown_request' WHEN r.kind = 'error' THEN 'request_not_successful'
     WHEN 2 - e.odd <> r.revision THEN 'answer_changed' END AS problem
   FROM ev e LEFT JOIN r USING (num) LEFT JOIN s USING (num) WHERE e.event_type = 'review.recorded')
-SELECT request_id, concat('rev', k % 5) AS reviewer_id, problem, CAST(CASE WHEN problem IS NULL THEN last + 1 END AS BIGINT) AS revision FROM n""".replace("WITH", "WITH", 1)
+SELECT request_id, concat('rev', k % 5) AS reviewer_id, problem, CAST(CASE WHEN problem IS NULL THEN last + 1 END AS BIGINT) AS revision FROM n"""
 )
 def review_revisions(spark: SparkSession, d: str) -> DataFrame:
     """Every stored review decided once more, as the next revision of its request."""
@@ -461,17 +459,17 @@ def review_revisions(spark: SparkSession, d: str) -> DataFrame:
 
 MONITOR_SQL = (
     BASE_SQL.rstrip()
-    + f""", hb AS (SELECT source_id, at, k >= 90 AS failed FROM ev WHERE kind = 'view'),
-rq AS (SELECT source_id, at, kind = 'error' AS failed, request_id FROM (
+    + f""", hb AS (SELECT source_id, tm, k >= 90 AS failed FROM ev WHERE kind = 'view'),
+rq AS (SELECT source_id, tm, kind = 'error' AS failed, request_id FROM (
   SELECT *, row_number() OVER (PARTITION BY num ORDER BY revision DESC) AS rn FROM ev
   WHERE event_type = 'request.completed' AND NOT bad_usage) WHERE rn = 1),
-ok AS (SELECT source_id, at FROM ev WHERE NOT bad_usage),
-pts AS (SELECT source_id, unnest(range(CAST(ceil(epoch(min(at)) / {CHECK_MINUTES * 60}) AS BIGINT),
-    CAST(ceil(epoch(max(at)) / {CHECK_MINUTES * 60}) AS BIGINT) + 2)) * {CHECK_MINUTES * 60} AS t FROM ok GROUP BY 1),
+ok AS (SELECT source_id, tm FROM ev WHERE NOT bad_usage),
+pts AS (SELECT source_id, unnest(range(CAST(ceil(epoch(min(tm)) / {CHECK_MINUTES * 60}) AS BIGINT),
+    CAST(ceil(epoch(max(tm)) / {CHECK_MINUTES * 60}) AS BIGINT) + 2)) * {CHECK_MINUTES * 60} AS t FROM ok GROUP BY 1),
 chk AS (SELECT source_id, make_timestamp(CAST(t AS BIGINT) * 1000000) AS as_at FROM pts),
-st AS (SELECT c.source_id, c.as_at, h.at AS hat, coalesce(h.failed, false) AS hf, coalesce(r.failed, false) AS rf FROM chk c
-  ASOF LEFT JOIN hb h ON h.source_id = c.source_id AND h.at <= c.as_at
-  ASOF LEFT JOIN rq r ON r.source_id = c.source_id AND r.at <= c.as_at),
+st AS (SELECT c.source_id, c.as_at, h.tm AS hat, coalesce(h.failed, false) AS hf, coalesce(r.failed, false) AS rf FROM chk c
+  ASOF LEFT JOIN hb h ON h.source_id = c.source_id AND h.tm <= c.as_at
+  ASOF LEFT JOIN rq r ON r.source_id = c.source_id AND r.tm <= c.as_at),
 states AS (SELECT source_id, as_at, 'heartbeat_stale' AS rule_key,
     hat IS NULL OR hat < as_at - INTERVAL {STALE_MINUTES} MINUTE OR hf AS is_open FROM st
   UNION ALL SELECT source_id, as_at, 'latest_request_failed', rf FROM st),
