@@ -60,18 +60,14 @@ def test_sentence_units_partition_the_text(spark):
 def test_unit_violations(spark):
     df = docs(spark, ["0123456789"])
     bad = spark.createDataFrame([(0, 0, 3), (0, 2, 5), (0, 6, 8)], "document_id int, start int, end int")
-    assert [r["violation"] for r in chunking.unit_violations(bad, df).orderBy("start").collect()] == [
-        "overlap",
-        "gap",
-    ] or True
     kinds = {r["violation"] for r in chunking.unit_violations(bad, df).collect()}
     assert kinds == {"overlap", "gap"}
 
 
 def test_tokens(spark):
     row = docs(spark).where("document_id = 2").select(tx.tokens("text")).collect()[0][0]
-    assert row == re.findall(r"\w+", TEXTS[2].casefold())[: len(row)] or "strasse" in row
-    assert "été" in row and "x_1" in row and "strasse" in row
+    # the musical sign is no letter, so it separates two tokens
+    assert row == ["a", "b", "strasse", "été", "x_1", "no", "break", "em", "end"]
 
 
 def okapi(corpus_tokens, query, k1=1.5, b=0.75, eps=0.25):
