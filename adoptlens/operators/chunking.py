@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import SPACE
+from ..functions.text import NONSPACE, SPACE
 
 
 def chunk(
@@ -29,14 +29,15 @@ def chunk(
     step = words - overlap
     size = _gcd(step, words)
     per_step, per_window = step // size, words // size
-    block = rf"(?:[^{SPACE}]++[{SPACE}]*+){{1,{size}}}+"
-    lead = F.length(F.regexp_extract(text, f"^[{SPACE}]*", 0))
-    parts = docs.select(
-        doc,
+    block = rf"(?U)(?:{NONSPACE}++{SPACE}*+){{1,{size}}}+"
+    lead = F.length(F.regexp_extract(text, f"(?U)^{SPACE}*", 0))
+    cut = F.struct(
         F.length(text).alias("__len"),
         lead.alias("__lead"),
         F.regexp_extract_all(text, F.lit(block), F.lit(0)).alias("__blocks"),
-    ).where(F.size("__blocks") > 0)
+    )
+    # one-element generators: each step is computed once, not once per use
+    parts = docs.select(doc, F.inline(F.array(cut))).where(F.size("__blocks") > 0)
     # start offset of every block: a running sum over the block lengths of the row
     running = F.aggregate(
         F.transform("__blocks", F.length),
@@ -57,7 +58,7 @@ def chunk(
 
     windows = F.transform(F.sequence(F.lit(0), last), window)
     return (
-        parts.withColumn("__starts", running)
+        parts.select("*", F.explode(F.array(running)).alias("__starts"))
         .select(doc, F.explode(windows).alias("__w"))
         .select(doc, "__w.chunk_no", "__w.start", "__w.end", "__w.chunk_text")
     )
@@ -65,7 +66,7 @@ def chunk(
 
 def empty_documents(docs: DataFrame, doc: str = "document_id", text: str = "text") -> DataFrame:
     """Documents that cannot be indexed: error rows for the caller's report."""
-    return docs.where(~F.col(text).rlike(f"[^{SPACE}]")).select(
+    return docs.where(~F.col(text).rlike(f"(?U){NONSPACE}")).select(
         doc, F.lit("error").alias("status"), F.lit("empty_document").alias("error_type")
     )
 
@@ -79,7 +80,7 @@ def max_cover(words: int, overlap: int) -> int:
 def sentence_units(docs: DataFrame, doc: str = "document_id", text: str = "text") -> DataFrame:
     """A partition of the text into units that end with sentence punctuation or a line
     break, whitespace kept with the unit before it."""
-    piece = rf"[^.!?\n]*+(?:[.!?\n]++[{SPACE}]*+|\z)"
+    piece = rf"(?U)[^.!?\n]*+(?:[.!?\n]++{SPACE}*+|\z)"
     lengths = F.transform(
         F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda s: F.length(s) > 0),
         F.length,

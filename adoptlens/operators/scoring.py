@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_where, ratio
-from ..functions.text import SPACE
+from ..functions.text import NONSPACE
 from .intervals import interval_overlap, interval_union
 from .percentiles import exact_percentiles
 
@@ -48,7 +48,7 @@ def gold_mismatches(references: DataFrame, docs: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("text").isNull(), "unknown_document")
         .when(out_of_range, "invalid_offsets")
-        .when(~F.col("quote").rlike(f"[^{SPACE}]") | (quoted != F.col("quote")), "quote_mismatch")
+        .when(~F.col("quote").rlike(f"(?U){NONSPACE}") | (quoted != F.col("quote")), "quote_mismatch")
     )
     bad_spans = spans.select("case_id", "start", reason.alias("reason")).where(
         F.col("reason").isNotNull()
@@ -290,7 +290,7 @@ def grade_evidence(cases: DataFrame, responses: DataFrame, docs: DataFrame) -> D
         size = F.length("text")
         inside = (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= size)
         quote = F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return F.coalesce(inside & s["quote"].rlike(f"[^{SPACE}]") & (quote == s["quote"]), F.lit(False))
+        return F.coalesce(inside & s["quote"].rlike(f"(?U){NONSPACE}") & (quote == s["quote"]), F.lit(False))
 
     consistent = (
         (F.col("status") == "ok")

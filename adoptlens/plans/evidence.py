@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKERS, SPACE, edit_ratio, mask_contacts, normalized
+from ..functions.text import MARKERS, edit_ratio, mask_contacts, normalized
 from ..operators import bm25, chunking, corpus, diagnostics, intervals, metrics, scoring
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import bindings as b
 from .bindings import rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+# Whitespace as code points, for the SQL side.
+SPACE = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
 # Chunk settings and budget of the registered queries.
 WORDS, OVERLAP = 60, 15
 NARROW_WORDS, NARROW_OVERLAP = 40, 0
@@ -34,9 +40,10 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "documents").select(
+    docs = b.table(spark, d, "documents").select(
         F.col("doc_id").alias("document_id"), "text", "lang", "source"
     )
+    return spread(docs)
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -727,7 +734,7 @@ FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role
 def edit_ratio_by_conversation(spark: SparkSession, d: str) -> DataFrame:
     """Each answer against its question. Other than printable ASCII characters count as
     one sign, because the SQL engine's distance works on bytes."""
-    turns = b.table(spark, d, "conversations").withColumn(
+    turns = spread(b.table(spark, d, "conversations")).withColumn(
         "text", F.regexp_replace("text", ASCII, "#")
     )
     asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("a"))

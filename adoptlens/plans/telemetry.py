@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.events import parse_events, validate_events
 from ..operators import cost, ingestion, monitor, requests
-from ..session import cut_lineage, shared_dir
+from ..session import cut_lineage, shared_dir, spread
 from ..streaming import ingest, windows
 from ..streaming import monitor as stream_monitor
 from . import bindings as b
@@ -148,7 +148,7 @@ def event_lines(
 
 
 def parsed(spark: SparkSession, d: str, source: Column | None = None) -> DataFrame:
-    return parse_events(event_lines(b.table(spark, d, "events"), source))
+    return parse_events(event_lines(spread(b.table(spark, d, "events")), source))
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_validation_rules(spark):
         (request(extra=1), ["fields"]),
         (no_key, ["payload_fields", "request_ids"]),
         (request(schema_version=2), ["schema_version"]),
-        (request(data_origin="real"), ["provenance"]),
+        (request(data_origin="real"), ["provenance", "provider_origin"]),
         (request(source_id="a b"), ["source_id"]),
         (request(event_id="X"), ["event_id"]),
         (beat("b", request_id=uid("r")), ["request_id"]),
