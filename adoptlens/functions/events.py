@@ -104,11 +104,12 @@ def instant(value: Column) -> Column:
 def parse_events(lines: DataFrame, line: str = "value") -> DataFrame:
     """JSON lines -> typed columns, the raw line and its hash. Works on batches and streams.
 
-    The one-element generator keeps later filters above the parser; otherwise each
+    The one-element generators keep later filters above the parser; otherwise each
     field a filter mentions would parse the line again.
     """
-    once = F.struct(F.col(line).alias("event_json"), F.from_json(line, EVENT_TYPE).alias("__e"))
-    parsed = lines.select(F.inline(F.array(once)))
+    parsed = lines.select(F.explode(F.array(F.col(line))).alias("event_json")).select(
+        "event_json", F.explode(F.array(F.from_json("event_json", EVENT_TYPE))).alias("__e")
+    )
     return parsed.select(
         "event_json",
         F.sha2("event_json", 256).alias("payload_hash"),

@@ -503,6 +503,17 @@ def acceptance_decision(spark: SparkSession, d: str) -> DataFrame:
     return scoring.acceptance_decision(cut_lineage(scored(spark, d)), "baseline", "candidate")
 
 
+@query(
+    SCORES_SQL
+    + """SELECT config_id, round(avg(recall), 6) AS macro_gold_character_recall, round(avg(CAST(full_hit AS INT)), 6) AS all_gold_covered_rate
+FROM scores WHERE config_id <> 'baseline' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1"""
+)
+def choose_candidate(spark: SparkSession, d: str) -> DataFrame:
+    best = scoring.choose_candidate(cut_lineage(scored(spark, d)), "baseline")
+    names = ["macro_gold_character_recall", "all_gold_covered_rate"]
+    return rounded(best.select("config_id", *names), *names)
+
+
 @query(
     SCORES_SQL
     + """SELECT 'r1' AS run_id, 'development' AS "partition", round(avg(recall) FILTER (WHERE config_id = 'baseline'), 6) AS baseline_recall,
