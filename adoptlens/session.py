@@ -16,8 +16,8 @@ def build_session(app: str = "adoptlens", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.ui.showConsoleProgress", "false")
-        # checkpoints go when no plan refers to them any more
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # call sites of every column expression cost more than the small jobs themselves
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -50,11 +50,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The frame as a Parquet table in the shared folder.
+
+    Survives the loss of any executor, is computed once (a checkpoint computes its
+    last stage twice), and later reads prune columns and know its size.
+    """
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
