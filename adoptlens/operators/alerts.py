@@ -67,7 +67,7 @@ class Star:
     tools: DataFrame
     tasks: DataFrame
     seats: DataFrame
-    health: DataFrame  # pipeline_health
+    health: DataFrame  # feed_health
 
 
 def rule_catalogue(spark: SparkSession) -> DataFrame:

@@ -40,7 +40,7 @@ def feed_runs(loads: DataFrame, rejects: DataFrame, sources: DataFrame) -> DataF
     )
 
 
-def pipeline_health(runs: DataFrame, go_live: DataFrame) -> DataFrame:
+def feed_health(runs: DataFrame, go_live: DataFrame) -> DataFrame:
     """Runs with the expected-active flag, the mean of the 30 previous runs, the last
     good run and its age, and unexpected zero loads.
 

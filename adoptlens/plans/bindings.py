@@ -10,7 +10,7 @@ from ..functions.policy import enrich_outputs
 from ..operators.adoption import month_spine, post_adoption_flag
 from ..operators.alerts import Star
 from ..operators.cost import seat_usage
-from ..operators.pipeline import feed_runs, pipeline_health
+from ..operators.feeds import feed_runs, feed_health
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -305,7 +305,7 @@ def star(spark: SparkSession, d: str) -> Star:
         tools=tools(spark, d),
         tasks=tasks(spark, d),
         seats=seats(spark, d),
-        health=pipeline_health(runs, live),
+        health=feed_health(runs, live),
     )
 
 

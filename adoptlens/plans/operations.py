@@ -9,7 +9,7 @@ from ..functions.calendar import calendar_of
 from ..functions.exprs import count_where, year_month
 from ..functions.policy import effective_review_policy
 from ..operators import adoption, alerts, checks, cost, expected, governance, metrics
-from ..operators import pipeline, quality, regression, screening
+from ..operators import feeds, quality, regression, screening
 from . import bindings as b
 from .bindings import (
     EFFECT_SQL,
@@ -332,10 +332,10 @@ def barrier_rolling_90d(spark: SparkSession, d: str) -> DataFrame:
   round(load_vs_trailing_mean, 6) AS load_vs_trailing_mean, CAST(hours_since_good_run AS INT) AS hours_since_good_run,
   is_unexpected_zero_load FROM health"""
 )
-def pipeline_health(spark: SparkSession, d: str) -> DataFrame:
+def feed_health(spark: SparkSession, d: str) -> DataFrame:
     runs, live = b.line_feed(spark, d)
     return rounded(
-        pipeline.pipeline_health(runs, live),
+        feeds.feed_health(runs, live),
         "trailing_mean",
         "referential_failure_rate",
         "load_vs_trailing_mean",

@@ -16,7 +16,7 @@ HEADLINE = [
     "quality_panel",
     "cost_efficiency",
     "governance_screen",
-    "pipeline_health",
+    "feed_health",
     "alert_status",
     "rolling_12w_adoption",
     "fe_effect",

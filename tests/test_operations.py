@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adoptlens.functions.calendar import calendar
 from adoptlens.functions.policy import effective_review_policy, enrich_outputs
-from adoptlens.operators import adoption, alerts, checks, cost, governance, metrics, pipeline
+from adoptlens.operators import adoption, alerts, checks, cost, feeds, governance, metrics
 from adoptlens.operators import quality, regression, screening
 
 D = dt.date
@@ -196,8 +196,8 @@ def test_feed_health(spark):
     rejects = spark.createDataFrame([("s", days[3])] * 5, "source string, run_date date")
     spans = spark.createDataFrame([("s", days[0], days[-1])], "source string, first_day date, last_day date")
     live = spark.createDataFrame([("s", days[1])], "source string, live_from date")
-    runs = pipeline.feed_runs(loads, rejects, spans)
-    got = {r["run_date"]: r for r in pipeline.pipeline_health(runs, live).collect()}
+    runs = feeds.feed_runs(loads, rejects, spans)
+    got = {r["run_date"]: r for r in feeds.feed_health(runs, live).collect()}
     assert len(got) == 40 and got[days[3]]["run_status"] == "Warning" and got[days[3]]["rows_loaded"] == 20
     gap = got[days[36]]
     assert gap["rows_loaded"] == 0 and gap["is_unexpected_zero_load"] and gap["last_good_run"] == days[35]

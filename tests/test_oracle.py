@@ -21,7 +21,7 @@ QUICK = [
     "week4_retention_cohorts",
     "quality_panel",
     "governance_screen",
-    "pipeline_health",
+    "feed_health",
     "fe_effect",
     "interval_union",
     "stratified_selection",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adoptlens.operators import governance, pipeline, scoring
+from adoptlens.operators import feeds, governance, scoring
 from adoptlens.plans import bindings as b
 from adoptlens.plans import evidence
 
@@ -23,7 +23,7 @@ def test_only_needed_columns_are_read(spark):
 
 def test_feed_health_has_no_single_partition_window(spark):
     runs, live = b.line_feed(spark, SF)
-    text = plan(pipeline.pipeline_health(runs, live))
+    text = plan(feeds.feed_health(runs, live))
     for before, line in zip(text.splitlines(), text.splitlines()[1:]):
         assert not ("Window" in before and "SinglePartition" in line)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
