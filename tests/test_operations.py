@@ -347,7 +347,24 @@ def test_row_rules_and_reconcile(spark):
     assert diff == [(2, "v"), (3, "(row)"), (4, "(row)")]
 
 
-def test_freed_capacity_and_control_sensitivity(spark):
+def test_control_sensitivity_fits_both_controls(spark):
+    frame = effect_frame().rename(columns={"y": "hours", "grp": "fee_arrangement", "cluster": "lawyer_id"})
+    heavy = frame["lawyer_id"] < 40
+    frame["is_post_adoption"] = (frame["arm"] == 1) & heavy
+    frame["ai_sessions"] = np.where(frame["is_post_adoption"], 3.0, np.nan)
+    time = spark.createDataFrame(frame.drop(columns="arm")).withColumn("ai_sessions", F.nanvl("ai_sessions", F.lit(None)))
+    sessions = spark.createDataFrame([(i,) for i in range(40) for _ in range(25)], "lawyer_id long")
+    got = regression.control_sensitivity(time, sessions).collect()
+    assert len(got) == 6
+    size = {(r["control"], r["fee_arrangement"]): (r["treated_entries"], r["control_entries"]) for r in got}
+    for g in "xyz":
+        mine = frame[frame["fee_arrangement"] == g]
+        treated = int(mine["is_post_adoption"].sum())
+        assert size["never adopted", g] == (treated, int((mine["lawyer_id"] >= 40).sum()))
+        assert size["same lawyers", g] == (treated, len(mine) - treated)
+
+
+def test_freed_capacity(spark):
     capacity = spark.createDataFrame([(True, 10.0, 6.0), (True, 10.0, 8.0), (False, 5.0, 0.0)], "r boolean, freed double, returned double")
     got = {r["r"]: r["returned_share"] for r in quality.freed_capacity_summary(capacity, "r").collect()}
     assert got == {True: 0.7, False: 0.0}
