@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # Contributions are rounded to this many decimals and added as decimals: the total
@@ -68,7 +69,9 @@ def bm25_scores(
     counts as often as it occurs; a term the document lacks adds nothing.
     """
     asked = queries.select("document_id").distinct()
-    listed = chunk_terms(chunks.join(asked, "document_id", "left_semi"), term_map)
+    wanted = chunks.join(asked, "document_id", "left_semi")
+    # read for lengths, term counts and places, so tokens are cut once
+    listed = cut_lineage(chunk_terms(wanted, term_map).drop("chunk_text"))
     sized = listed.withColumn("length", F.size("tokens"))
 
     corpus = sized.groupBy("document_id").agg(

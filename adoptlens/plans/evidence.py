@@ -226,8 +226,8 @@ SCORES_SQL = (
 )
 
 
-def retrieval(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Tasks, references and the ranked chunks of both configurations."""
+def retrieval(spark: SparkSession, d: str, narrow: bool = True) -> dict[str, DataFrame]:
+    """Tasks, references and the ranked chunks of the wide and, if asked, the narrow windows."""
     asked = cut_lineage(questions(spark, d))
     tasks, references = corpus.split_gold(asked)
     tasks = corpus.require_no_gold(tasks)
@@ -236,17 +236,19 @@ def retrieval(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     docs = cut_lineage(docs)
     wide = bm25.bm25_scores(chunking.chunk(docs, WORDS, OVERLAP), tasks)
-    narrow = bm25.bm25_scores(chunking.chunk(docs, NARROW_WORDS, NARROW_OVERLAP), tasks)
     wide_ranked = bm25.rank_chunks(wide)
-    return {
+    run = {
         "questions": asked,
         "tasks": tasks,
         "references": references,
         "docs": docs,
         "wide": wide_ranked,
-        "narrow": bm25.rank_chunks(narrow),
         "proposals": bm25.with_preamble(wide_ranked, docs, tasks, PREAMBLE, PREAMBLE_CATEGORIES),
     }
+    if narrow:
+        small = chunking.chunk(docs, NARROW_WORDS, NARROW_OVERLAP)
+        run["narrow"] = bm25.rank_chunks(bm25.bm25_scores(small, tasks))
+    return run
 
 
 def contexts(run: dict[str, DataFrame]) -> DataFrame:
@@ -342,7 +344,7 @@ def unit_violations(spark: SparkSession, d: str) -> DataFrame:
   round(score, 6) AS score, CAST(rank AS INT) AS rank FROM wide_r WHERE rank <= 3"""
 )
 def bm25_top3(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval(spark, d)
+    run = retrieval(spark, d, narrow=False)
     top = bm25.topk_context(run["wide"].drop("rank"), 3)
     return rounded(top, "score")
 
@@ -409,7 +411,7 @@ taken AS (SELECT o.* FROM ordered o JOIN walk w USING (case_id, i) WHERE w.ok)
 FROM questions q LEFT JOIN taken t USING (case_id) GROUP BY 1, 2"""
 )
 def unit_context_scores(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval(spark, d)
+    run = retrieval(spark, d, narrow=False)
     units = chunking.sentence_units(run["docs"])
     taken = intervals.unit_context(run["wide"], units, ["case_id"], "document_id", BUDGET)
     context = cut_lineage(taken.withColumn("config_id", F.lit("units")))
@@ -430,7 +432,7 @@ SELECT case_id, count(*) AS characters, CAST(sum(pos) AS BIGINT) AS position_sum
 )
 def matched_control(spark: SparkSession, d: str) -> DataFrame:
     """Windows again, with the size of each case's unit context as its budget."""
-    run = retrieval(spark, d)
+    run = retrieval(spark, d, narrow=False)
     units = chunking.sentence_units(run["docs"])
     taken = intervals.unit_context(run["wide"], units, ["case_id"], "document_id", BUDGET)
     size = intervals.context_size(taken, ["case_id"])
