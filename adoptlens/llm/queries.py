@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adoptlens.session import shared_dir
+
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_groups
+from .packing import pack
+from .token_files import read_tokens, write_tokens
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +25,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_token_files": op6_token_files,
+    "op10_packing": op10_packing,
+}
 ORACLES = {"op3_exact_dedup": SQL_EXACT_DEDUP}
