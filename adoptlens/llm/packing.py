@@ -3,9 +3,9 @@
 Each partition keeps ``open_windows`` windows. A document goes where it leaves the least
 room (best fit); when it fits nowhere, the fullest window is emitted and a new one opened.
 Only a document longer than a window is cut: into full windows and a rest. What is open at
-the end of a partition is merged, window by window, in the same way: sixteen partitions at
-a time, then sixteen of those, so that no task holds more than ``FAN_IN * open_windows``
-windows however many partitions there are.
+the end of a partition is merged in the same way, the longest pieces first: sixteen
+partitions at a time, then sixteen of those, so that no task holds more than
+``FAN_IN * open_windows`` windows however many partitions there are.
 """
 
 from __future__ import annotations
@@ -137,20 +137,14 @@ def _sequences(pieces: DataFrame, level: int) -> DataFrame:
 
 def _merge(length: int, open_windows: int):
     def merge(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["group", "window", "offset"], kind="stable")
-        windows, moved, at = OpenWindows(open_windows, length), {}, []
-        used = pieces.groupby(["group", "window"], sort=True)["length"].sum()
-        # the emptiest last: they fill what the others leave
-        for key, size in used.sort_values(ascending=False, kind="stable").items():
-            moved[key] = windows.place(int(size))
-        at = [moved[k] for k in zip(pieces["group"], pieces["window"])]
-        still = windows.still_open()
-        out = pieces.assign(
-            group=pieces["to"].astype("int64"),
-            window=np.array([w for w, _ in at], dtype="int64"),
-            offset=pieces["offset"] + np.array([o for _, o in at], dtype="int64"),
+        # the smallest last: they fill what the others leave
+        pieces = pieces.sort_values(
+            ["length", "group", "window", "offset"], ascending=[False, True, True, True], kind="stable"
         )
-        out["open"] = out["window"].isin(still)
+        windows = OpenWindows(open_windows, length)
+        at = np.array([windows.place(n) for n in pieces["length"].tolist()], dtype="int64").reshape(-1, 2)
+        out = pieces.assign(group=pieces["to"].astype("int64"), window=at[:, 0], offset=at[:, 1])
+        out["open"] = out["window"].isin(windows.still_open())
         return out.drop(columns="to")
 
     return merge

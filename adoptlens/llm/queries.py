@@ -3,27 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adoptlens.session import shared_dir
 
-from .common import LOWER, UPPER, table
+from . import mixing, sql, warc
+from .common import table
 from .exact_dedup import exact_groups
+from .fingerprints import fingerprint, fingerprints, likeness
+from .language import held_out, learn, predict
+from .near_dedup import near_duplicates
 from .packing import pack
+from .repeats import remove_repeats
+from .sharding import LAW, by_content, reshard
 from .token_files import read_tokens, write_tokens
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("anchors")).alias("fingerprint"),
+        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"),
+    )
+
+
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-SQL_EXACT_DEDUP = f"""
-WITH t AS (
-  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents
-)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
-FROM t WINDOW w AS (PARTITION BY norm)
-"""
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = predict(documents, learn(documents))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.array_join(F.transform("langs", lambda x: x["lang"]), ",").alias("lang_set"),
+    )
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +64,53 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", mixing.words(F.col("text")).alias("n"), mixing.draw(F.col("doc_id"), F.col("text")).alias("number")
+    )
+    rows = mixing.with_topic(documents, table(spark, sf_dir, "labels"))
+    found = mixing.mix(
+        rows, F.col("source"), F.col("lang"), F.col("__topic"), F.col("n"), F.col("number"), mixing.POWERS
+    )
+    return found.select("doc_id", "source", "lang", "mix.topic", F.col("n").alias("n_tokens"), "mix.probability", "mix.kept")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.transactions(warc.read_records(spark, path, with_payload=False))
+    return warc.with_referred_page(found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
+    )
+
+
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = reshard(table(spark, sf_dir, "documents"), by_content(F.coalesce("text", F.lit(""))))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_repeats": op2_repeats,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_language": op5_language,
     "op6_token_files": op6_token_files,
+    "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
+    "op9_resharding": op9_resharding,
     "op10_packing": op10_packing,
 }
-ORACLES = {"op3_exact_dedup": SQL_EXACT_DEDUP}
+ORACLES = {
+    "op3_exact_dedup": sql.EXACT_DEDUP,
+    "op4_near_dedup": sql.NEAR_DEDUP,
+    "op7_mixing": sql.MIXING,
+    "op8_warc": sql.WARC,
+}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries as corpus
 
 
 def queries() -> dict:
-    return dict(corpus.QUERIES)
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return dict(corpus.ORACLES)
+    found = dict(corpus.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -19,19 +19,27 @@ COUNTS = np.array([SELECTORS[s][0] for s in range(16)], dtype=np.int64)
 PAYLOAD = np.uint64((1 << 60) - 1)
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each value; of some over 53 bits one more than it has, so these are escapes."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
 def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words and the escape list of up to BLOCK unsigned 64-bit values."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    longest = int(COUNTS.max())
-    padded = np.concatenate([values, np.zeros(longest, np.uint64)])
+    padded = np.concatenate([values, np.zeros(int(COUNTS.max()), np.uint64)])
+    # the widest of the next 1, 2, 3, ... values, each from the one before
+    widest, width = _bits(padded), 1
     choice = np.zeros(n, np.uint8)  # an escape, unless something fits
     for selector in range(15, 0, -1):
         count, bits = SELECTORS[selector]
-        wide = np.concatenate([[0], np.cumsum(padded >= np.uint64(1 << bits), dtype=np.int32)])
-        choice[(wide[count : count + n] - wide[:n]) == 0] = selector
+        if count > width:
+            widest = np.maximum(widest[: len(widest) - (count - width)], widest[count - width :])
+            width = count
+        choice[widest[:n] <= bits] = selector
     step, starts, at = COUNTS[choice].tolist(), [], 0
     while at < n:
         starts.append(at)

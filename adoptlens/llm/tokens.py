@@ -11,15 +11,18 @@ import array
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Words, and parts of words, that a worker remembers, about 200 MB; it then starts afresh.
-REMEMBERED = 500_000
-#: Lower-case Latin letters and then stops.
-STEM = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:]+)")
+#: Words that a worker remembers, about 200 MB; it then starts afresh.
+REMEMBERED = 700_000
+#: Stops between a letter and white space; no token holds a letter and a stop.
+STOPS = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,!?;:]+(?= |$)")
+#: Words that normalising and splitting leave as they are.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Code points that are looked up together.
 SLICE = 1 << 20
@@ -31,50 +34,44 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
+class WordEncoder(dict):
+    """Word -> its number among the words met so far; a new one is encoded on demand."""
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.stems: dict[str, list[int]] = {}
+        self.model = self.tokenizer.model
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        super().clear()
+        self[""] = 0
         self.ids, self.ends = array.array("I"), array.array("q", [0])
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words. One that is letters and then stops is the ids of both parts, for no
-        token holds a letter and a stop."""
-        if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        parts = [m.groups() if (m := STEM.fullmatch(w)) else (w,) for w in words]
-        stems = self.stems
-        new = sorted({p for ps in parts for p in ps if p not in stems})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                stems[part] = found.ids
-        for word, ps in zip(words, parts):
-            self.known[word] = len(self.ends)
-            for p in ps:
-                self.ids.extend(stems[p])
-            self.ends.append(len(self.ids))
+    def __missing__(self, word: str) -> int:
+        if LETTERS.fullmatch(word):
+            letters = word if word.isascii() else word.translate(self.as_bytes)
+            self.ids.extend([t.id for t in self.model.tokenize(letters)])
+        else:
+            self.ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = number = len(self.ends)
+        self.ends.append(len(self.ids))
+        return number
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, END_ID after each, and how many each has."""
-        if len(self.known) > REMEMBERED:
+        if len(self) > REMEMBERED:
             self.clear()
-        words = [_lower(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words).difference(self.known)
-        if new:
-            self._learn(sorted(new))
-        known = self.known
+        words = [STOPS.sub(r" \g<0>", _lower(t or "").replace("\n", " ")).split(" ") for t in texts]
         counts = np.array([len(ws) for ws in words], dtype=np.int64)
-        at = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         flat, stops = np.array(self.ids, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
-        sizes = (stops - np.concatenate([[0], stops[:-1]]))[at]
+        sizes = np.diff(stops, prepend=0)[at]
         ends = np.cumsum(sizes)
         # ids before the end of each text, then one end id per text
         lengths = np.diff(ends[np.cumsum(counts) - 1], prepend=0) + 1 if len(texts) else counts
@@ -89,7 +86,9 @@ class WordEncoder:
 
 def _lower(text: str) -> str:
     """Lower-cases A-Z; the tokenizer does the rest, so the ids are the same."""
-    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass")
+    if text.isascii():
+        return text.lower()
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass")
 
 
 @functools.lru_cache(maxsize=2)
