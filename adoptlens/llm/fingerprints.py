@@ -19,7 +19,8 @@ from .common import whole_text
 
 #: The steps of ``with_anchors`` are laid out for these two.
 K, S = 7, 2
-SIGNS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Thai, Lao, Myanmar, Khmer, Japanese, Han. Ranges: a script would be looked up sign by sign.
+SIGNS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 TOKEN = rf"[{SIGNS}]|[^\s{SIGNS}]{{1,24}}"
 
 

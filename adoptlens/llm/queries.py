@@ -109,6 +109,7 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLES = {
+    "op2_repeats": sql.REPEATS,
     "op3_exact_dedup": sql.EXACT_DEDUP,
     "op4_near_dedup": sql.NEAR_DEDUP,
     "op7_mixing": sql.MIXING,

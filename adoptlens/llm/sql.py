@@ -40,6 +40,22 @@ SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.c) AS componen
 FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+REPEATS = """
+WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS MATERIALIZED (SELECT doc_id, unnest(range(len(h) // 2 - 49)) AS p, h FROM b WHERE len(h) >= 100),
+w AS MATERIALIZED (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s FROM x),
+f AS MATERIALIZED (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS MATERIALIZED (SELECT doc_id, p, p > 50 + lag(p, 1, -100) OVER (PARTITION BY doc_id ORDER BY p) AS new
+  FROM w JOIN f USING (s) WHERE first < doc_id),
+i AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+spans AS MATERIALIZED (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, island),
+k AS (SELECT s.doc_id, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS c, a, z, h FROM spans s JOIN b USING (doc_id)),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept,
+  count(*) AS n_spans, sum(z - a) AS n_removed FROM k GROUP BY doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t USING (doc_id)
+"""
+
 WARC = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages
