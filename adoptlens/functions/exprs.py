@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENSITIVE_TIERS = ("Restricted", "Barrier")
@@ -73,3 +75,15 @@ def business_day(day: Column | str) -> Column:
 
 def is_sensitive(tier: Column | str = "confidentiality_tier") -> Column:
     return col(tier).isin(*SENSITIVE_TIERS)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equality join in which NULL keys meet, with one column for each key."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    joined = left.join(other, same, how)
+    if how == "full":
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"__right_{k}")) for k in keys})
+    return joined.drop(*[f"__right_{k}" for k in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import iso_week, ratio, week_start, year_month
+from ..functions.exprs import iso_week, join_null_safe, ratio, week_start, year_month
 
 GROUPS = ("level", "practice_group", "office")
 
@@ -55,7 +55,7 @@ def adoption_by_group(
         .agg(F.count(F.lit(1)).alias("active_lawyers"), F.sum("sessions").alias("sessions"))
     )
     return (
-        cells.join(active, ["year_month", *groups], "left")
+        join_null_safe(cells, active, ["year_month", *groups], "left")
         .fillna(0, ["active_lawyers", "sessions"])
         .withColumn("adoption_rate", ratio("active_lawyers", "lawyers"))
         .withColumn("sessions_per_active_lawyer", ratio("sessions", "active_lawyers"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, count_where, ratio
+from ..functions.exprs import col, ratio
 
 
 def row_violations(df: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> DataFrame:
@@ -315,13 +315,3 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def null_rate(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Share of NULLs over the named key fields."""
-    total = F.count(F.lit(1)) * len(columns)
-    nulls = None
-    for c in columns:
-        part = count_where(col(c).isNull())
-        nulls = part if nulls is None else nulls + part
-    return df.groupBy(*by).agg(ratio(nulls, total).alias("null_rate"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import with_running_sums
 from ..functions.text import NONSPACE, SPACE
 
 
@@ -38,12 +39,6 @@ def chunk(
     )
     # one-element generators: each step is computed once, not once per use
     parts = docs.select(doc, F.inline(F.array(cut))).where(F.size("__blocks") > 0)
-    # start offset of every block: a running sum over the block lengths of the row
-    running = F.aggregate(
-        F.transform("__blocks", F.length),
-        F.array(F.col("__lead")),
-        lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
-    )
     blocks = F.size("__blocks")
     last = F.greatest(F.lit(0), F.ceil((blocks - per_window) / F.lit(per_step))).cast("int")
 
@@ -58,7 +53,7 @@ def chunk(
 
     windows = F.transform(F.sequence(F.lit(0), last), window)
     return (
-        parts.select("*", F.explode(F.array(running)).alias("__starts"))
+        with_running_sums(parts, F.transform("__blocks", F.length), F.col("__lead"), "__starts")
         .select(doc, F.explode(windows).alias("__w"))
         .select(doc, "__w.chunk_no", "__w.start", "__w.end", "__w.chunk_text")
     )
@@ -71,12 +66,6 @@ def empty_documents(docs: DataFrame, doc: str = "document_id", text: str = "text
     )
 
 
-def max_cover(words: int, overlap: int) -> int:
-    """Most windows of one document that contain one character."""
-    step = words - overlap
-    return -(-words // step)
-
-
 def sentence_units(docs: DataFrame, doc: str = "document_id", text: str = "text") -> DataFrame:
     """A partition of the text into units that end with sentence punctuation or a line
     break, whitespace kept with the unit before it."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import with_running_sums
 from ..functions.exprs import col
 from ..functions.text import (
     MARKERS,
@@ -20,6 +21,7 @@ from ..functions.text import (
     mask_contacts,
     normalized_hash,
 )
+from ..session import cut_lineage
 from .ranking import global_rank
 
 
@@ -27,17 +29,18 @@ def dedupe_documents(
     docs: DataFrame, doc: str = "document_id", text: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Documents whose normalized text occurs once: every member of a group of copies
-    is left out. The copies shrink to one counted row on the map side; texts are
-    hashed in place and never shuffled."""
-    kept = F.struct(
-        F.col(doc).alias(doc), F.length(text).alias("n_characters"), *[F.col(c) for c in keep]
+    is left out. Texts are hashed in place and never shuffled; copies shrink to one
+    counted hash on the map side, and the hashes that occur once pick their rows."""
+    rows = docs.select(
+        normalized_hash(text).alias("text_hash"),
+        F.col(doc).alias(doc),
+        F.length(text).alias("n_characters"),
+        *[F.col(c) for c in keep],
     )
-    return (
-        docs.select(normalized_hash(text).alias("text_hash"), kept.alias("__d"))
-        .groupBy("text_hash")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__d").alias("__d"))
-        .where(F.col("__n") == 1)
-        .select("__d.*", "text_hash")
+    counted = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("__n"))
+    once = counted.where(F.col("__n") == 1).select("text_hash")
+    return rows.join(once, "text_hash", "left_semi").select(
+        doc, "n_characters", *keep, "text_hash"
     )
 
 
@@ -79,9 +82,11 @@ def stratified_select(
     doc: str = "document_id",
     text: str = "text",
     exclude: DataFrame | None = None,
+    allow_short: bool = False,
 ) -> DataFrame:
     """Seeded hash sample per partition and length band after removing copies and the
-    ``exclude`` ids. ``quotas``: partition -> rows wanted per band."""
+    ``exclude`` ids. ``quotas``: partition -> rows wanted per band. A stratum that can't
+    fill its quota raises ValueError, unless ``allow_short``."""
     unique = dedupe_documents(docs, doc, text, [partition])
     if exclude is not None:
         unique = unique.join(exclude.select(doc).distinct(), doc, "left_anti")
@@ -97,13 +102,21 @@ def stratified_select(
             for part in (F.lit(name), F.array(*[F.lit(v) for v in values]))
         ]
     )
-    return (
+    selected = (
         banded.withColumn("selection_hash", order)
         .withColumn("position", F.row_number().over(first))
         # the constant bound lets every task keep its own first rows before the shuffle
         .where(F.col("position") <= most)
         .where(F.col("position") <= F.element_at(F.element_at(table, F.col(partition)), F.col("band")))
     )
+    if allow_short:
+        return selected
+    # no more rows than the quotas ask for
+    selected = cut_lineage(selected)
+    missing = short_strata(selected, quotas, partition).orderBy(partition, "band").collect()
+    if missing:
+        raise ValueError(f"too few documents: {[tuple(r) for r in missing]}")
+    return selected
 
 
 def short_strata(selected: DataFrame, quotas: dict[str, Sequence[int]], partition: str = "partition"):
@@ -254,22 +267,16 @@ def marker_positions(docs: DataFrame, name: str, doc: str = "document_id") -> Da
         F.transform(hits, F.length).alias("__h"),
         F.transform(gaps, F.length).alias("__g"),
     ).where(F.size("__h") > 0)
-    zero = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")
+    # gap, match, gap, match, ...: every second sum is where a match starts
+    pieces = F.flatten(F.zip_with(F.slice("__g", F.lit(1), F.size("__h")), "__h", lambda g, h: F.array(g, h)))
+    placed = with_running_sums(sized, pieces, F.lit(0), "__at")
+    spans = F.transform(
+        F.sequence(F.lit(0), F.size("__h") - 1),
+        lambda k: F.struct(F.get("__at", 2 * k + 1).alias("start"), F.get("__at", 2 * k + 2).alias("end")),
+    )
+    return placed.select(doc, "text", F.posexplode(spans).alias("hit", "s")).select(
+        doc, "text", F.lit(name).alias("kind"), "hit", "s.start", "s.end"
     )
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["__g"]
-        end = start + pair["__h"]
-        return F.struct(
-            end.alias("at"),
-            F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"),
-        )
-
-    pairs = F.arrays_zip("__h", F.slice("__g", 1, F.size("__h")).alias("__g"))
-    return sized.select(
-        doc, "text", F.posexplode(F.aggregate(pairs, zero, step, lambda a: a["out"])).alias("hit", "s")
-    ).select(doc, F.lit(name).alias("kind"), "hit", "s.start", "s.end", "text")
 
 
 def triage_previews(

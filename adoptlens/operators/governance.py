@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import (
+    join_null_safe,
     count_where,
     fiscal_quarter,
     fiscal_year,
@@ -59,9 +60,9 @@ def governance_exposure(
         )
     )
     month_total = F.sum("sessions").over(Window.partitionBy("year_month"))
+    used = used.withColumn("session_share", ratio(F.col("sessions"), month_total))
     return (
-        used.withColumn("session_share", ratio(F.col("sessions"), month_total))
-        .join(reviewed, keys, "left")
+        join_null_safe(used, reviewed, keys, "left")
         .withColumn("review_coverage", ratio("mandatory_reviewed", "mandatory_outputs"))
     )
 
@@ -135,7 +136,7 @@ def screen_from_daily(
         F.sum("reviewed").alias("mandatory_reviewed"),
     )
     return (
-        used.join(reviewed, keys, "left")
+        join_null_safe(used, reviewed, keys, "left")
         .withColumn("sensitive_session_rate", ratio("sensitive_sessions", "sessions"))
         .withColumn("review_completion", ratio("mandatory_reviewed", "mandatory_outputs"))
         .fillna(0, ["mandatory_outputs", "mandatory_reviewed"])

@@ -28,15 +28,42 @@ def _merge(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def interval_union(df: DataFrame, keys: Sequence[str], bucket: int = BUCKET) -> DataFrame:
     """Merged intervals per key; touching ones merge.
 
-    Copies shrink on the map side, then intervals merge inside position buckets, so
-    a hot key reaches the last step as few pieces.
+    Copies shrink on the map side, then intervals merge inside position buckets, so a
+    hot key is spread over its buckets. Across buckets only one number each is carried:
+    how far the buckets before it reach. With it, what a bucket's pieces lose to, and
+    what they join with, is settled inside the bucket: the pieces that begin within that
+    reach belong to the run that is open there, and a run is named by the bucket and
+    piece in which it opened. Only the edge pieces of a run meet by that name.
     """
     keys = list(keys)
     longest = df.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    local = _merge(
-        longest.withColumn("__b", F.floor(F.col("start") / bucket)), [*keys, "__b"]
-    ).drop("__b")
-    return _merge(local, keys)
+    local = _merge(longest.withColumn("__b", F.floor(F.col("start") / bucket)), [*keys, "__b"])
+    by_bucket = Window.partitionBy(*keys).orderBy("__b")
+    reaches = (
+        local.groupBy(*keys, "__b")
+        .agg(F.max("end").alias("__max"), F.min("start").alias("__min"), F.max("start").alias("__last"))
+        .withColumn("__reach", F.max("__max").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)))
+        # a run that passes through opened in the last bucket whose last piece nothing before reaches
+        .withColumn("__free", F.coalesce(F.col("__last") > F.col("__reach"), F.lit(True)))
+        .withColumn(
+            "__open",
+            F.last(F.when(F.col("__free"), F.col("__last")), True).over(
+                by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+            ),
+        )
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), "__reach", "__open")
+    )
+    same = F.col("__b") == F.col("__kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = F.coalesce(F.col("start") <= F.col("__reach"), F.lit(False))
+    return (
+        local.join(reaches, same)
+        .withColumn("__run", F.when(joined, F.col("__open")).otherwise(F.col("start")))
+        .groupBy(*keys, "__run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .drop("__run")
+    )
 
 
 def _in_buckets(df: DataFrame, bucket: int) -> DataFrame:
@@ -129,7 +156,6 @@ def budget_context(
     keys: Sequence[str],
     budget: Column | int | str,
     bucket: int = BUCKET,
-    max_cover: int | None = None,
 ) -> DataFrame:
     """The characters chosen by walking proposals in rank order under a budget.
 
@@ -137,10 +163,12 @@ def budget_context(
     belongs to the best ranked proposal that covers it; owners are visited by rank
     and positions in source order until the budget is used; the last piece is cut.
     Returns keys, ``rank``, ``start``, ``end``, with ``deferred_end`` = the end the
-    piece had before the cut. ``budget`` may be a column of ``proposals``.
+    piece had before the cut, which only better ranked proposals limit. ``budget`` may
+    be a column of ``proposals``.
 
-    ``max_cover`` (no position lies in more proposals than this) allows an exact
-    early stop: after proposals of total length max_cover x budget the budget is full.
+    No position lies in more proposals than the deepest one of its key. Once better
+    ranked proposals are longer together than that depth times the budget, the budget
+    is full, and worse ones are left out; they change neither pieces nor their ends.
     """
     keys = list(keys)
     if isinstance(budget, int):
@@ -149,16 +177,24 @@ def budget_context(
         limit = F.col(budget) if isinstance(budget, str) else budget
     p = proposals.select(*keys, "rank", "start", "end", limit.cast("long").alias("__budget"))
     p = p.where(F.col("end") > F.col("start"))
-    if max_cover is not None:
-        by_rank = Window.partitionBy(*keys).orderBy("rank")
-        seen = F.sum(F.col("end") - F.col("start")).over(
-            by_rank.rowsBetween(Window.unboundedPreceding, -1)
-        )
-        p = (
-            p.withColumn("__seen", F.coalesce(seen, F.lit(0)))
-            .where(F.col("__seen") < F.col("__budget") * max_cover)
-            .drop("__seen")
-        )
+    edge = F.array(
+        F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d"))
+    )
+    sweep = Window.partitionBy(*keys).orderBy("__e.at", "__e.d").rowsBetween(Window.unboundedPreceding, 0)
+    depth = (
+        p.select(*keys, F.explode(edge).alias("__e"))
+        .withColumn("__depth", F.sum("__e.d").over(sweep))
+        .groupBy(*keys)
+        .agg(F.max("__depth").alias("__depth"))
+    )
+    by_rank = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.col("end") - F.col("start")).over(by_rank), F.lit(0))
+    p = (
+        p.withColumn("__seen", seen)
+        .join(depth, keys)
+        .where(F.col("__seen") < F.col("__budget") * F.col("__depth"))
+        .drop("__seen", "__depth")
+    )
     cuts = (
         p.select(*keys, "__budget", F.explode(F.array("start", "end")).alias("start")).distinct()
     )
@@ -177,33 +213,26 @@ def budget_context(
         .groupBy(*keys, "__budget", "start", "end")
         .agg(F.min("rank").alias("rank"))
     )
+    # neighbouring segments of one owner are one piece
+    by_owner = Window.partitionBy(*keys, "rank").orderBy("start")
+    touches = F.col("start") == F.lag("end").over(by_owner)
+    pieces = (
+        owned.withColumn("__new", F.when(touches, 0).otherwise(1))
+        .withColumn("__piece", F.sum("__new").over(by_owner))
+        .groupBy(*keys, "__budget", "rank", "__piece")
+        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("deferred_end"))
+        .drop("__piece")
+    )
     walk = Window.partitionBy(*keys).orderBy("rank", "start")
-    length = F.col("end") - F.col("start")
+    length = F.col("deferred_end") - F.col("start")
     before = F.coalesce(
         F.sum(length).over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    taken = (
-        owned.withColumn("__before", before)
-        .where(F.col("__before") < F.col("__budget"))
-        .withColumn("deferred_end", F.col("end"))
-        .withColumn(
-            "end",
-            F.col("start") + F.least(length, F.col("__budget") - F.col("__before")),
-        )
-    )
-    # neighbouring segments of one owner are one piece again
-    by_owner = Window.partitionBy(*keys, "rank").orderBy("start")
-    joined = F.col("start") == F.lag("deferred_end").over(by_owner)
     return (
-        taken.withColumn("__new", F.when(joined, 0).otherwise(1))
-        .withColumn("__piece", F.sum("__new").over(by_owner))
-        .groupBy(*keys, "rank", "__piece")
-        .agg(
-            F.min("start").cast("long").alias("start"),
-            F.max("end").cast("long").alias("end"),
-            F.max("deferred_end").cast("long").alias("deferred_end"),
-        )
-        .drop("__piece")
+        pieces.withColumn("__before", before)
+        .where(F.col("__before") < F.col("__budget"))
+        .withColumn("end", F.col("start") + F.least(length, F.col("__budget") - F.col("__before")))
+        .select(*keys, "rank", "start", "end", "deferred_end")
     )
 
 

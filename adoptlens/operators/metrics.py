@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import count_where, fiscal_year, is_sensitive, ratio, sum_where
+from ..functions.exprs import count_where, fiscal_year, is_sensitive, join_null_safe, ratio, sum_where
 from ..functions.policy import is_mandatory
 from .percentiles import exact_percentiles
 
@@ -201,12 +201,12 @@ def evaluate(
 
     result = full[0] if full else None
     for frame in full[1:]:
-        result = result.join(frame, by, "full")
+        result = join_null_safe(result, frame, by, "full")
     for keys, frame in partial:
         if result is None:
             result = frame
         elif keys:
-            result = result.join(frame, keys, "left")
+            result = join_null_safe(result, frame, keys, "left")
         else:
             row = frame.select(F.struct("*")).scalar()
             for name in frame.columns:

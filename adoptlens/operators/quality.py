@@ -7,20 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_where, ratio, sum_where, year_month
+from ..functions.exprs import count_where, ratio, year_month
 from ..functions.policy import is_mandatory
 from .percentiles import exact_percentiles
 
 PANEL_KEYS = ("year_month", "tool_name", "task_name", "review_type", "practice_area")
 
 
-def null_safe_equal_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def quality_panel(
     sessions: DataFrame,
     enriched: DataFrame,
@@ -163,11 +156,3 @@ def freed_capacity_summary(capacity: DataFrame, population: str) -> DataFrame:
             "net_hours_lost_per_lawyer"
         ),
     )
-
-
-def heavy_rework_share(outputs: DataFrame, by: Sequence[str], above: float = 40) -> DataFrame:
-    heavy = F.col("accepted") & (F.col("edit_distance_pct") > above)
-    return outputs.groupBy(*by).agg(
-        ratio(count_where(heavy), count_where(F.col("accepted"))).alias("heavy_rework_share"),
-        sum_where(heavy, F.lit(1)).alias("heavy_rework"),
-    )

@@ -1,27 +1,34 @@
 """Row numbers, prefix counts and ranks over a whole table without a one-task window.
 
 A window with no partition key sorts everything in one task. Here a score is cut
-into ordered buckets by a fixed linear rule, bucket totals are summed (a table of
-at most ``buckets`` rows), and the exact order is settled inside each bucket.
+into ordered buckets at quantiles of a sketch, so that an outlier or a long tail does
+not fill one of them, bucket totals are summed (a table of at most ``BUCKETS`` rows per
+group), and the exact order is settled inside each bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exprs import join_null_safe
 from ..session import cut_lineage
 
-BUCKETS = 2048
+BUCKETS = 256
+ACCURACY = 10 * BUCKETS
 
 
-def _linear_bucket(value, low, high, buckets: int = BUCKETS):
-    width = (high - low).cast("double")
-    share = F.when(width > 0, (value - low).cast("double") / width).otherwise(F.lit(0.0))
-    return F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")
+def _edges(value: Column) -> Column:
+    grid = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    return F.percentile_approx(value, grid, ACCURACY)
+
+
+def _bucket(value: Column, edges: Column) -> Column:
+    """Equal values share a bucket, and buckets keep their order."""
+    return F.coalesce(F.size(F.filter(edges, lambda e: e < value)), F.lit(0))
 
 
 def global_rank(
@@ -35,29 +42,30 @@ def global_rank(
     """Adds ``row_number`` (score order, then ``tie`` ascending) and ``average_rank``.
 
     ``tie`` must be a number that is unique inside a ``by`` group, or ``tie_break``
-    columns settle what it leaves open. Rows with equal
-    scores share ``average_rank``, the mean of the row numbers they occupy. A
-    score held by a third of all rows is split by ranges of ``tie``.
+    columns settle what it leaves open. Rows with equal scores share ``average_rank``,
+    the mean of the row numbers they occupy; NULL scores come last and are equal to each
+    other. NULL is a ``by`` group of its own. A score held by a third of all rows is
+    split by ranges of ``tie``.
     """
     by = list(by)
     own = by or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(1))
     signed = -F.col(score).cast("double") if descending else F.col(score).cast("double")
     # several branches read the rows; a checkpoint makes them read the same values
-    rows = cut_lineage(rows.withColumn("__s", signed))
+    rows = cut_lineage(
+        rows.withColumn("__z", F.col(score).isNull()).withColumn("__s", F.coalesce(signed, F.lit(0.0)))
+    )
 
     bounds = rows.groupBy(*own).agg(
-        F.min("__s").alias("__s0"),
-        F.max("__s").alias("__s1"),
-        F.min(tie).alias("__t0"),
-        F.max(tie).alias("__t1"),
+        _edges(F.when(~F.col("__z"), F.col("__s"))).alias("__se"), _edges(F.col(tie)).alias("__te")
     )
     # scores: counts per distinct score, then a two-level running total
+    score_bucket = F.when(F.col("__z"), F.lit(BUCKETS)).otherwise(_bucket(F.col("__s"), F.col("__se")))
     cells = (
-        rows.join(bounds, own)
-        .withColumn("__tb", _linear_bucket(F.col(tie), F.col("__t0"), F.col("__t1")))
-        .withColumn("__sb", _linear_bucket(F.col("__s"), F.col("__s0"), F.col("__s1")))
-        .drop("__s0", "__s1", "__t0", "__t1")
+        join_null_safe(rows, bounds, own)
+        .withColumn("__tb", _bucket(F.col(tie), F.col("__te")))
+        .withColumn("__sb", score_bucket)
+        .drop("__se", "__te", "__z")
     )
     per_score = cells.groupBy(*own, "__sb", "__s").agg(F.count(F.lit(1)).alias("__n"))
     per_bucket = per_score.groupBy(*own, "__sb").agg(F.sum("__n").alias("__bn"))
@@ -68,11 +76,11 @@ def global_rank(
     inside = (
         Window.partitionBy(*own, "__sb").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     )
-    score_start = (
-        per_score.withColumn("__i0", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-        .join(bucket_start, [*own, "__sb"])
-        .select(*own, "__sb", "__s", "__n", (F.col("__b0") + F.col("__i0")).alias("__start"))
-    )
+    score_start = join_null_safe(
+        per_score.withColumn("__i0", F.coalesce(F.sum("__n").over(inside), F.lit(0))),
+        bucket_start,
+        [*own, "__sb"],
+    ).select(*own, "__sb", "__s", "__n", (F.col("__b0") + F.col("__i0")).alias("__start"))
     # ties: counts per tie range inside one score, at most BUCKETS rows per score
     per_tie = cells.groupBy(*own, "__sb", "__s", "__tb").agg(F.count(F.lit(1)).alias("__tn"))
     tie_before = (
@@ -80,14 +88,14 @@ def global_rank(
         .orderBy("__tb")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = (
-        per_tie.withColumn("__t", F.coalesce(F.sum("__tn").over(tie_before), F.lit(0)))
-        .join(score_start, [*own, "__sb", "__s"])
-        .select(*own, "__sb", "__s", "__tb", "__start", "__n", "__t")
-    )
+    starts = join_null_safe(
+        per_tie.withColumn("__t", F.coalesce(F.sum("__tn").over(tie_before), F.lit(0))),
+        score_start,
+        [*own, "__sb", "__s"],
+    ).select(*own, "__sb", "__s", "__tb", "__start", "__n", "__t")
     last = Window.partitionBy(*own, "__sb", "__s", "__tb").orderBy(tie, *tie_break)
     ranked = (
-        cells.join(starts, [*own, "__sb", "__s", "__tb"])
+        join_null_safe(cells, starts, [*own, "__sb", "__s", "__tb"])
         .withColumn("row_number", F.col("__start") + F.col("__t") + F.row_number().over(last))
         .withColumn("average_rank", F.col("__start") + (F.col("__n") + 1) / 2.0)
     )
@@ -116,8 +124,7 @@ def running_total(df: DataFrame, value: str, position: str, by: Sequence[str] =
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     out = (
-        rows.withColumn("__in", F.sum(value).over(inside))
-        .join(starts, [*own, "__blk"])
+        join_null_safe(rows.withColumn("__in", F.sum(value).over(inside)), starts, [*own, "__blk"])
         .withColumn("running", F.col("__b0") + F.col("__in"))
     )
     return out.drop("__blk", "__in", "__b0", *([] if by else ["__all"]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import count_where, ratio
+
 from ..session import cut_lineage
 
 Z95 = 1.96
@@ -232,14 +232,3 @@ def control_sensitivity(time: DataFrame, sessions: DataFrame, **names) -> DataFr
         "control", F.lit("same lawyers")
     )
     return clean.unionByName(mixed)
-
-
-def arm_sizes(df: DataFrame, cell: str = "cell") -> DataFrame:
-    """Rows of both arms per cell, and the treated share."""
-    treated = count_where(F.col("arm") == 1)
-    control = count_where(F.col("arm") == 0)
-    return df.groupBy(cell).agg(
-        treated.alias("treated"),
-        control.alias("control"),
-        ratio(treated, treated + control).alias("treated_share"),
-    )

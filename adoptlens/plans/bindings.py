@@ -13,6 +13,12 @@ from ..operators.cost import seat_usage
 from ..operators.feeds import feed_runs, feed_health
 
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKERS, edit_ratio, mask_contacts, normalized
+from ..functions.text import (
+    MARKERS,
+    PREVIEW_AFTER,
+    PREVIEW_BEFORE,
+    PREVIEW_HITS,
+    PREVIEW_MARKERS,
+    edit_ratio,
+    mask_contacts,
+    normalized,
+)
 from ..operators import bm25, chunking, corpus, diagnostics, intervals, metrics, scoring
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from . import bindings as b
 from .bindings import rounded
 
@@ -43,31 +52,34 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents").select(
         F.col("doc_id").alias("document_id"), "text", "lang", "source"
     )
-    return spread(docs)
+    return docs
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, document_id) for every document that contains the passage verbatim.
 
-    A contained passage brings its inner words along, so four of them, hashed, are an
-    equality key; only documents that share the key are searched for the passage.
+    A contained passage brings its inner words along, so up to ANCHOR of them, hashed, are
+    an equality key; only documents that share the key are searched for the passage. Only
+    the lengths of anchor that passages have are looked for in documents. A passage of
+    fewer than three words has no inner word and is searched for in every document.
     """
     words = F.split("text", r"\s+")
-    inner = passages.withColumn("__w", words).withColumn(
-        "__key",
-        F.when(
-            F.size("__w") >= ANCHOR + 2, F.xxhash64(F.slice("__w", 2, ANCHOR))
-        ).otherwise(F.raise_error(F.lit("passage too short for its anchor")).cast("long")),
-    )
     n = F.size("__w")
-    grams = F.transform(
-        F.sequence(F.lit(1), n - ANCHOR + 1), lambda i: F.xxhash64(F.slice("__w", i, ANCHOR))
-    )
-    keyed = (
-        docs.select("document_id", words.alias("__w"))
-        .where(n >= ANCHOR)
-        .select("document_id", F.explode(F.array_distinct(grams)).alias("__key"))
-    )
+    size = F.least(F.lit(ANCHOR), F.greatest(F.lit(0), n - 2))
+    inner = passages.withColumn("__w", words).withColumn("__size", size)
+    inner = inner.withColumn("__key", F.xxhash64("__size", F.slice("__w", F.lit(2), F.col("__size"))))
+    sizes = sorted(r[0] for r in inner.select("__size").distinct().collect())
+
+    def grams(k: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.lit(k), F.slice("__w", i, F.lit(k)))
+        )
+        none = F.array().cast("array<bigint>")
+        return F.when(n >= k, F.array_distinct(found)).otherwise(none)
+
+    keys = [grams(k) if k else F.array(F.xxhash64(F.lit(0), F.array().cast("array<string>"))) for k in sizes]
+    keys = F.concat(*keys) if keys else F.array().cast("array<bigint>")
+    keyed = docs.select("document_id", words.alias("__w")).select("document_id", F.explode(keys).alias("__key"))
     candidates = keyed.join(inner.select("item_id", "__key"), "__key").select(
         "item_id", "document_id"
     )
@@ -254,16 +266,10 @@ def retrieval(spark: SparkSession, d: str, narrow: bool = True) -> dict[str, Dat
 def contexts(run: dict[str, DataFrame]) -> DataFrame:
     """Equal-budget contexts of both configurations, written out before any gold is read."""
     baseline = intervals.budget_context(
-        run["narrow"],
-        ["case_id"],
-        BUDGET,
-        max_cover=chunking.max_cover(NARROW_WORDS, NARROW_OVERLAP),
+        run["narrow"], ["case_id"], BUDGET
     ).withColumn("config_id", F.lit("baseline"))
     candidate = intervals.budget_context(
-        run["proposals"],
-        ["case_id"],
-        BUDGET,
-        max_cover=chunking.max_cover(WORDS, OVERLAP) + 1,
+        run["proposals"], ["case_id"], BUDGET
     ).withColumn("config_id", F.lit("candidate"))
     return cut_lineage(baseline.unionByName(candidate))
 
@@ -685,18 +691,67 @@ def triage_markers(spark: SparkSession, d: str) -> DataFrame:
     return corpus.triage_markers(documents(spark, d), PLAIN_MARKERS)
 
 
-@query()
+# The SQL engine's patterns lack look-around. With every character but digits written
+# twice, a pattern may take half of a neighbour and leave the other half to the next match.
+TWICE_SQL = "regexp_replace(text, '([^0-9])', '\\1\\1', 'g')"
+GAP_SQL = r"(?:--|\.\.|\s\s)"
+CONTACT_SQL = {
+    "phone_like": rf"(?:(?:\+\+)?1(?:{GAP_SQL})?)?(?:\(\([0-9]{{3}}\)\)|[0-9]{{3}}){GAP_SQL}[0-9]{{3}}{GAP_SQL}[0-9]{{4}}",
+    "ssn_like": r"[0-9]{3}--[0-9]{2}--[0-9]{4}",
+}
+
+
+@query(
+    "WITH t AS (SELECT doc_id, "
+    + TWICE_SQL
+    + " AS twice FROM documents) SELECT doc_id AS document_id, "
+    + ", ".join(
+        f"CAST(len(regexp_extract_all(twice, '(?:^|[^0-9]){p}(?:$|[^0-9])')) AS INT) AS {n}" for n, p in CONTACT_SQL.items()
+    )
+    + " FROM t"
+)
 def triage_contacts(spark: SparkSession, d: str) -> DataFrame:
     """The families that need look-around, which the SQL engine's patterns lack."""
     return corpus.triage_markers(documents(spark, d), ["phone_like", "ssn_like"])
 
 
-@query()
+def _masked_sql(text: str) -> str:
+    """``mask_contacts`` in SQL; a tag is a private sign until all patterns have run."""
+    out = f"regexp_replace({text}, '(?i){MARKERS['email']}', chr(57344), 'g')"
+    out = f"regexp_replace({out}, '([^0-9' || chr(57344) || '])', '\\1\\1', 'g')"
+    for sign, pattern in ((57345, CONTACT_SQL["phone_like"]), (57346, CONTACT_SQL["ssn_like"])):
+        out = f"regexp_replace({out}, '(^|[^0-9]){pattern}($|[^0-9])', '\\1' || chr({sign}) || '\\2', 'g')"
+    tags = "' || chr(57344) || chr(57345) || chr(57346) || '"
+    out = f"regexp_replace({out}, '([^0-9{tags}])[^0-9{tags}]', '\\1', 'g')"
+    for sign, name in ((57344, "EMAIL"), (57345, "PHONE_LIKE"), (57346, "SSN_LIKE")):
+        out = f"replace({out}, chr({sign}), '[{name}]')"
+    return out
+
+
+def _previews_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id AS document_id, '{n}' AS kind, text, "
+        f"list_transform(regexp_extract_all(text, '(?i){MARKERS[n]}'), lambda x: length(x)) AS h, "
+        f"list_transform(string_split_regex(text, '(?i){MARKERS[n]}'), lambda x: length(x)) AS g FROM documents"
+        for n in PREVIEW_MARKERS
+    )
+    return f"""WITH f AS ({found}),
+u AS (SELECT *, unnest(range(least(len(h), {PREVIEW_HITS}))) AS hit FROM f),
+p AS (SELECT *, list_sum(g[1:hit + 1]) + coalesce(list_sum(h[1:hit]), 0) AS found FROM u),
+w AS (SELECT *, greatest(0, found - {PREVIEW_BEFORE}) AS a, least(length(text), found + h[hit + 1] + {PREVIEW_AFTER}) AS b FROM p)
+SELECT document_id, kind, CAST(hit AS INT) AS hit, CAST(a AS INT) AS "start", CAST(b AS INT) AS "end",
+  {_masked_sql("substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT))")} AS preview FROM w"""
+
+
+@query(_previews_sql())
 def triage_previews(spark: SparkSession, d: str) -> DataFrame:
     return corpus.triage_previews(documents(spark, d))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT doc_id AS document_id, text, {_masked_sql("text")} AS masked FROM documents)
+SELECT document_id, sha256(masked) AS masked_hash, CAST(length(masked) AS INT) AS characters FROM m WHERE masked <> text"""
+)
 def masked_contacts(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     masked = mask_contacts("text")
@@ -735,21 +790,24 @@ def masked_spans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ASCII = "[^ -~]"
+
+
+# The SQL engine's edit distance works on bytes. So every letter beyond ASCII becomes a
+# control character that does not occur, a byte of its own.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüÀàâáÁôîû"
+CONTROLS = [*range(1, 9), 11, 12, *range(14, 32), 127]
+ONE_BYTE_SQL = f"translate(text, '{LETTERS}', {' || '.join(f'chr({c})' for c, _ in zip(CONTROLS, LETTERS))})"
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '#', 'g') AS text FROM conversations)
+    f"""WITH t AS (SELECT conv_id, turn, role, {ONE_BYTE_SQL} AS text FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN greatest(length(a.text), length(b.text)) = 0 THEN 0.0
   ELSE levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) END, 6) AS edit_ratio
 FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"""
 )
 def edit_ratio_by_conversation(spark: SparkSession, d: str) -> DataFrame:
-    """Each answer against its question. Other than printable ASCII characters count as
-    one sign, because the SQL engine's distance works on bytes."""
-    turns = spread(b.table(spark, d, "conversations")).withColumn(
-        "text", F.regexp_replace("text", ASCII, "#")
-    )
+    """Each answer against its question."""
+    turns = b.table(spark, d, "conversations")
     asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("a"))
     answered = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")
@@ -761,13 +819,14 @@ def edit_ratio_by_conversation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, sha256(concat('{"page_id":', page_id, ',"url":"', url, '"}')) AS record_hash FROM pages"""
+    """SELECT page_id, sha256(concat('{"html":', to_json(html), ',"page_id":', page_id, ',"url":', to_json(url), '}')) AS record_hash
+FROM pages"""
 )
 def canonical_hashes(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import canonical_hash, sorted_struct
 
-    pages = b.table(spark, d, "pages").select("page_id", "url")
-    return pages.select("page_id", canonical_hash(sorted_struct("url", "page_id")).alias("record_hash"))
+    pages = b.table(spark, d, "pages")
+    return pages.select("page_id", canonical_hash(sorted_struct("url", "page_id", "html")).alias("record_hash"))
 
 
 # --- evidence answers --------------------------------------------------------

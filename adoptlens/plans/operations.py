@@ -1106,13 +1106,10 @@ def expectation_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'customer' AS "table", count(*) AS rows FROM customer
-UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents"""
+    " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows FROM {n}" for n in b.TABLES)
 )
 def row_counts(spark: SparkSession, d: str) -> DataFrame:
-    names = ["customer", "orders", "lineitem", "events", "documents"]
-    return checks.row_counts({n: b.table(spark, d, n) for n in names})
+    return checks.row_counts({n: b.table(spark, d, n) for n in b.TABLES})
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, operations, telemetry
+from . import evidence, operations, stores, telemetry
 
-MODULES = (operations, evidence, telemetry)
+MODULES = (operations, evidence, telemetry, stores)
 
 
 def queries() -> dict:

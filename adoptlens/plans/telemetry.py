@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.events import parse_events, validate_events
 from ..operators import cost, ingestion, monitor, requests
-from ..session import cut_lineage, shared_dir, spread
+from ..session import cut_lineage, shared_dir
 from ..streaming import ingest, windows
 from ..streaming import monitor as stream_monitor
 from . import bindings as b
@@ -148,7 +148,7 @@ def event_lines(
 
 
 def parsed(spark: SparkSession, d: str, source: Column | None = None) -> DataFrame:
-    return parse_events(event_lines(spread(b.table(spark, d, "events")), source))
+    return parse_events(event_lines(b.table(spark, d, "events"), source))
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
@@ -589,7 +589,14 @@ def stream_windowed_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return _clock(rounded(windows.run_available(stream, "error-rate"), "error_rate"))
 
 
-@query()
+@query(
+    WINDOW_SQL.format(
+        extra="CAST(event_id % 5 AS INT) AS tool_id, CAST(round(value * 100) AS BIGINT) AS latency",
+        columns="tool_id, count(*) AS sessions, quantile_disc(latency, 0.95) AS p95_latency_ms",
+        out="tool_id, sessions, p95_latency_ms",
+        where=" WHERE event_type <> 'error'",
+    ).replace("FROM events), w AS", "FROM events WHERE event_type <> 'error'), w AS").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, tool_id)")
+)
 def stream_windowed_p95(spark: SparkSession, d: str) -> DataFrame:
     stream = windows.windowed_p95(session_stream(spark, d), by=["tool_id"])
     return _clock(windows.run_available(stream, "p95"))

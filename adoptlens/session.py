@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths below the shared folder that this driver has handed out.
+_handed_out: list[str] = []
+
 
 def build_session(app: str = "adoptlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -46,7 +51,26 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder for one run of one job."""
-    return f"{shared_root(spark)}/adoptlens/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/adoptlens/{purpose}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written to the shared folder inside it.
+
+    Results read those tables, so write or collect them inside as well.
+    """
+    start = len(_handed_out)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _handed_out[start:]:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        del _handed_out[start:]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -58,13 +82,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a table has fewer splits than the cluster has cores.
-
-    For work that is heavy per row (parsing, tokenising). A large table has splits
-    enough and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -27,9 +27,13 @@ RUN_LOG_SCHEMA = (
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored rows; none only if nothing is stored at the path. Any other error, a
+    store of another shape for example, is the caller's."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -120,7 +124,7 @@ def run_logged(
         rows = work()
         return rows
     except Exception as exc:
-        status, message = "Failed", str(exc)[:1000]
+        status, message = "Failed", str(exc)
         raise
     finally:
         finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -129,13 +133,6 @@ def run_logged(
         ).coalesce(1).write.mode("append").parquet(log_path)
 
 
-def write_counted(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Writes Parquet and returns the number of rows, counted by the same job."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    return seen.get["rows"]
-
-
 # --- evaluation runs -------------------------------------------------------
 
 CASE_FIELDS = [

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.events import PAYLOAD_TYPE, parse_events, validate_events
+from ..sources.store import read_if_exists
 from ..operators.ingestion import dedupe_events, ingest_conflicts, provenance_violations
 
 LOG_SCHEMA = (
@@ -27,18 +27,19 @@ LEDGER_SCHEMA = (
 class EventStore:
     """Event log, ledger and quarantine below one shared folder.
 
-    One streaming query owns a store. Every table is partitioned by the micro-batch
-    number and a batch only rewrites its own partition, so a retry after a lost
-    executor or driver leaves the same rows.
+    One streaming query at a time feeds a store. Every table is partitioned by ``batch``,
+    which names a micro-batch by its number and its content, and a batch only rewrites its
+    own partition. So a retry after a lost executor or driver leaves the same rows, and a
+    query with a new checkpoint, which counts from 0 again, adds to what is stored.
     """
 
     root: str
 
     def log(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, f"{self.root}/event_log", LOG_SCHEMA)
+        return read_if_exists(spark, f"{self.root}/event_log", LOG_SCHEMA)
 
     def ledger(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, f"{self.root}/ingestion_run", LEDGER_SCHEMA)
+        return read_if_exists(spark, f"{self.root}/ingestion_run", LEDGER_SCHEMA)
 
     def ingest(self, validated: DataFrame, batch_id: int) -> str:
         """One batch of ``validate_events`` rows; returns the ledger status."""
@@ -46,10 +47,13 @@ class EventStore:
         started = spark.range(1).select(F.current_timestamp()).head()[0]
         batch = validated.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            total = batch.count()
+            total, content = batch.agg(
+                F.count(F.lit(1)), F.sum(F.xxhash64("event_json").cast("decimal(38,0)"))
+            ).head()
+            key = spark.range(1).select(F.xxhash64(F.lit(batch_id), F.lit(str(content)))).head()[0]
             # rows a failed attempt of this very batch may have left do not count as stored;
             # only log rows that share an id with the batch are compared
-            log = self.log(spark).where(F.col("batch") != batch_id)
+            log = self.log(spark).where(F.col("batch") != key)
             same_event = log.join(batch.select("event_id").distinct(), "event_id", "left_semi")
             same_request = log.join(
                 batch.where(F.col("request_id").isNotNull()).select("request_id").distinct(),
@@ -70,11 +74,11 @@ class EventStore:
             if error is None:
                 fresh = dedupe_events(batch, same_event).drop("violations")
                 inserted = self._write(
-                    fresh, "event_log", LOG_SCHEMA, batch_id, "event_type", "batch"
+                    fresh, "event_log", LOG_SCHEMA, key, "event_type", "batch"
                 )
             else:
                 lines = batch.select("event_json", F.array_join("violations", ",").alias("rules"))
-                lines.withColumn("batch", F.lit(batch_id).cast("long")).write.mode(
+                lines.withColumn("batch", F.lit(key).cast("long")).write.mode(
                     "overwrite"
                 ).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(
                     f"{self.root}/quarantine"
@@ -89,17 +93,17 @@ class EventStore:
                 F.lit(inserted).cast("long").alias("inserted_count"),
                 F.lit(error).cast("string").alias("error_code"),
             )
-            self._write(entry, "ingestion_run", LEDGER_SCHEMA, batch_id, "batch")
+            self._write(entry, "ingestion_run", LEDGER_SCHEMA, key, "batch")
             return status
         finally:
             batch.unpersist()
 
-    def _write(self, df: DataFrame, table: str, schema: str, batch_id: int, *by: str) -> int:
+    def _write(self, df: DataFrame, table: str, schema: str, key: int, *by: str) -> int:
         from pyspark.sql import Observation
 
         names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
         seen = Observation()
-        df.withColumn("batch", F.lit(batch_id).cast("long")).select(*names).observe(
+        df.withColumn("batch", F.lit(key).cast("long")).select(*names).observe(
             seen, F.count(F.lit(1)).alias("rows")
         ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *by
@@ -107,13 +111,6 @@ class EventStore:
         return seen.get["rows"]
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
 def ingest_stream(lines: DataFrame, store: EventStore, checkpoint: str, once: bool = True):
     """Starts the query that feeds the store. ``lines`` is a stream with column value."""
     writer = (

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from adoptlens.plans import registry
-from adoptlens.session import build_session
+from adoptlens.session import build_session, scratch
 
 HEADLINE = [
     "review_coverage_by_tier",
@@ -43,6 +44,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,8 +52,9 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        with scratch(spark):
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {

@@ -77,13 +77,6 @@ def test_budget_context_matches_a_walk(spark, bucket):
     assert got == want
 
 
-def test_early_stop_is_exact(spark):
-    rows = [(0, r, s, s + 12) for r, s in enumerate([24, 0, 8, 32, 16, 40])]
-    df = spark.createDataFrame(rows, "k int, rank int, start long, end long")
-    key = lambda d: sorted(tuple(r) for r in d.collect())
-    assert key(iv.budget_context(df, ["k"], 20)) == key(iv.budget_context(df, ["k"], 20, max_cover=2))
-
-
 def test_budget_may_be_a_column(spark):
     df = spark.createDataFrame([(0, 1, 0, 10, 4), (1, 1, 0, 10, 7)], "k int, rank int, start long, end long, n int")
     got = sorted((r["k"], r["end"], r["deferred_end"]) for r in iv.budget_context(df, ["k"], "n").collect())
