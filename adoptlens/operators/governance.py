@@ -79,6 +79,13 @@ def governance_screen(
     )
 
 
+def eligible_screen(screen: DataFrame, min_mandatory: int = MIN_MANDATORY) -> DataFrame:
+    """The quarters of lawyers whose mandatory outputs reach the minimum over all quarters."""
+    total = screen.groupBy("lawyer_id").agg(F.sum("mandatory_outputs").alias("__total"))
+    enough = total.where(F.col("__total") >= min_mandatory).select("lawyer_id")
+    return screen.join(enough, "lawyer_id", "left_semi")
+
+
 def daily_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions counted per day, lawyer, matter and tool. A hot lawyer or source
     shrinks on the map side, and many reports read this instead of the sessions."""

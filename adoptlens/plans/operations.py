@@ -504,6 +504,9 @@ KPI_EXACT = {
     "matters",
     "lawyers_never_adopted",
     "ai_matters",
+    "screen_mandatory_outputs",
+    "open_incidents",
+    "breached_rules",
 }
 
 
@@ -598,6 +601,35 @@ def kpi_overall(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(
+    POLICY_SQL
+    + SCREEN_CTE.rstrip()
+    + """, e AS (SELECT lawyer_id FROM screen GROUP BY 1 HAVING sum(mandatory_outputs) >= 25)
+SELECT CAST(fy_quarter AS INT) AS fy_quarter, CAST(sum(mandatory_outputs) AS BIGINT) AS screen_mandatory_outputs,
+  round(sum(mandatory_reviewed) / sum(mandatory_outputs), 6) AS screen_completion,
+  round(sum(sensitive_sessions) / sum(sessions), 6) AS screen_sensitive_rate
+FROM screen WHERE lawyer_id IN (SELECT lawyer_id FROM e) GROUP BY 1"""
+)
+def screen_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Screen measures per fiscal quarter, of lawyers with enough outputs in all."""
+    screen = governance.governance_screen(b.sessions(spark, d), b.enriched(spark, d), b.matters(spark, d))
+    names = ["screen_mandatory_outputs", "screen_completion", "screen_sensitive_rate"]
+    return _evaluate(names, {"screen": governance.eligible_screen(screen)}, ["fy_quarter"])
+
+
+@query(
+    with_sql(SESSIONS_SQL, b.INCIDENTS_SQL)
+    + f"""SELECT count(*) FILTER (WHERE NOT resolved) AS open_incidents,
+  (SELECT count(*) FILTER (WHERE is_breached) FROM ({ALERT_SQL})) AS breached_rules FROM incidents"""
+)
+def watch_list(spark: SparkSession, d: str) -> DataFrame:
+    facts = {
+        "incidents": b.incidents(spark, d),
+        "alerts": alerts.alert_status(b.star(spark, d), alerts.rule_catalogue(spark)),
+    }
+    return _evaluate(["open_incidents", "breached_rules"], facts, [])
+
+
 @query(
     """WITH m AS (SELECT c_mktsegment AS level, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
     count(DISTINCT o_custkey) / any_value(p.n) AS adoption_rate
