@@ -30,7 +30,8 @@ def _shifted(values: str, by: int, n: Column) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array<struct<pos, hash>>, the anchors of ``text`` by position in tokens.
+    """Adds ``out``: struct<pos, hash>, two lists: where the anchors of ``text`` are, in
+    tokens, and their hashes.
 
     A text with fewer than K tokens has one anchor, the hash of them all; one without
     tokens has none. Each step is a column of its own, because Spark would evaluate an
@@ -65,21 +66,19 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     kmer = F.zip_with("__first", "__rest", lambda a, b: F.xxhash64(a, b))
     chosen = F.zip_with("__low", "__edge", lambda a, b: a == b)
-    placed = F.filter(
+    chosen = F.zip_with(kmer, chosen, lambda x, c: F.when(c, x))
+    whole = F.shiftright(F.xxhash64(F.array_join("__t", " ")), 32).cast("int")
+    found = F.filter(
         F.transform(
-            F.zip_with(kmer, chosen, lambda x, c: F.when(c, x)),
+            chosen,
             lambda x, i: F.struct(i.alias("pos"), F.shiftright(x, 32).cast("int").alias("hash")),
         ),
         lambda a: a["hash"].isNotNull(),
     )
-    whole = F.array(
-        F.struct(
-            F.lit(0).alias("pos"),
-            F.shiftright(F.xxhash64(F.array_join("__t", " ")), 32).cast("int").alias("hash"),
-        )
-    )
-    none = F.array().cast("array<struct<pos:int,hash:int>>")
-    anchors = F.when(F.col("__n") >= K, placed).when(F.col("__n") > 0, whole).otherwise(none)
+    short = F.filter(F.array(F.struct(F.lit(0).alias("pos"), whole.alias("hash"))), lambda a: F.col("__n") > 0)
+    step = add(step, found=F.when(F.col("__n") >= K, found).otherwise(short))
+    # two lists of numbers take a quarter of the room that a list of pairs takes
+    anchors = F.struct(F.col("__found")["pos"].alias("pos"), F.col("__found")["hash"].alias("hash"))
     return step.select(*keep, anchors.alias(out))
 
 
@@ -94,7 +93,7 @@ def _unsigned(h: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard index of two lists of anchors; 1 for two empty ones."""
+    """The Jaccard index of the anchors of two texts; 1 for two without any."""
     x, y = a["hash"], b["hash"]
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
@@ -148,9 +147,12 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_positions: bool = False
+) -> DataFrame:
     """One row per document: doc_id, text, anchors, next (text and anchors of the next
-    document by descending doc_id; see ``with_next``), edited, edited_anchors.
+    document by descending doc_id; see ``with_next``), edited, edited_anchors. ``anchors`` and
+    next.anchors move with their texts, so they have positions only if asked for.
 
     A null text is empty; texts without tokens have no anchors and are like each other.
     Equal texts have equal anchors. Repeated rows are rows of their own. Other columns are
@@ -159,6 +161,9 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), whole_text(F.col(text_col)).alias("text")
     )
-    rows = with_next(with_anchors(texts, "text", "anchors"), "text", ["text", "anchors"])
+    rows = with_anchors(texts, "text", "anchors")
+    if not with_positions:
+        rows = rows.withColumn("anchors", F.struct(F.col("anchors.hash").alias("hash")))
+    rows = with_next(rows, "text", ["text", "anchors"])
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next.text")))
     return with_anchors(rows, "edited", "edited_anchors")

@@ -40,7 +40,7 @@ def empty(spark):
 
 def test_fingerprints_of_edge_texts(edge):
     docs = sorted(((i, t or "") for i, t in plain.edge_rows()), reverse=True)
-    found = {r["doc_id"]: r for r in fingerprints.fingerprints(edge).collect()}
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(edge, with_positions=True).collect()}
     assert len(found) == len(docs)
     for k, (i, text) in enumerate(docs):
         following = docs[(k + 1) % len(docs)][1]
@@ -48,7 +48,7 @@ def test_fingerprints_of_edge_texts(edge):
         edited = text[: n - n // 2] + following[: n // 2]
         row = found[i]
         assert row["edited"] == edited
-        unsigned = lambda anchors: [(a["pos"], a["hash"] % 2**32) for a in anchors]
+        unsigned = lambda anchors: [(p, h % 2**32) for p, h in zip(anchors["pos"], anchors["hash"])]
         assert unsigned(row["anchors"]) == plain.syncmers(text)
         assert unsigned(row["edited_anchors"]) == plain.syncmers(edited)
         assert row["next"]["text"] == following
