@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,18 @@ def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
     return (mix(anchor) % np.uint64(parts)).astype(np.int64)
 
 
+def _short(anchor: np.ndarray) -> bytes:
+    """Anchors without their last 16 bits. Two that only these tell apart pass for one, and
+    step 3 finds that their strings differ."""
+    high = (anchor >> np.uint64(32)).astype("<u4").tobytes()
+    return high + ((anchor >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    high = np.frombuffer(data, "<u4", n).astype(np.uint64)
+    return (high << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
+
+
 def _send_anchors(parts: int, least: int):
     def send(table: pa.Table) -> pa.Table:
         ids, found, docs = _ids(table), [], []
@@ -175,7 +188,7 @@ def _send_anchors(parts: int, least: int):
         several = np.zeros(0, bool)
         if len(first):
             several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        pack = lambda rows: anchor[rows].astype("<u8").tobytes() + several[rows].astype(np.uint8).tobytes()
+        pack = lambda rows: _short(anchor[rows]) + several[rows].astype(np.uint8).tobytes()
         return _blobs(_part(anchor, parts), table.column("split")[0].as_py(), pack)
 
     return send
@@ -184,9 +197,9 @@ def _send_anchors(parts: int, least: int):
 def _meet(table: pa.Table) -> pa.Table:
     """Which anchors of a part are met in two documents, for each split that has them."""
     splits, blobs = table.column("split").to_pylist(), table.column("data").to_pylist()
-    counts = np.array([len(b) // 9 for b in blobs], dtype=np.int64)
-    anchor = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(blobs, counts)])
-    several = np.concatenate([np.frombuffer(b, np.uint8, n, 8 * n) for b, n in zip(blobs, counts)])
+    counts = np.array([len(b) // 7 for b in blobs], dtype=np.int64)
+    anchor = np.concatenate([_long(b, n) for b, n in zip(blobs, counts.tolist())])
+    several = np.concatenate([np.frombuffer(b, np.uint8, n, 6 * n) for b, n in zip(blobs, counts)])
     order = np.argsort(anchor, kind="stable")
     ranked = anchor[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -194,7 +207,7 @@ def _meet(table: pa.Table) -> pa.Table:
     shared = np.empty(len(anchor), bool)
     shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], first) > 0), size)
     edges = np.cumsum(counts)
-    out = [a[s].astype("<u8").tobytes() for a, s in zip(np.split(anchor, edges[:-1]), np.split(shared, edges[:-1]))]
+    out = [_short(a[s] << np.uint64(16)) for a, s in zip(np.split(anchor, edges[:-1]), np.split(shared, edges[:-1]))]
     return pa.Table.from_arrays(
         [table.column("part").combine_chunks().cast(pa.int64()), pa.array(splits, pa.int64()), pa.array(out, pa.binary())],
         schema=BLOB,
@@ -205,13 +218,14 @@ def _send_runs(parts: int, least: int):
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return BLOB.empty_table()
-        wanted = np.sort(np.frombuffer(b"".join(shared.column("data").to_pylist()), "<u8"))
+        wanted = np.sort(np.concatenate([_long(b, len(b) // 6) for b in [b"", *shared.column("data").to_pylist()]]))
         ids = _ids(table)
         anchors, keys, docs, sizes, raws = [], [], [], [], []
         for data, starts, lengths, row, _ in _pieces(table, least):
             runs = Runs(data, starts, lengths, least)
-            at = np.searchsorted(wanted, runs.anchor)
-            good = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == runs.anchor) if len(wanted) else at[:0]
+            short = runs.anchor >> np.uint64(16)
+            at = np.searchsorted(wanted, short)
+            good = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == short) if len(wanted) else at[:0]
             doc = ids[row[np.searchsorted(starts, runs.at[good], "right") - 1]]
             # the first and the last document of each distinct run of this buffer
             order = np.lexsort((doc, runs.key[good]))
@@ -239,7 +253,8 @@ def _send_runs(parts: int, least: int):
         def pack(chosen: np.ndarray) -> bytes:
             head = np.array([len(chosen)], "<i8").tobytes()
             marks = (size[rows[chosen]] * 2 + several[chosen]).astype("<u2").tobytes()
-            return head + low[chosen].astype("<i8").tobytes() + marks + b"".join(raws[i] for i in rows[chosen].tolist())
+            packed = zstandard.compress(b"".join(raws[i] for i in rows[chosen].tolist()), 1)
+            return head + low[chosen].astype("<i8").tobytes() + marks + packed
 
         return _blobs(_part(anchor[rows], parts), table.column("split")[0].as_py(), pack)
 
@@ -277,7 +292,7 @@ def _answer(least: int):
             n = int(np.frombuffer(blob, "<i8", 1)[0])
             lows.append(np.frombuffer(blob, "<i8", n, 8))
             marks.append(np.frombuffer(blob, "<u2", n, 8 + 8 * n).astype(np.int64))
-            raws.append(blob[8 + 10 * n :])
+            raws.append(zstandard.decompress(blob[8 + 10 * n :]))
             counts.append(n)
         low, mark = np.concatenate(lows), np.concatenate(marks)
         raw = np.frombuffer(b"".join(raws), np.uint8)
