@@ -67,8 +67,10 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.sha2("norm", 256).alias("text_sha256"),
         )
     )
-    groups = recipes.groupBy("recipe").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
+    # written, so that both sides of the join are plain shuffles and a recipe that a third of
+    # all documents have can be split
+    groups = cut_lineage(
+        recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
     return recipes.join(groups, "recipe").select(
         "doc_id",
