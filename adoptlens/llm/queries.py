@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adoptlens.session import shared_dir
+from adoptlens.session import cut_lineage, shared_dir
 
 from . import mixing, sql, warc
 from .common import table
@@ -78,7 +78,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.transactions(warc.read_records(spark, path, with_payload=False))
+    # both are read several times; archives are parsed once
+    records = cut_lineage(warc.read_records(spark, path, with_payload=False))
+    found = cut_lineage(warc.transactions(records).drop("http", "request", "payload"))
     return warc.with_referred_page(found).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
     )
