@@ -8,12 +8,16 @@ bands. Two documents at the threshold of 0.8 miss all of them with a chance of 5
 Documents with equal sets form a class; classes take part, copies don't. Within a band
 value classes are never paired with each other all at once:
 
-1. each class is compared with the smallest class it shares a band value with (the one it
-   shares most bands with), a number of pairs in proportion to the classes;
+1. each class is compared with one class it shares a band value with, the first of the
+   band and then, where components are still apart, the last: a number of pairs in
+   proportion to the classes;
 2. confirmed links give components. Only where a band value still spans several
    components, links between those may be missing. For these classes an exact prefix
    filter finds every pair that can still reach the threshold: with shingles ordered from
-   rare to frequent, two such sets share one of their first ``n - ceil(0.8 n) + 1``.
+   rare to frequent, two such sets share one of their first ``n - ceil(0.8 n) + 1``. Of
+   these pairs only those are compared that two exact bounds let through: what either set
+   has left, from where they meet, of shingles that other components have too, and the
+   bits in which their parities differ.
 
 A link counts when the full sets confirm it, compared as sorted 48-bit hashes.
 """
@@ -39,6 +43,7 @@ PERMUTATIONS, ROWS = 144, 6
 _DRAW = np.random.default_rng(5)
 _XOR = _DRAW.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
 _MUL = _DRAW.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+PARITY_BITS = 1024
 #: Shingles that are hashed together; a block of all permutations stays in the cache.
 BLOCK = 2048
 
@@ -153,6 +158,24 @@ def _prefix(percent: int) -> Column:
     return (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
 
 
+def _parities(classes: DataFrame) -> DataFrame:
+    """(node, parity): for each of PARITY_BITS residues whether an odd number of shingles
+    has it. A shingle that only one of two sets has flips one bit, so the sets differ in at
+    least as many shingles as their parities in bits."""
+    fields = pa.schema([("node", pa.int64()), ("parity", pa.list_(pa.int64()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data in batch["shingles"].to_pylist():
+                residues = (from_bytes(data) % np.uint64(PARITY_BITS)).astype(np.int64)
+                odd = (np.bincount(residues, minlength=PARITY_BITS) & 1).astype(np.uint8)
+                found.append(np.packbits(odd).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, fields[1].type)], schema=fields)
+
+    return classes.select("node", "shingles").mapInArrow(count, "node long, parity array<long>")
+
+
 def _remaining_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes (node, component, n, shingles) of different components that
     the prefix filter and the sizes let through."""
@@ -171,23 +194,37 @@ def _remaining_pairs(classes: DataFrame, percent: int) -> DataFrame:
     tokens = classes.select("node", "n", "component", "shingles").mapInArrow(
         unfold, "node long, n long, component long, token long"
     )
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(frequency.filter("df > 1"), "token")
-    # shingles of one class only come first in the order; they can't meet another set
+    # a shingle that only one component has can't be shared by a link that is missing
+    seen = tokens.groupBy("token").agg(
+        F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    ranked = tokens.join(seen.filter("x <> y").select("token", "df"), "token")
+    # the others come first in the order; they can't meet another set
     met = ranked.groupBy("node", "n", "component").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order")
     )
-    prefix = F.slice("order", F.lit(1), F.greatest(F.lit(0), _prefix(percent) - (F.col("n") - F.size("order")).cast("int")))
-    rows = cut_lineage(met.select("node", "n", "component", F.explode(prefix).alias("t")).select(
-        "node", "n", "component", "t.token"
-    ))
+    met = met.withColumn("most", F.size("order")).join(_parities(classes), "node")
+    length = F.greatest(F.lit(0), _prefix(percent) - (F.col("n") - F.col("most")).cast("int"))
+    prefix = F.slice("order", F.lit(1), length)
+    rows = cut_lineage(
+        met.select("node", "n", "most", "component", "parity", F.posexplode(prefix).alias("at", "t")).select(
+            "node", "n", "component", "parity", (F.col("most") - F.col("at")).alias("left"), "t.token"
+        )
+    )
     spans = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     rows = rows.join(spans.filter("x <> y").select("token"), "token")
     a, b = rows.alias("a"), rows.alias("b")
+    # where two sets meet first, they share no more than what either has left from there on
+    most = F.least("a.left", "b.left")
+    # nor do they differ in fewer shingles than their parities differ in bits
+    differ = F.lit(0)
+    for k in range(PARITY_BITS // 64):
+        differ = differ + F.bit_count(F.col("a.parity")[k].bitwiseXOR(F.col("b.parity")[k]))
     near = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.component") < F.col("b.component"))
-        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+        & (most * 100 >= (F.col("a.n") + F.col("b.n") - most) * percent)
+        & (differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
     )
     return a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
@@ -253,33 +290,53 @@ def _classes(signed: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
-    members = cut_lineage(banded.join(shared.filter("hub <> other").select("band", "hub"), "band"))
-    # the hub with which a class shares most bands; of those the smallest
-    votes = members.groupBy("node", "hub").agg(F.count("*").alias("votes"))
-    best = votes.filter("node <> hub").groupBy("node").agg(
-        F.max(F.struct("votes", (-F.col("hub")).alias("hub"))).alias("best")
+def _with_components(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(band, node, component) of the members whose band value spans several components."""
+    if links is None:
+        labelled = members.withColumn("component", F.col("node"))
+    else:
+        labelled = members.join(components(links), "node", "left")
+        labelled = labelled.withColumn("component", F.coalesce("component", "node"))
+    spans = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return cut_lineage(labelled.join(spans.filter("x <> y").select("band"), "band").select("band", "node", "component"))
+
+
+def _hub_links(members: DataFrame, sets: DataFrame, pick, percent: int) -> DataFrame:
+    """Confirmed links of each class to one hub of another component. The hub of a band
+    value is the class that ``pick`` chooses; a class takes the hub with which it shares
+    most band values."""
+    hubs = members.groupBy("band").agg(pick("node").alias("hub"))
+    votes = members.join(hubs, "band").groupBy("node", "component", "hub").agg(F.count("*").alias("votes"))
+    of = members.select(F.col("node").alias("hub"), F.col("component").alias("other")).distinct()
+    best = (
+        votes.join(of, "hub")
+        .filter("component <> other")
+        .groupBy("node")
+        .agg(F.max(F.struct("votes", (-F.col("hub")).alias("hub"))).alias("best"))
     )
-    chosen = cut_lineage(
-        members.select("node").distinct().join(best, "node", "left").select("node", (-F.col("best.hub")).alias("hub"))
+    one = sets.join(best, "node").select(
+        F.col("node").alias("a"), (-F.col("best.hub")).alias("b"), F.col("shingles").alias("set_a")
     )
-    wanted = classes.select("node", "n", "set_key", "first_doc").join(chosen, "node")
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    return confirmed(one.join(two, "b"), percent)
+
+
+def _links(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"))
+    members = cut_lineage(banded.join(shared.filter("x <> y").select("band"), "band"))
+    wanted = classes.select("node", "n", "set_key", "first_doc").join(members.select("node").distinct(), "node")
     firsts = wanted.select(F.col("first_doc").alias("id")).distinct()
     found = texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = _sets(found, words).dropDuplicates(["set_key"])
-    sets = cut_lineage(wanted.join(sets, "set_key").select("node", "n", "hub", "shingles"))
-    one = sets.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    links = cut_lineage(confirmed(one.filter("b is not null").join(two, "b"), percent))
-    # where a band value still spans several components
-    roots = components(links)
-    labelled = members.select("band", "node").join(roots, "node", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "node"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    open_nodes = labelled.join(open_bands.filter("x <> y").select("band"), "band").select("node", "component").distinct()
-    rest = cut_lineage(sets.drop("hub").join(open_nodes, "node"))
+    sets = cut_lineage(wanted.join(sets, "set_key").select("node", "n", "shingles"))
+    # the first and the last class of a band value as its hub
+    links, still = None, _with_components(members, None)
+    for pick in (F.min, F.max):
+        more = _hub_links(still, sets, pick, percent)
+        links = cut_lineage(more if links is None else links.union(more))
+        still = _with_components(members, links)
+    rest = cut_lineage(sets.join(still.select("node", "component").distinct(), "node"))
     pairs = _remaining_pairs(rest, percent)
     one = rest.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     two = rest.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
