@@ -2,7 +2,8 @@
 
 ``word_bpe_49k`` drops white space and never joins across it, so the ids of a text are the
 ids of its words one after the other. A worker keeps the ids of the words it has met and
-asks the library only for new ones; the result is the library's, word by word.
+asks the library only for new ones; the result is the library's, word by word. The few
+texts whose ids don't follow from their words are encoded whole; see ``TextEncoder``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import array
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,13 +37,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder(dict):
-    """Word -> its number among the words met so far; a new one is encoded on demand."""
+    """Word -> its number among the words met so far; a new one is encoded on demand.
+
+    Words know no special tokens: their strings are ordinary text here.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # lower-casing a word can make the string of a special token that the text doesn't hold
+        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -91,10 +97,52 @@ def _lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass")
 
 
+class TextEncoder(WordEncoder):
+    """The ids that the unaltered library gives, ``encode(text, add_special_tokens=False)``.
+
+    A text is encoded whole, not by words, if it holds the string of a special token, which
+    is then one id, or A-Z before a combining mark: the library composes the two before it
+    lower-cases, and some pairs compose as small letters only.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        marks = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.combining(c))
+        self.marked = re.compile(f"[A-Z][{marks}]")
+
+    def by_words(self, text: str) -> bool:
+        if any(s in text for s in self.special):
+            return False
+        try:
+            text.encode("latin-1")  # much faster than the search, and without marks
+            return True
+        except UnicodeEncodeError:
+            return not self.marked.search(text)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if t and not self.by_words(t)]
+        if not whole:
+            return super().encode(texts)
+        words = [*texts]
+        for i in whole:
+            words[i] = None
+        flat, lengths = super().encode(words)
+        parts = np.split(flat, np.cumsum(lengths)[:-1])
+        for i in whole:
+            ids = self.library.encode(texts[i], add_special_tokens=False).ids
+            parts[i] = np.array([*ids, END_ID], np.uint32)
+            lengths[i] = len(parts[i])
+        return np.concatenate(parts), lengths
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """One encoder per worker process; it outlives the task."""
-    return WordEncoder(path)
+    return TextEncoder(path)
 
 
 def slices(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[int, int]]:
