@@ -33,8 +33,9 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: struct<pos, hash>, two lists: where the anchors of ``text`` are, in
     tokens, and their hashes.
 
-    A text with fewer than K tokens has one anchor, the hash of them all; one without
-    tokens has none. Each step is a column of its own, because Spark would evaluate an
+    A text that has tokens but no k-mer that is an anchor (any with fewer than K tokens, and
+    some of K to K + 3) has one anchor, the hash of all its tokens; one without tokens has
+    none. Each step is a column of its own, because Spark would evaluate an
     expression again for every element of an array that it is applied to.
     """
     keep = df.columns
@@ -76,7 +77,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda a: a["hash"].isNotNull(),
     )
     short = F.filter(F.array(F.struct(F.lit(0).alias("pos"), whole.alias("hash"))), lambda a: F.col("__n") > 0)
-    step = add(step, found=F.when(F.col("__n") >= K, found).otherwise(short))
+    step = add(step, found=found)
+    step = add(step, found=F.when(F.size("__found") > 0, F.col("__found")).otherwise(short))
     # two lists of numbers take a quarter of the room that a list of pairs takes
     anchors = F.struct(F.col("__found")["pos"].alias("pos"), F.col("__found")["hash"].alias("hash"))
     return step.select(*keep, anchors.alias(out))

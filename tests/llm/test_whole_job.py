@@ -1,5 +1,6 @@
 """The whole job of the corpus operators, on what a shortcut would leave out."""
 
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from adoptlens.llm import packing, token_files, tokens
+from adoptlens.llm import fingerprints, packing, token_files, tokens
 
 SPECIAL = [
     "one text <|endoftext|> another", "<|startoftext|>", "a<|endoftext|>b <|endoftext|>. <|ENDOFTEXT|>", "<|ENDOFTEXT|> x",
@@ -47,3 +48,20 @@ def test_token_files_and_pieces_hold_special_tokens(spark, library, tmp_path):
     for r in packing.pack(table).collect():
         ids = ids_of(library, SPECIAL[r["doc_id"]])
         assert (r["start"], r["length"], r["ids_crc32"]) == (0, len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_short_texts_have_fingerprints(spark):
+    texts = [plain.sentence(seed, n) for n in range(1, 13) for seed in range(1, 30)]
+    texts += [plain.sentence(seed, 9).replace(" ", "\u3042") for seed in range(30, 40)] + ["日本語の文字列です", "日本語の文字列だよ"]
+    table = plain.frame(spark, list(enumerate(texts))).select("text")
+    found = fingerprints.with_anchors(table, "text", "a").select("text", fingerprints.fingerprint(F.col("a")).alias("f")).collect()
+    holes = {}
+    for text, got in found:
+        anchors = [h for _, h in plain.syncmers(text)]
+        if not anchors:  # no k-mer is one: all tokens together
+            parts = re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\s\u3040-\u30ff\u4e00-\u9fff]{1,24}", text)
+            assert 7 <= len(parts) <= 10
+            anchors = [(plain._hash(" ".join(parts)) % 2**64) >> 32]
+            holes[text] = got
+        assert got == "".join(f"{h:08x}" for h in dict.fromkeys(anchors)) != ""
+    assert len(holes) > 20 and len(set(holes.values())) == len(holes)
