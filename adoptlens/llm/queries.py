@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from adoptlens.session import cut_lineage, shared_dir
 
-from . import mixing, sql, warc
-from .common import table
+from . import mixing, sharding, sql, warc
+from .common import table, whole_text
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint, fingerprints, likeness
 from .language import held_out, learn, predict
 from .near_dedup import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
-from .sharding import LAW, by_content, reshard
+from .sharding import LAW
 from .token_files import read_tokens, write_tokens
 
 
@@ -87,8 +87,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard(table(spark, sf_dir, "documents"), by_content(F.coalesce("text", F.lit(""))))
-    return placed.select(
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    old, new = shared_dir(spark, "shards-old"), shared_dir(spark, "shards-new")
+    sharding.write_shards(documents, sharding.by_content(whole_text("text")), old)
+    stored = sharding.read_shards(spark, old, documents.schema)
+    placed = cut_lineage(sharding.reshard(stored, F.col("shard")))
+    affected = sharding.rewrite_affected(sharding.with_file_row(stored).drop("shard"), placed, new)
+    rows = sharding.layout(spark, documents.schema, old, new, affected)
+    return rows.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

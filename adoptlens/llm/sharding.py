@@ -10,8 +10,9 @@ small documents and the new sizes come close to their capacities.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from adoptlens.session import cut_lineage
 
@@ -154,33 +155,83 @@ def reshard(
     return rows.select("doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"))
 
 
+def write_shards(documents: DataFrame, shard: Column, path: str) -> None:
+    """Writes the documents as ``path/shard=N``, without moving a text between tasks."""
+    written = documents.withColumn("shard", shard.cast("int")).write
+    written.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType, shards: list[int] | None = None) -> DataFrame:
+    """The rows of the shards under ``path`` (all, or those named) with their ``shard``;
+    ``schema`` is that of a row without it."""
+    rows = spark.read.schema(StructType([*schema.fields]).add("shard", "integer")).parquet(path)
+    return rows if shards is None else rows.filter(F.col("shard").isin(shards))
+
+
+def with_file_row(stored: DataFrame) -> DataFrame:
+    """Rows of Parquet files with ``__row``: the file and the place in it, which no other row has."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return stored.select("*", place.alias("__row"))
+
+
+def _numbered(rows: DataFrame, same: list[str], by: list[Column]) -> DataFrame:
+    """The rows with ``__copy``, which numbers those that agree in ``same`` from 0, in the
+    order of ``by``. Ranges cut through a group of any size, so no group has to fit one task."""
+    rows = rows.withColumn("__group", F.struct(*same))
+    rows = cut_lineage(rows.repartitionByRange("__group", *by).withColumn("__part", F.spark_partition_id()))
+    return _running(rows, "__group", F.lit(1), "__copy", by).drop("__group", "__part", "__within")
+
+
 def rewrite_affected(documents: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Writes anew the shards that give or get documents, as ``path/shard=N``, and returns
     their numbers. Shards that don't appear keep their files.
 
     ``documents`` has doc_id, text and any other columns but old_shard, shard and slot;
     ``placed`` is what ``reshard`` returned for it. Rows that repeat a doc_id and a text
-    take the places of these, one each.
+    take the places of these, one each. Where ``documents`` has ``__row`` (see
+    ``with_file_row``) it tells the rows apart; otherwise they are stored first. Only ids,
+    sizes and places are ordered: a text moves once, to its place. Files also have ``slot`` and
+    ``old_shard``.
     """
     moved = placed.filter("old_shard <> shard")
     ends = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     affected = sorted(r[0] for r in ends.collect())
-    same = ["__id", "__null", "__crc", "__size", "__copy"]
-
-    def keyed(df: DataFrame, size: Column, crc: Column) -> DataFrame:
-        df = df.withColumns(
-            {
-                "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-                "__null": F.col("doc_id").isNull(),
-                "__crc": crc,
-                "__size": size.cast("long"),
-            }
-        )
-        return df.withColumn("__copy", F.row_number().over(Window.partitionBy(*same[:4]).orderBy(F.lit(0))))
+    if not affected:
+        return []
+    if "__row" not in documents.columns:
+        documents = with_file_row(cut_lineage(documents))
+    key = ["__id", "__null", "__crc", "__size"]
+
+    def keyed(df: DataFrame, size: Column, crc: Column, *more: str) -> DataFrame:
+        number = F.col("doc_id").cast("long")
+        columns = [F.coalesce(number, F.lit(0)), number.isNull(), crc, size.cast("long")]
+        return df.select(*(c.alias(n) for c, n in zip(columns, key)), *more)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    places = keyed(placed.drop("old_shard"), F.col("size"), F.col("text_crc32")).filter(F.col("shard").isin(affected))
-    rows = keyed(documents, F.octet_length(text) + 1, F.crc32(text.cast("binary")))
-    rows = rows.join(places.select(*same, "shard", "slot"), same).drop(*same)
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.partitionBy("shard").parquet(path)
+    rows = keyed(documents, F.octet_length(text) + 1, F.crc32(text.cast("binary")), "__row")
+    rows = _numbered(rows, key, [F.col("__row")])
+    places = keyed(placed, F.col("size"), F.col("text_crc32"), "shard", "slot", "old_shard")
+    places = _numbered(places, key, [F.col("shard"), F.col("slot")]).filter(F.col("shard").isin(affected))
+    targets = rows.join(places, [*key, "__copy"]).select("__row", "shard", "slot", "old_shard")
+    out = documents.join(targets, "__row").drop("__row")
+    out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return affected
+
+
+def layout(spark: SparkSession, schema: StructType, old: str, new: str, affected: list[int]) -> DataFrame:
+    """What the files hold after ``rewrite_affected``: doc_id, size, text_crc32, old_shard, shard, slot.
+
+    Affected shards are read from ``new``, all others from ``old``, where they stay as they
+    are; the slots of these follow from size, text hash and id, as in ``reshard``.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    rows = read_shards(spark, old, schema).filter(~F.col("shard").isin(affected))
+    rows = rows.select("doc_id", size, crc, F.col("shard").alias("old_shard"), "shard", F.xxhash64(text).alias("__hash"))
+    kept = _numbered(rows, ["shard"], [F.desc("size"), F.asc("__hash"), F.asc("doc_id")]).drop("__hash")
+    kept = kept.withColumn("__copy", F.col("__copy").cast("long")).withColumnRenamed("__copy", "slot")
+    if not affected:
+        return kept
+    fields = StructType([*schema.fields]).add("slot", "long").add("old_shard", "integer")
+    moved = read_shards(spark, new, fields, affected).select("doc_id", size, crc, "old_shard", "shard", "slot")
+    return moved.unionByName(kept)

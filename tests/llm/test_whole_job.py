@@ -1,5 +1,6 @@
 """The whole job of the corpus operators, on what a shortcut would leave out."""
 
+import glob
 import re
 import zlib
 
@@ -8,7 +9,8 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from adoptlens.llm import fingerprints, packing, token_files, tokens
+from adoptlens import session
+from adoptlens.llm import fingerprints, packing, queries, sharding, token_files, tokens
 
 SPECIAL = [
     "one text <|endoftext|> another", "<|startoftext|>", "a<|endoftext|>b <|endoftext|>. <|ENDOFTEXT|>", "<|ENDOFTEXT|> x",
@@ -65,3 +67,48 @@ def test_short_texts_have_fingerprints(spark):
             holes[text] = got
         assert got == "".join(f"{h:08x}" for h in dict.fromkeys(anchors)) != ""
     assert len(holes) > 20 and len(set(holes.values())) == len(holes)
+
+
+def test_resharding_writes_shards_and_reads_them_back(spark, tmp_path):
+    docs = plain.edge_rows() + plain.odd_rows() + [(None, None)] * 300 + [(7, "same")] * 50
+    plain.frame(spark, docs).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    with_files = set(glob.glob(f"{session.shared_root(spark)}/adoptlens/shards-*"))
+    found = queries.op9_resharding(spark, str(tmp_path)).collect()
+    raw = [(i, (t or "").encode()) for i, t in docs]
+    want = sorted(((i, len(b) + 1, zlib.crc32(b)) for i, b in raw), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in found), key=repr) == want
+    for s in {r["shard"] for r in found}:
+        slots = sorted(r["slot"] for r in found if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    made = set(glob.glob(f"{session.shared_root(spark)}/adoptlens/shards-*")) - with_files
+    (old,) = (p for p in made if "shards-old" in p)
+    (new,) = (p for p in made if "shards-new" in p)
+    stored = spark.read.parquet(old).collect()
+    key = lambda r: (r["doc_id"], r["text"])
+    assert sorted(map(key, stored), key=repr) == sorted(docs, key=repr)
+    by = lambda rows, s, name: sorted((r["doc_id"] or 0, r["text"] or "") for r in rows if r[name] == s)
+    moved = {s for r in found if r["shard"] != r["old_shard"] for s in (r["shard"], r["old_shard"])}
+    written = spark.read.parquet(new).collect()
+    assert {r["shard"] for r in written} <= moved and moved
+    for r in spark.read.parquet(new).select("old_shard").distinct().collect():
+        # what an affected shard had is in the new files, row by row
+        assert by(written, r[0], "old_shard") == by(stored, r[0], "shard")
+
+
+def test_untouched_shards_stay_and_copies_are_numbered_in_ranges(spark, tmp_path):
+    texts = [(None, None)] * 400 + [(i, "y" * (i % 7)) for i in range(200)] + [(5, None)] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    old, new = f"{tmp_path}/old", f"{tmp_path}/new"
+    sharding.write_shards(docs, F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.col("doc_id") % 2), old)
+    stored = sharding.read_shards(spark, old, docs.schema)
+    sizes = {r[0]: r[1] for r in stored.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).collect()}
+    plan = sharding.reshard(stored, F.col("shard"), [sizes[0] - 150, sizes[1], sizes[2], 200])
+    affected = sharding.rewrite_affected(stored.drop("shard"), plan, new)
+    assert affected == [0, 3]
+    found = sharding.layout(spark, docs.schema, old, new, affected)
+    columns = ("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    got, wanted = (sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) for df in (found, plan))
+    assert got == wanted and len(got) == len(texts)
+    numbered = sharding._numbered(docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.monotonically_increasing_id().alias("m")), ["k"], [F.col("m")])
+    most = numbered.filter("k = 0").agg(F.max("__copy"), F.count("*"), F.count_distinct("__copy")).first()
+    assert tuple(most) == (400, 401, 401)
