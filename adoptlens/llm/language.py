@@ -175,10 +175,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(documents: DataFrame) -> Model:
-    """A model from the texts and languages of all documents that are not held out; rows
-    without a text or a language are left out."""
-    labelled = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def learn(documents: DataFrame, hold_out: bool = True) -> Model:
+    """A model from the texts and languages of all documents, or all that are not held out;
+    rows without a text or a language are left out."""
+    labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if hold_out:
+        labelled = labelled.filter(~held_out(F.col("doc_id")))
     return Model.of(count_ngrams(labelled.select("text", "lang")))
 
 

@@ -21,9 +21,15 @@ WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: null texts and texts without a letter."""
-    told = with_language(docs, learn(docs))
-    return told.filter(F.col("__language.lang_pred") != UNDETERMINED).drop("__language")
+    """Rejects null texts and texts without a letter, and nothing else. The model learns from
+    all labelled rows; where ``lang`` is null it becomes the language found, and stays null
+    if there is no label to learn from."""
+    told = with_language(docs, learn(docs, hold_out=False))
+    found = F.col("__language.lang_pred")
+    found = F.when(found != UNDETERMINED, found)
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    told = told.filter(found.isNotNull() | has_letter)
+    return told.withColumn("lang", F.coalesce("lang", found)).drop("__language")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics meet their target weights."""
+    """Samples documents so that sources, languages and topics meet their target weights.
+    ``lang`` is the language given or, without one, found."""
     rows = mixing.with_topic(docs, table(spark, sf_dir, "labels"))
     rows = mixing.mix(
         rows.withColumnRenamed("mix", "__own") if "mix" in docs.columns else rows,

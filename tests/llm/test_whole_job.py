@@ -5,12 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import plain
 import pytest
 from pyspark.sql import functions as F
 
 from adoptlens import session
-from adoptlens.llm import fingerprints, packing, queries, sharding, token_files, tokens
+from adoptlens.llm import fingerprints, mixing, packing, queries, sharding, token_files, tokens
 
 SPECIAL = [
     "one text <|endoftext|> another", "<|startoftext|>", "a<|endoftext|>b <|endoftext|>. <|ENDOFTEXT|>", "<|ENDOFTEXT|> x",
@@ -112,3 +113,22 @@ def test_untouched_shards_stay_and_copies_are_numbered_in_ranges(spark, tmp_path
     numbered = sharding._numbered(docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.monotonically_increasing_id().alias("m")), ["k"], [F.col("m")])
     most = numbered.filter("k = 0").agg(F.max("__copy"), F.count("*"), F.count_distinct("__copy")).first()
     assert tuple(most) == (400, 401, 401)
+
+
+def test_language_stage_keeps_texts_without_a_model(spark):
+    letters = [(i, t) for i, t in plain.edge_rows() if any(c.isalpha() for c in t or "")]
+    table = plain.frame(spark, plain.edge_rows()).withColumn("lang", F.lit(None).cast("string"))
+    found = corpus_pipeline.identify_language(spark, table, "")
+    assert found.columns == table.columns
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in found.collect()) == sorted((*r, None) for r in letters)
+
+
+def test_language_found_takes_effect(spark, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2][:6]
+    en, xx = "the house of the men is where they think", "zxqy qqxz yzzq xyxq zqqy"
+    rows = [(held[0], en, "en"), (held[1], xx, "xx"), (held[2], en + " the men", None), (held[3], xx + " yzzq", None), (held[4], "12 !", None), (held[5], None, "en")]
+    table = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = corpus_pipeline.identify_language(spark, table, "")
+    assert {r["doc_id"]: r["lang"] for r in told.collect()} == {held[0]: "en", held[1]: "xx", held[2]: "en", held[3]: "xx"}
+    rows_ = mixing.mix(told, F.col("source"), F.col("lang"), F.lit("none"), mixing.words(F.col("text")), F.lit(0.0), mixing.POWERS)
+    assert {r["mix"]["lang"] for r in rows_.collect()} == {"en", "xx"}
