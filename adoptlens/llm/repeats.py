@@ -4,17 +4,17 @@ The law: a byte goes when a string of ``least`` bytes that covers it also starts
 document with a smaller doc_id. So for each suffix only one thing matters: whether its
 longest previous factor, the longest match with a suffix of an earlier document, reaches
 ``least`` bytes. Suffixes that agree on that many bytes are neighbours in suffix order and
-share the smallest hash of their first 16-byte strings, their anchor. The suffix array is
-therefore built in parts, one per range of anchors, and only where it decides something:
+share the smallest hash of their first 16-byte strings, their anchor. The work is therefore
+done in parts, one per range of anchors. No longest-previous-factor array and no previous or
+next smaller values are built; the smallest document of equal strings says as much here:
 
 1. Documents are dealt into splits. Consecutive suffixes with the same anchor form a run.
    Each split sends its distinct anchors; those met in two documents are sent back.
 2. A split sends its distinct runs of such anchors: their bytes and their first document.
 3. A part finds, for each run, the first document of every suffix in it. An anchor with one
-   distinct run needs no sorting. Else the suffixes of its runs are put in suffix order;
-   in a stretch whose neighbours share ``least`` bytes, the previous smaller and the next
-   smaller document of a suffix lead to its earlier matches, the first of the stretch to
-   the earliest.
+   distinct run needs no sorting; runs are told apart by a 64-bit key. Else the suffixes of
+   its runs are sorted by their first ``least`` bytes, and the smallest document of a
+   stretch of equal ones is the first.
 4. Splits mark what starts in an earlier document and cut it out.
 
 A string that a third of all documents share reaches a part once per split, not once per
