@@ -12,6 +12,7 @@ from .common import table, whole_text
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint, fingerprints, likeness
 from .language import held_out, learn, predict
+from .lines import drop_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
@@ -104,6 +105,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_repeats": op2_repeats,
@@ -115,6 +121,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_resharding": op9_resharding,
     "op10_packing": op10_packing,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
     "op2_repeats": sql.REPEATS,
@@ -122,4 +129,5 @@ ORACLES = {
     "op4_near_dedup": sql.NEAR_DEDUP,
     "op7_mixing": sql.MIXING,
     "op8_warc": sql.WARC,
+    "op13_line_dedup": sql.LINE_DEDUP,
 }

@@ -69,6 +69,20 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+LINE_DEDUP = f"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS p
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+), k AS MATERIALIZED (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l
+), often AS MATERIALIZED (
+  SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (SELECT k.*, keep_id IS NOT NULL AND keep_id <> doc_id AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def _mixing() -> str:
     steps, last = [], "w0"
