@@ -66,13 +66,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _handed_out[start:]:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         del _handed_out[start:]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table that ``cut_lineage`` wrote, once nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1] in {path.rsplit("/", 1)[1] for path in _handed_out}:
+            _delete(df.sparkSession, folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder.
 
