@@ -18,6 +18,7 @@ from .packing import pack
 from .repeats import remove_repeats
 from .sharding import LAW
 from .token_files import read_tokens, write_tokens
+from .vector_codes import codebooks_sha256, vector_codes, with_label_error
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes(table(spark, sf_dir, "embeddings"))
+    return with_label_error(found.rows).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(codebooks_sha256(found.codebooks)).alias("codebooks_sha256"),
+    )
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -121,6 +133,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_resharding": op9_resharding,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
@@ -129,5 +142,6 @@ ORACLES = {
     "op4_near_dedup": sql.NEAR_DEDUP,
     "op7_mixing": sql.MIXING,
     "op8_warc": sql.WARC,
+    "op11_vector_codes": sql.VECTOR_CODES,
     "op13_line_dedup": sql.LINE_DEDUP,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, vector_codes
 from .common import LOWER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,3 +120,49 @@ FROM d JOIN chances c ON c.source IS NOT DISTINCT FROM d.source AND c.lang IS NO
 
 
 MIXING = _mixing()
+
+
+def _vector_codes() -> str:
+    # distances and entries in one number: the least has the lower index of equal distances
+    books, last = [], "c0"
+    assigned = (
+        "SELECT vec_id, part, min(dist * {n} + entry) AS best FROM (SELECT vec_id, v.part, entry, "
+        "sum((v.x - c.x) * (v.x - c.x)) AS dist FROM v JOIN {last} c USING (part, place) GROUP BY ALL) GROUP BY ALL"
+    )
+    n = vector_codes.ENTRIES
+    for k in range(vector_codes.ROUNDS):
+        books.append(f"a{k} AS MATERIALIZED ({assigned.format(n=n, last=last)})")
+        books.append(
+            f"m{k} AS MATERIALIZED (SELECT part, CAST(best % {n} AS BIGINT) AS entry, place, sum(x) AS s, count(*) AS n "
+            f"FROM v JOIN a{k} USING (vec_id, part) GROUP BY ALL)"
+        )
+        # division that rounds down
+        books.append(
+            f"c{k + 1} AS MATERIALIZED (SELECT part, entry, place, "
+            f"CAST(CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS x "
+            f"FROM {last} LEFT JOIN m{k} USING (part, entry, place))"
+        )
+        last = f"c{k + 1}"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS x, len(e) // {vector_codes.PARTS} AS width FROM kept
+), v AS MATERIALIZED (
+  SELECT vec_id, i // width AS part, i % width AS place, CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u
+), c0 AS MATERIALIZED (
+  SELECT part, entry, place, x FROM v JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {n}) USING (vec_id)
+),
+{", ".join(books)},
+z AS MATERIALIZED ({assigned.format(n=n, last=last)}),
+r AS (SELECT vec_id, string_agg(printf('%02x', CAST(best % {n} AS INT)), '' ORDER BY part) AS code,
+  CAST(sum(best // {n}) AS BIGINT) AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(x, ',' ORDER BY part, entry, place)) FROM {last}) AS codebooks_sha256
+FROM kept JOIN r USING (vec_id)
+"""
+
+
+VECTOR_CODES = _vector_codes()
