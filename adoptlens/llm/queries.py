@@ -12,6 +12,7 @@ from .common import table, whole_text
 from .exact_dedup import exact_groups
 from .fingerprints import fingerprint, fingerprints, likeness
 from .language import held_out, learn, predict
+from .lexical import build_index, search
 from .lines import drop_lines
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -117,6 +118,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -134,6 +139,7 @@ QUERIES = {
     "op9_resharding": op9_resharding,
     "op10_packing": op10_packing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_lexical_search": op12_lexical_search,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
@@ -143,5 +149,6 @@ ORACLES = {
     "op7_mixing": sql.MIXING,
     "op8_warc": sql.WARC,
     "op11_vector_codes": sql.VECTOR_CODES,
+    "op12_lexical_search": sql.LEXICAL_SEARCH,
     "op13_line_dedup": sql.LINE_DEDUP,
 }
