@@ -81,10 +81,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    # both are read several times; archives are parsed once
-    records = cut_lineage(warc.read_records(spark, path, with_payload=False))
-    found = cut_lineage(warc.transactions(records).drop("http", "request", "payload"))
-    return warc.with_referred_page(found).select(
+    # read several times; archives are parsed once
+    records = cut_lineage(warc.read_records(spark, path, whole=False))
+    found = warc.transactions(records).drop("http", "request", "payload")
+    return warc.with_referred_page(found, records).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
     )
 

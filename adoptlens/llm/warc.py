@@ -3,14 +3,13 @@
 A capture is a transaction of three records: the request, the response (or a revisit of
 an earlier response with the same payload) and metadata. Request and metadata name the
 response in WARC-Concurrent-To. Archives are text files whose lines are records: the line
-separator is the end of a WARC record, two CRLF. Payloads may hold that separator, so the
-reader goes by Content-Length.
+separator is the end of a WARC record, two CRLF. They are read the same way, as streams;
+payloads may hold that separator, so the reader puts lines together by Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +20,10 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 CRLF = "\r\n"
+END = b"\r\n\r\n"
 RECORDS_PER_FILE = 3000
+#: Records and payload bytes that a reader hands on together.
+BATCH_ROWS, BATCH_BYTES = 4096, 32 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SQL = (
@@ -78,14 +80,16 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.regexp_replace("url", r"[\r\n]+", "%0D%0A").alias("url"),
         whole_text("html").alias("html"),
     ).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    # one key without nulls, so that the payloads meet their ids and are numbered in one shuffle
+    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")
     ids = rows.select("page_id", "digest").distinct()
     winners = ids.groupBy("digest").agg(F.max("page_id").alias("keep_id"))
-    ids = ids.join(winners, "digest").withColumnsRenamed({"page_id": "__id", "digest": "__digest"})
-    same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    rows = rows.join(ids, same).drop("__id", "__digest")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    ids = ids.join(winners, "digest").select(key.alias("__key"), "keep_id")
+    rows = rows.withColumn("__key", key).join(ids, "__key")
+    copy = F.row_number().over(Window.partitionBy("__key").orderBy("url"))
+    rows = rows.withColumn("copy", copy).drop("__key")
     is_small = F.octet_length("html") < least_bytes
-    return rows.withColumn("copy", copy).withColumn("small", is_small)
+    return rows.withColumn("small", is_small)
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -131,20 +135,50 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)),
     )
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    writer = records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+    writer = records.write.option("lineSep", END.decode()).option("compression", "gzip")
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
+class RecordStream:
+    """The records of an archive, put together from the pieces between record ends.
+
+    A payload may hold the bytes of a record end, so a record takes pieces until it has
+    its Content-Length; each byte is joined once for its headers and once for its block.
+    """
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.have, self.need, self.at, self.headers = 0, 0, 0, {}
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Headers by lower-case name, and the block, of each record that is whole now."""
+        self.parts.append(piece + END)
+        self.have += len(piece) + len(END)
+        while self.have and self.have >= self.need:
+            data = b"".join(self.parts)
+            if not self.need:
+                data = data.lstrip(CRLF.encode())
+                self.at = data.find(END) + len(END)
+                if self.at >= len(END):
+                    lines = data[: self.at - len(END)].decode("utf-8").split(CRLF)
+                    self.headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+                    self.need = self.at + int(self.headers["content-length"]) + len(END)
+            if self.need and len(data) >= self.need:
+                yield self.headers, data[self.at : self.need - len(END)]
+                data, self.need = data[self.need :], 0
+            self.parts, self.have = [data] * bool(data), len(data)
+
+    def close(self) -> None:
+        if self.have and b"".join(self.parts).strip(CRLF.encode()):
+            raise ValueError("an archive ends within a record")
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: headers by lower-case name, and the block."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+    """The records of an archive in memory."""
+    stream = RecordStream()
+    for piece in data.split(END):
+        yield from stream.feed(piece)
+    stream.close()
 
 
 def _fields(block: bytes) -> list[tuple[str, str]]:
@@ -152,39 +186,60 @@ def _fields(block: bytes) -> list[tuple[str, str]]:
     return [(k.lower(), v) for k, sep, v in (line.partition(": ") for line in lines) if sep]
 
 
-def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives in a folder. ``payload_bytes`` and
+def _row(headers: dict[str, str], block: bytes, whole: bool) -> tuple:
+    kind, fields, payload, size, digest = headers["warc-type"], [], None, None, None
+    if kind in ("response", "revisit"):
+        head, _, payload = block.partition(END)
+        fields = _fields(head)
+        size = len(payload)
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if kind == "revisit":
+            size = int(dict(fields)["content-length"])
+            digest, payload = headers["warc-payload-digest"].removeprefix("sha1:"), None
+    elif kind == "metadata":
+        fields = _fields(block)
+    ids = headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to")
+    if whole:
+        return *ids, headers.get("warc-target-uri"), list(headers.items()), fields, size, digest, payload
+    return *ids, None, None, fields if kind == "metadata" else None, size, digest, None
+
+
+def read_records(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """One row per record of the gzipped archives in a folder. ``payload_bytes`` and
     ``payload_digest`` are those of the full payload: of the bytes that a response holds,
-    and as a revisit states them."""
+    and as a revisit states them. Not ``whole``: without headers, target and payload.
+
+    Archives are read as streams, one task per file, so a file may be larger than memory;
+    a record may not. An archive that ends within a record raises ValueError.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stream = None, RecordStream()
+        rows: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            columns = list(zip(*rows)) or [()] * len(RECORD)
+            rows.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, RECORD)], schema=RECORD)
+
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for headers, block in parse(gzip.decompress(content.as_py())):
-                    kind, fields, payload, size, digest = headers["warc-type"], [], None, None, None
-                    if kind in ("response", "revisit"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        fields = _fields(head)
-                        size = len(payload)
-                        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if kind == "revisit":
-                            size = int(dict(fields)["content-length"])
-                            digest, payload = headers["warc-payload-digest"].removeprefix("sha1:"), None
-                    elif kind == "metadata":
-                        fields = _fields(block)
-                    rows.append(
-                        (headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"),
-                         headers.get("warc-target-uri"), list(headers.items()), fields, size, digest,
-                         payload if with_payload else None)
-                    )
-                columns = list(zip(*rows)) or [()] * len(RECORD)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, RECORD)], schema=RECORD
-                )
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, RECORD_SQL)
+            for source, piece in zip(batch["file"], batch["piece"]):
+                if source.as_py() != file:
+                    stream.close()
+                    file, stream = source.as_py(), RecordStream()
+                for headers, block in stream.feed(piece.as_py()):
+                    rows.append(_row(headers, block, whole))
+                    size += len(block) if whole else 0
+                    if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                        yield flush()
+        stream.close()
+        yield flush()
+
+    pieces = spark.read.option("lineSep", END.decode()).text(path)
+    return pieces.select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(read, RECORD_SQL)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -209,10 +264,12 @@ def page_id(metadata: Column) -> Column:
     return metadata["fields"]["page-id"].try_cast("long")
 
 
-def with_referred_page(found: DataFrame) -> DataFrame:
-    """Adds page_id, and refers_to_page: the page of the response that a revisit refers to."""
-    paged = found.withColumn("page_id", page_id(F.col("metadata")))
-    targets = paged.filter("record_type = 'response'").select(
-        F.col("record_id").alias("__target"), F.col("page_id").alias("refers_to_page")
-    )
-    return paged.join(targets, F.col("refers_to") == F.col("__target"), "left").drop("__target")
+def with_referred_page(found: DataFrame, records: DataFrame) -> DataFrame:
+    """Adds page_id, and refers_to_page: the page of the response that a revisit refers to,
+    as the metadata of that response names it."""
+    named = records.filter("record_type = 'metadata'")
+    named = named.select(F.col("concurrent_to").alias("__target"), page_id(F.struct("fields")).alias("__page"))
+    # every other record looks itself up, so that rows without a reference have no common key
+    target = F.coalesce("refers_to", "record_id")
+    out = found.withColumn("page_id", page_id(F.col("metadata"))).join(named, target == F.col("__target"), "left")
+    return out.withColumn("refers_to_page", F.when(F.col("refers_to").isNotNull(), F.col("__page"))).drop("__target", "__page")

@@ -232,7 +232,8 @@ PAGES = [
 
 def archived(spark, pages, path, **options):
     warc.write_archives(pages, path, **options)
-    return warc.with_referred_page(warc.transactions(warc.read_records(spark, path)))
+    records = warc.read_records(spark, path)
+    return warc.with_referred_page(warc.transactions(records), records)
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -268,6 +269,33 @@ def test_archives_of_small_payloads_and_empty_tables(spark, tmp_path):
     assert archived(spark, spark.createDataFrame([], schema), f"{tmp_path}/e").count() == 0
 
 
+def test_long_payloads_in_one_file(spark, tmp_path):
+    # 100 MB with no record end, and 20 MB of nothing but record ends
+    # (times that depend on the row, so that no plan holds the text)
+    times = "int(if(id = {}, {}, 0))"
+    page = F.expr(f"repeat('0123456789', {times.format(0, 10**7)}) || repeat('\\r\\n\\r\\n', {times.format(1, 5 * 10**6)})")
+    pages = spark.range(4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), page.alias("html")).coalesce(1)
+    path = f"{tmp_path}/long"
+    warc.write_archives(pages, path)
+    records = warc.read_records(spark, path, whole=False)
+    found = warc.with_referred_page(warc.transactions(records), records).collect()
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to_page"]) for r in found)
+    digest = [base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (b"0123456789" * 10**7, b"\r\n\r\n" * (5 * 10**6), b"")]
+    assert got[:3] == [(0, 10**8, digest[0], None), (1, 2 * 10**7, digest[1], None), (2, 0, digest[2], 3)]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(st.sampled_from("\r\n a:"), max_size=12), max_size=6))
+def test_records_come_out_of_any_pieces(blocks):
+    archive = b"".join(
+        f"WARC/1.1\r\nA: {k}\r\nContent-Length: {len(b)}\r\n\r\n{b}\r\n\r\n".encode() for k, b in enumerate(blocks)
+    )
+    assert [(h["a"], b.decode()) for h, b in warc.parse(archive)] == [(str(k), b) for k, b in enumerate(blocks)]
+    if blocks and blocks[-1]:
+        with pytest.raises(ValueError, match="ends within"):
+            list(warc.parse(archive[:-5]))
+
+
 # shards
 
 
