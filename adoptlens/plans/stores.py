@@ -94,13 +94,16 @@ SELECT w.year_month, w.level, w.practice_group, w.office, w.lawyers, w.active_la
 FROM whole w LEFT JOIN half h ON h.year_month = w.year_month AND h.level = w.level AND h.practice_group = w.practice_group AND h.office = w.office"""
 )
 def snapshot_refresh(spark: SparkSession, d: str) -> DataFrame:
-    """The adoption snapshot of half the sessions, refreshed with all: cells that stay the
-    same keep their time."""
+    """The adoption snapshot of half the sessions and of months that have none later on,
+    refreshed with all: cells that stay the same keep their time, months that lost every
+    session go."""
     path = shared_dir(spark, "snapshot")
     sessions, lawyers = b.sessions(spark, d), b.lawyers(spark, d)
-    for rows, at in ((sessions.where("session_id % 2 = 0"), _AT[0]), (sessions, _AT[1])):
+    half = sessions.where("session_id % 2 = 0")
+    later = half.withColumn("activity_date", F.date_add("activity_date", 70))
+    for rows, at in ((half.unionByName(later), _AT[0]), (sessions, _AT[1])):
         store.merge_snapshot(adoption.adoption_by_group(rows, lawyers), path, at)
-    stored = spark.read.schema(store.SNAPSHOT_SCHEMA).parquet(path)
+    stored = store.read_snapshot(spark, path)
     return stored.withColumns(
         {
             "adoption_rate": F.col("adoption_rate").cast("double"),

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..functions.exprs import join_null_safe
 from ..operators.checks import packet_violations
 from ..session import cut_lineage
+from .published import NO_PART, Published
 
 SNAPSHOT_KEYS = ("year_month", "level", "practice_group", "office")
 SNAPSHOT_SCHEMA = (
     "level string, practice_group string, office string, lawyers bigint, active_lawyers bigint, "
     "sessions bigint, adoption_rate decimal(9,6), refreshed_at timestamp, year_month int"
 )
+SNAPSHOT_COLUMNS = [c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]
 RUN_LOG_SCHEMA = (
     "job string, parameters string, started_at timestamp, finished_at timestamp, "
     "rows_written bigint, status string, message string"
@@ -61,7 +64,7 @@ def merged_snapshot(source: DataFrame, stored: DataFrame, refreshed_at) -> DataF
         .when(same, "keep")
         .otherwise("update")
     )
-    joined = new.join(old, keys, "full").withColumn("action", action)
+    joined = join_null_safe(new, old, keys, "full").withColumn("action", action)
     keep = F.col("action") == "keep"
     return joined.select(
         *keys,
@@ -81,37 +84,40 @@ def merge_snapshot(
 ) -> int:
     """Refreshes the snapshot of one month or of all months; returns changed cells.
 
-    Only the partitions of the refreshed months are rewritten. The new content is
-    checkpointed first, since it is computed from the files it replaces.
+    Months with a changed cell are written anew beside the old ones, months that lost every
+    cell leave the manifest, and one publication switches to all of that. Until then, and
+    if the job fails before, readers see the old snapshot.
     """
     spark = source.sparkSession
-    stored = read_if_exists(spark, path, SNAPSHOT_SCHEMA)
+    snapshot = Published(path)
+    state = snapshot.state(spark)
+    months = None if year_month is None else [str(year_month)]
+    stored = snapshot.read(spark, "snapshot", SNAPSHOT_SCHEMA, months, state)
     if year_month is not None:
         source = source.where(F.col("year_month") == year_month)
-        stored = stored.where(F.col("year_month") == year_month)
     merged = cut_lineage(merged_snapshot(source, stored, refreshed_at))
-    changed = merged.where(F.col("action") != "keep").count()
-    if changed == 0:
+    is_kept = F.col("action") != "delete"
+    # one row per month; a group without a month has the part that Spark names so
+    touched = merged.groupBy("year_month").agg(
+        F.count(F.when(F.col("action") != "keep", 1)).alias("changed"), F.count(F.when(is_kept, 1)).alias("left")
+    )
+    touched = touched.where("changed > 0").collect()
+    if not touched:
         return 0
-    kept = merged.where(F.col("action") != "delete").drop("action")
-    touched = merged.where(F.col("action") != "keep").select("year_month").distinct()
-    rows = kept.join(touched, "year_month", "left_semi")
-    rows.select(*[c.split()[0] for c in SNAPSHOT_SCHEMA.split(", ")]).repartition(
-        "year_month"
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "year_month"
-    ).parquet(path)
-    # a month that lost every cell has no new rows, so its partition is emptied by name
-    gone = touched.join(kept.select("year_month").distinct(), "year_month", "left_anti")
-    for row in gone.toLocalIterator():
-        _drop_partition(spark, f"{path}/year_month={row['year_month']}")
-    return changed
-
-
-def _drop_partition(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    rows = merged.where(is_kept).join(
+        merged.where(F.col("action") != "keep").select(F.col("year_month").alias("__month")).distinct(),
+        F.col("year_month").eqNullSafe(F.col("__month")), "left_semi",
+    )
+    new = snapshot.stage(rows.select(*SNAPSHOT_COLUMNS), "snapshot", F.col("year_month"))
+    gone = [NO_PART if r["year_month"] is None else str(r["year_month"]) for r in touched if not r["left"]]
+    snapshot.publish(spark, state.changed("snapshot", new, gone))
+    return sum(r["changed"] for r in touched)
+
+
+def read_snapshot(spark: SparkSession, path: str, year_month: int | None = None) -> DataFrame:
+    """The published snapshot; of one month only its files are listed."""
+    months = None if year_month is None else [str(year_month)]
+    return Published(path).read(spark, "snapshot", SNAPSHOT_SCHEMA, months)
 
 
 def run_logged(

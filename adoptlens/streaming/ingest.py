@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.events import PAYLOAD_TYPE, parse_events, validate_events
-from ..sources.store import read_if_exists
+from ..sources.published import Published, State
 from ..operators.ingestion import dedupe_events, ingest_conflicts, provenance_violations
 
 LOG_SCHEMA = (
@@ -17,72 +18,104 @@ LOG_SCHEMA = (
     "source_id string, data_origin string, run_kind string, request_id string, trace_id string, "
     f"revision int, occurred_at timestamp, payload {PAYLOAD_TYPE}, event_type string, batch bigint"
 )
+#: What the checks of a batch need of stored events.
+IDENTITY_SCHEMA = (
+    "event_id string, payload_hash string, request_id string, event_type string, revision int, "
+    "source_id string, data_origin string, run_kind string, trace_id string"
+)
 LEDGER_SCHEMA = (
     "sequence bigint, started_at timestamp, finished_at timestamp, status string, "
     "event_count bigint, inserted_count bigint, error_code string, batch bigint"
 )
+QUARANTINE_SCHEMA = "event_json string, rules string, batch bigint"
+LEDGER_PARTS = 16
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.name for c in StructType.fromDDL(schema)]
+
+
+def bucket(column: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets))
 
 
 @dataclass(frozen=True)
 class EventStore:
-    """Event log, ledger and quarantine below one shared folder.
-
-    One streaming query at a time feeds a store. Every table is partitioned by ``batch``,
-    which names a micro-batch by its number and its content, and a batch only rewrites its
-    own partition. So a retry after a lost executor or driver leaves the same rows, and a
-    query with a new checkpoint, which counts from 0 again, adds to what is stored.
+    """Event log, request identities, ledger and quarantine below one shared folder.
+
+    One streaming query at a time feeds a store. The log is bucketed by event id, the
+    identities by request id; a batch reads only the buckets its own ids hash to, without
+    payloads, and publishes log, identities and its ledger row at once. A batch is named by
+    its number and its content: a retry after a lost driver finds its ledger row and adds
+    nothing, and a query with a new checkpoint, which counts from 0 again, adds to what is
+    stored. Small folders of a bucket are joined as they add up.
     """
 
     root: str
+    buckets: int = 64
+
+    @property
+    def tables(self) -> Published:
+        return Published(self.root)
 
     def log(self, spark: SparkSession) -> DataFrame:
-        return read_if_exists(spark, f"{self.root}/event_log", LOG_SCHEMA)
+        return self.tables.read(spark, "event_log", LOG_SCHEMA)
 
     def ledger(self, spark: SparkSession) -> DataFrame:
-        return read_if_exists(spark, f"{self.root}/ingestion_run", LEDGER_SCHEMA)
+        return self.tables.read(spark, "ledger", LEDGER_SCHEMA)
+
+    def quarantine(self, spark: SparkSession) -> DataFrame:
+        return self.tables.read(spark, "quarantine", QUARANTINE_SCHEMA)
+
+    def related(self, batch: DataFrame, events: list[int], requests: list[int], state: State) -> tuple[DataFrame, DataFrame]:
+        """Stored identities that share an event id, and those that share a request id,
+        with a batch whose ids hash to these buckets."""
+        spark = batch.sparkSession
+        ids = batch.select("event_id").distinct()
+        asked = batch.where(F.col("request_id").isNotNull()).select("request_id").distinct()
+        stored = self.tables.read(spark, "event_log", LOG_SCHEMA, map(str, events), state).select(*names_of(IDENTITY_SCHEMA))
+        named = self.tables.read(spark, "request_events", IDENTITY_SCHEMA, map(str, requests), state)
+        return stored.join(ids, "event_id", "left_semi"), named.join(asked, "request_id", "left_semi")
 
     def ingest(self, validated: DataFrame, batch_id: int) -> str:
-        """One batch of ``validate_events`` rows; returns the ledger status."""
+        """One batch of ``validate_events`` rows, all of it or nothing; returns the ledger
+        status."""
         spark = validated.sparkSession
         started = spark.range(1).select(F.current_timestamp()).head()[0]
+        state = self.tables.state(spark)
+        buckets = state.settings.get("buckets", self.buckets)
         batch = validated.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            total, content = batch.agg(
-                F.count(F.lit(1)), F.sum(F.xxhash64("event_json").cast("decimal(38,0)"))
+            request = F.when(F.col("request_id").isNotNull(), bucket(F.col("request_id"), buckets))
+            total, content, *touched = batch.agg(
+                F.count(F.lit(1)),
+                F.sum(F.xxhash64("event_json").cast("decimal(38,0)")),
+                F.collect_set(bucket(F.col("event_id"), buckets)),
+                F.collect_set(request),
             ).head()
             key = spark.range(1).select(F.xxhash64(F.lit(batch_id), F.lit(str(content)))).head()[0]
-            # rows a failed attempt of this very batch may have left do not count as stored;
-            # only log rows that share an id with the batch are compared
-            log = self.log(spark).where(F.col("batch") != key)
-            same_event = log.join(batch.select("event_id").distinct(), "event_id", "left_semi")
-            same_request = log.join(
-                batch.where(F.col("request_id").isNotNull()).select("request_id").distinct(),
-                "request_id",
-                "left_semi",
-            )
-            bad = batch.where(F.size("violations") > 0)
-            error = None
-            if not bad.isEmpty():
-                error = "invalid_event"
-            elif not ingest_conflicts(
-                batch, same_event.unionByName(same_request).dropDuplicates(["event_id", "payload_hash"])
-            ).isEmpty():
-                error = "identity_conflict"
-            elif not provenance_violations(batch, same_request).isEmpty():
-                error = "provenance_changed"
+            part = str(key % LEDGER_PARTS)
+            done = self.tables.read(spark, "ledger", LEDGER_SCHEMA, [part], state).where(F.col("batch") == key).head(1)
+            if done:
+                return done[0]["status"]
+            same_event, same_request = self.related(batch, *touched, state)
+            error = self._error(batch, same_event, same_request)
             inserted = 0
             if error is None:
-                fresh = dedupe_events(batch, same_event).drop("violations")
-                inserted = self._write(
-                    fresh, "event_log", LOG_SCHEMA, key, "event_type", "batch"
+                fresh = dedupe_events(batch, same_event).withColumn("batch", F.lit(key).cast("long"))
+                log = self.tables.stage(
+                    fresh.select(*names_of(LOG_SCHEMA)), "event_log", bucket(F.col("event_id"), buckets), sort=("event_type", "event_id")
                 )
+                state = state.added("event_log", log)
+                added = self._staged(spark, log).select(*names_of(IDENTITY_SCHEMA))
+                inserted = added.count()
+                added = added.where(F.col("request_id").isNotNull())
+                named = self.tables.stage(added, "request_events", bucket(F.col("request_id"), buckets), sort=("request_id",))
+                state = state.added("request_events", named)
             else:
                 lines = batch.select("event_json", F.array_join("violations", ",").alias("rules"))
-                lines.withColumn("batch", F.lit(key).cast("long")).write.mode(
-                    "overwrite"
-                ).option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(
-                    f"{self.root}/quarantine"
-                )
+                lines = lines.withColumn("batch", F.lit(key).cast("long"))
+                state = state.added("quarantine", self.tables.stage(lines, "quarantine", F.lit(part)))
             status = "success" if error is None else "failed"
             entry = spark.range(1).select(
                 F.lit(batch_id).cast("long").alias("sequence"),
@@ -92,23 +125,33 @@ class EventStore:
                 F.lit(total).cast("long").alias("event_count"),
                 F.lit(inserted).cast("long").alias("inserted_count"),
                 F.lit(error).cast("string").alias("error_code"),
+                F.lit(key).cast("long").alias("batch"),
             )
-            self._write(entry, "ingestion_run", LEDGER_SCHEMA, key, "batch")
-            return status
+            state = state.added("ledger", self.tables.stage(entry, "ledger", F.lit(part)))
+            self.tables.publish(spark, replace(state, settings={"buckets": buckets}))
         finally:
             batch.unpersist()
-
-    def _write(self, df: DataFrame, table: str, schema: str, key: int, *by: str) -> int:
-        from pyspark.sql import Observation
-
-        names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
-        seen = Observation()
-        df.withColumn("batch", F.lit(key).cast("long")).select(*names).observe(
-            seen, F.count(F.lit(1)).alias("rows")
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *by
-        ).parquet(f"{self.root}/{table}")
-        return seen.get["rows"]
+        self.compact(spark)
+        return status
+
+    def compact(self, spark: SparkSession) -> None:
+        """Joins small folders where a bucket has many; readers see the same rows."""
+        self.tables.compact(spark, "event_log", LOG_SCHEMA, sort=("event_type", "event_id"))
+        self.tables.compact(spark, "request_events", IDENTITY_SCHEMA, sort=("request_id",))
+        self.tables.compact(spark, "ledger", LEDGER_SCHEMA)
+
+    def _staged(self, spark: SparkSession, folders: dict[str, list[tuple[int, str]]]) -> DataFrame:
+        return self.tables.read(spark, "staged", LOG_SCHEMA, state=State(tables={"staged": folders}))
+
+    def _error(self, batch: DataFrame, same_event: DataFrame, same_request: DataFrame) -> str | None:
+        if not batch.where(F.size("violations") > 0).isEmpty():
+            return "invalid_event"
+        stored = same_event.unionByName(same_request).dropDuplicates(["event_id", "payload_hash"])
+        if not ingest_conflicts(batch, stored).isEmpty():
+            return "identity_conflict"
+        if not provenance_violations(batch, same_request).isEmpty():
+            return "provenance_changed"
+        return None
 
 
 def ingest_stream(lines: DataFrame, store: EventStore, checkpoint: str, once: bool = True):

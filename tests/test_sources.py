@@ -47,13 +47,13 @@ def test_snapshot_keeps_unchanged_cells(spark, tmp_path):
     changed = spark.createDataFrame([(202401, "a", "g", "o", 10, 2, 7, 0.2), (202401, "c", "g", "o", 1, 0, 0, None)], CELLS)
     # b left January: deleted; February is not part of this refresh
     assert store.merge_snapshot(changed, path, dt.datetime(2024, 3, 3), 202401) == 3
-    got = {(r["year_month"], r["level"]): r for r in spark.read.parquet(path).collect()}
+    got = {(r["year_month"], r["level"]): r for r in store.read_snapshot(spark, path).collect()}
     assert set(got) == {(202401, "a"), (202401, "c"), (202402, "a")}
     assert got[202401, "a"]["refreshed_at"] == dt.datetime(2024, 3, 3)
     assert got[202402, "a"]["refreshed_at"] == dt.datetime(2024, 3, 1)
     gone = changed.limit(0)
     assert store.merge_snapshot(gone, path, dt.datetime(2024, 3, 4), 202401) == 2
-    assert spark.read.parquet(path).count() == 1
+    assert store.read_snapshot(spark, path).count() == 1
 
 
 def test_run_log_records_failures(spark, tmp_path):
