@@ -302,6 +302,26 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     assert got == want
 
 
+def test_windows_repeat_panes_and_not_rows(spark, tmp_path):
+    rows = [(START + dt.timedelta(minutes=k % 600), "Success", k % 7, float(k % 997)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "started_at timestamp, status string, tool_id int, latency_ms double")
+    df.write.parquet(str(tmp_path / "in"))
+    static = windows.windowed_p95(df, by=["tool_id"])
+    text = static._jdf.queryExecution().executedPlan().toString()
+    # the windows are spread above the aggregate of the panes
+    assert text.index("Expand" if "Expand" in text else "Generate") < text.index("partial_kll_sketch")
+    late = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = windows.run_available(windows.windowed_p95(late, by=["tool_id"]), "panes").collect()
+    want = {(r["window_start"], r["tool_id"]): r for r in static.collect()}
+    exact = df.groupBy(F.window("started_at", "24 hours", "1 hour"), "tool_id").agg(
+        F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p")
+    )
+    assert got and all(tuple(want[r["window_start"], r["tool_id"]]) == tuple(r) for r in got)
+    assert {(r["window"]["start"], r["tool_id"]): (r["n"], r["p"]) for r in exact.collect()} == {
+        k: (r["sessions"], r["p95_latency_ms"]) for k, r in want.items()
+    }
+
+
 def test_generated_lines_are_valid(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     checked = validate_events(parse_events(plans.event_lines(events, faults=False)))
