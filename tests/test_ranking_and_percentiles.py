@@ -38,6 +38,40 @@ def test_nearest_rank_and_no_keys(skewed):
     assert row["p"] == ordered[int(np.ceil(len(ordered) * 0.95)) - 1]
 
 
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+@pytest.mark.parametrize("limit", [2000, 40, 4])
+def test_rounds_narrow_to_the_exact_rank(spark, skewed, method, limit):
+    frame, df = skewed
+    probs = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p9999": 0.9999, "p100": 1.0}
+    for row in exact_percentiles(df, ["g"], "v", probs, method, limit).collect():
+        values = np.sort(frame[frame["g"] == row["g"]]["v"])
+        for name, p in probs.items():
+            nearest = values[max(0, int(np.ceil(len(values) * p)) - 1)]
+            assert row[name] == pytest.approx(np.quantile(values, p) if method == "linear" else nearest, rel=1e-12)
+
+
+def test_no_task_orders_more_than_the_limit(spark, skewed, monkeypatch):
+    from adoptlens.operators import percentiles
+
+    seen, narrowed = [], percentiles._narrowed
+
+    def spied(values, wanted, by, group):
+        out = narrowed(values, wanted, by, group)
+        seen.append((values.count(), out[0].groupBy(*group, "__name").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(percentiles, "_narrowed", spied)
+    exact_percentiles(skewed[1], ["g"], "v", {"p": 0.95}, limit=100).collect()
+    assert seen and seen[0][1] < 400 and seen[-1][1] <= 100
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, float(k)) for k in range(50)] + [("a", 1.0)], "g string, v double")
+    for limit in (1000, 8):
+        assert {tuple(r) for r in exact_percentiles(df, ["g"], "v", {"p": 0.5}, limit=limit).collect()} == {(None, 24.5), ("a", 1.0)}
+    assert exact_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
 def test_two_values_interpolate(spark):
     df = spark.createDataFrame([(100.0,), (1000.0,)], "v double")
     assert exact_percentiles(df, [], "v", {"p": 0.95}).collect()[0]["p"] == pytest.approx(955)
