@@ -13,7 +13,7 @@ from adoptlens.llm import mixing
 from adoptlens.llm.common import ascii_lower, table, whole_text
 from adoptlens.llm.exact_dedup import exact_groups
 from adoptlens.llm.language import UNDETERMINED, learn, with_language
-from adoptlens.llm.near_dedup import near_duplicates
+from adoptlens.llm.near_dedup import near_duplicates, survivors, text_key
 from adoptlens.llm.packing import pack
 from adoptlens.session import shared_dir
 
@@ -44,9 +44,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs, WORDS, PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of each group of near duplicates the document with the smallest doc_id stays, once; a
+    row without an id only where its group has none. Texts without words all stay."""
+    kept = survivors(near_duplicates(docs, WORDS, PERCENT))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
+    rows = docs.withColumn("__key", text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
