@@ -86,27 +86,34 @@ def _key(shingles: np.ndarray) -> bytes | None:
 
 
 def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart rows of different texts that share an id."""
+    return F.xxhash64(text)
 
 
 def signatures(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id, set_key (null for an empty set), n_shingles, bands of every document."""
+    """doc_id, text_key, set_key (null for an empty set), n_shingles, bands of every document."""
     fields = pa.schema(
-        [("doc_id", pa.int64()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_key", pa.binary())]
+        + [("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch["doc_id"], batch["text"].to_pylist()
+            ids, texts, found = batch["doc_id"], batch["text_key"], batch["text"].to_pylist()
             for a, b in slices(found):
                 sets = shingle_sets(found[a:b], words)
                 bands = [band_keys(min_max(s)) if len(s) else None for s in sets]
-                columns = [ids[a:b], [_key(s) for s in sets], [len(s) for s in sets], bands]
+                columns = [ids[a:b], texts[a:b], [_key(s) for s in sets], [len(s) for s in sets], bands]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields
                 )
 
-    return texts.mapInArrow(sign, "doc_id long, set_key binary, n_shingles long, bands array<long>")
+    return texts.mapInArrow(sign, "doc_id long, text_key long, set_key binary, n_shingles long, bands array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -236,7 +243,9 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key, group.
+
+    ``group`` is the same for linked documents and null for a text without words.
 
     A-Z are lower-cased, words are runs without ASCII white space, a document's set holds
     its distinct shingles of ``words`` words (the whole sequence where it is shorter).
@@ -255,19 +264,26 @@ def near_duplicates(
     members = classes.select("set_key", "node", "first_doc").join(roots, "node", "left")
     members = members.withColumn("root", F.coalesce("root", "node"))
     names = members.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = members.join(names, "root").select("set_key", "component_id")
+    named = members.join(names, "root").select("set_key", "component_id", F.col("root").alias("group"))
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        signed.select("doc_id", "set_key", "n_shingles")
+        signed.select("doc_id", "text_key", "set_key", "n_shingles")
         .join(named, "set_key", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+        .select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "group")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def survivors(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the rows of ``near_duplicates`` that stay: of each group one,
+    the smallest doc_id (none comes last) and of its texts the one with the least key; of
+    texts without words all."""
+    own = F.col("group").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    one = found.filter(~own).groupBy("group").agg(first).select("first.doc_id", "first.text_key")
+    return one.union(found.filter(own).select("doc_id", "text_key")).distinct()
+
+
 def _classes(signed: DataFrame) -> DataFrame:
     """Documents with equal sets as one row: set_key, node, first_doc, n, bands.
 

@@ -81,6 +81,15 @@ def near(rows, words, percent=80):
     return sorted((i, len(sets[i]), find(i), find(i) == i) for i in sets)
 
 
+def near_survivors(rows, words, percent=80):
+    """Which rows stay: of each group the smallest id (none comes last), and all without words."""
+    found = near([(k, t) for k, (_, t) in enumerate(rows)], words, percent)
+    groups = collections.defaultdict(list)
+    for k, size, group, _ in found:
+        groups[(group, 0) if size else (k, 1)].append(k)
+    return sorted(min(ks, key=lambda k: (rows[k][0] is None, rows[k][0] or 0)) for ks in groups.values())
+
+
 def repeats(rows, least=50):
     """[(doc_id, n_bytes, n_removed, n_spans, kept_sha256)]."""
     first, out = {}, []

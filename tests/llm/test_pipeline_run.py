@@ -93,9 +93,9 @@ def test_every_stage_agrees_with_plain_python(spark, tmp_path, more):
     assert {tuple(r) for r in found["exact_dedup"]} <= {tuple(r) for r in told}
 
     # near copies: the smallest id of each component of pairs
-    known = [(r["doc_id"], r["text"]) for r in found["exact_dedup"] if r["doc_id"] is not None]
-    stays = {i for i, *_, keep in plain.near(known, corpus_pipeline.WORDS, corpus_pipeline.PERCENT) if keep} | {None}
-    same(found["near_dedup"], [r for r in found["exact_dedup"] if r["doc_id"] in stays])
+    rows = found["exact_dedup"]
+    stays = plain.near_survivors([(r["doc_id"], r["text"]) for r in rows], corpus_pipeline.WORDS, corpus_pipeline.PERCENT)
+    same(found["near_dedup"], [rows[k] for k in stays])
     assert len(found["near_dedup"]) < len(found["exact_dedup"]) < len(told)
 
     same(found["mixing"], mixed(found["near_dedup"]))
@@ -124,6 +124,18 @@ def test_every_stage_agrees_with_plain_python(spark, tmp_path, more):
         assert ends[-1] <= 4096
 
 
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    rows = plain.odd_rows() + [(5, "a b c d e f"), (5, "A  b c d e f"), (6, "a b c d e f"), (7, None), (7, "")]
+    found = corpus_pipeline.drop_near_copies(spark, plain.frame(spark, rows), "")
+    assert found.columns == plain.frame(spark, []).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr)
+    base = plain.sentence(1, 120)
+    tied = [r for r in got if r[0] == 5]
+    assert len(tied) == 1 and tied[0][1] in ("a b c d e f", "A  b c d e f")
+    want = [(None, None), (None, plain.sentence(8, 50)), (1, base), (1, plain.sentence(9, 60)), (7, None), (7, ""), *tied]
+    assert got == sorted(want, key=repr)
+
+
 def test_run_of_an_empty_table(spark, tmp_path):
     _, found = run(spark, tmp_path, [])
     assert found == {name: [] for name, _ in corpus_pipeline.STAGES}
