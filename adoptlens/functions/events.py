@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 # The envelope, the three payloads and an attempt.
 ENVELOPE_FIELDS = [
     "schema_version",
@@ -281,11 +283,7 @@ def review_rules() -> list[tuple[str, Column]]:
 def envelope_rules() -> list[tuple[str, Column]]:
     kind = F.col("event_type")
     request_id = F.col("request_id")
-    line = F.col("event_json")
-    payload_keys = F.json_object_keys(F.get_json_object(line, "$.payload"))
-    attempt_maps = F.from_json(
-        F.get_json_object(line, "$.payload.attempts"), "array<map<string,string>>"
-    )
+    line, payload_keys = F.col("event_json"), F.col("__payload_keys")
     fields = (
         F.when(kind == REQUEST, _has_exactly(payload_keys, REQUEST_FIELDS))
         .when(kind == REVIEW, _has_exactly(payload_keys, REVIEW_FIELDS))
@@ -293,13 +291,13 @@ def envelope_rules() -> list[tuple[str, Column]]:
     )
     known = kind.isin(*EVENT_TYPES) & F.col("data_origin").isin(*ORIGINS) & F.col("run_kind").isin(*KINDS)
     return [
-        ("fields", F.coalesce(_has_exactly(F.json_object_keys(line), ENVELOPE_FIELDS), F.lit(False))),
+        ("fields", F.coalesce(_has_exactly(F.col("__keys"), ENVELOPE_FIELDS), F.lit(False))),
         ("payload_fields", F.coalesce(fields, F.lit(False))),
         (
             "attempt_fields",
             (kind != REQUEST)
             | F.coalesce(
-                F.forall(attempt_maps, lambda m: _has_exactly(F.map_keys(m), ATTEMPT_FIELDS)),
+                F.forall("__attempts", lambda m: _has_exactly(F.map_keys(m), ATTEMPT_FIELDS)),
                 F.lit(False),
             ),
         ),
@@ -340,12 +338,20 @@ def validate_events(parsed: DataFrame) -> DataFrame:
             "heartbeat_status",
         )
     )
-    malformed = F.json_object_keys("event_json").isNull()
-    found = F.when(malformed, F.array(F.lit("malformed"))).otherwise(
+    found = F.when(F.col("__keys").isNull(), F.array(F.lit("malformed"))).otherwise(
         F.array_compact(F.array(*checks))
     )
-    # again one element: a filter on the violations must not repeat the checks
-    return parsed.select("*", F.explode(F.array(found)).alias("violations"))
+    # each step once per line: the keys of the line, and those inside the payload alone
+    line, payload = F.col("event_json"), F.col("__payload")
+    keyed = once(parsed, "__l", F.struct(F.json_object_keys(line).alias("keys"), F.get_json_object(line, "$.payload").alias("payload")))
+    keyed = keyed.select(*parsed.columns, F.col("__l.keys").alias("__keys"), F.col("__l.payload").alias("__payload"))
+    maps = F.when(kind == REQUEST, F.from_json(F.get_json_object(payload, "$.attempts"), "array<map<string,string>>"))
+    keyed = once(keyed, "__p", F.struct(F.json_object_keys(payload).alias("keys"), maps.alias("attempts")))
+    keyed = keyed.select(
+        *parsed.columns, "__keys", F.col("__p.keys").alias("__payload_keys"), F.col("__p.attempts").alias("__attempts")
+    )
+    # a filter on the violations must not repeat the checks either
+    return once(keyed, "violations", found).select(*parsed.columns, "violations")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -198,6 +198,17 @@ def adoption_plateau(
     )
 
 
+def group_ratio(plateau: DataFrame, group: str, numerator: str, denominator: str) -> DataFrame:
+    """Adoption of one group over that of another; NULL if the other has none."""
+
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col(group) == name, F.col("adoption")))
+
+    return plateau.agg(
+        F.lit(numerator).alias("numerator"), F.lit(denominator).alias("denominator"), ratio(of(numerator), of(denominator)).alias("ratio")
+    )
+
+
 def never_adopted(sessions: DataFrame, lawyers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Active lawyers without any session, whatever the period."""
     users = sessions.select("lawyer_id").distinct().withColumn("__used", F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..session import cut_lineage
+from .intervals import BUCKET
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # Contributions are rounded to this many decimals and added as decimals: the total
@@ -34,18 +35,13 @@ def normalize_terms(listed: DataFrame, keys: Sequence[str], term_map: DataFrame)
     keys = list(keys)
     rest = [c for c in listed.columns if c not in ("tokens", *keys)]
     spread = listed.select(*keys, F.posexplode("tokens").alias("__pos", "raw"))
-    vocabulary = spread.select("raw").distinct().join(term_map.select("raw", "norm"), "raw")
-    # a frequent term would meet its one vocabulary row in one task, hence the salt
-    salt = F.pmod(F.xxhash64(*keys, "__pos"), F.lit(16)).cast("int")
-    salted = vocabulary.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    named = spread.withColumn("__s", salt).join(salted, ["raw", "__s"], "left")
-    back = named.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.struct("__pos", F.coalesce("norm", "raw").alias("t")))
-            ),
-            lambda x: x["t"],
-        ).alias("tokens")
+    # written, so that both sides of the join are plain and a frequent term can be split
+    vocabulary = cut_lineage(spread.select("raw").distinct().join(term_map.select("raw", "norm"), "raw"))
+    back = (
+        spread.join(vocabulary, "raw", "left")
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("norm", "raw").alias("t")))).alias("__t"))
+        .select(*keys, F.transform("__t", lambda x: x["t"]).alias("tokens"))
     )
     base = listed.select(*keys, *rest)
     return base.join(back, keys, "left").withColumn(
@@ -53,20 +49,25 @@ def normalize_terms(listed: DataFrame, keys: Sequence[str], term_map: DataFrame)
     )
 
 
-def bm25_scores(
+def bm25_hits(
     chunks: DataFrame,
     queries: DataFrame,
     k1: float = K1,
     b: float = B,
     epsilon: float = EPSILON,
     term_map: DataFrame | None = None,
-) -> DataFrame:
-    """Score of every chunk of the queried document: case_id, document_id, chunk_no,
-    start, end, score. ``queries``: case_id, document_id, query.
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, places). Hits: case_id, document_id, chunk_no, start, end, score of every
+    chunk of the queried document that has a query term; all others score 0. Places:
+    document_id, chunk_no, start, end of all chunks of queried documents.
+    ``queries``: case_id, document_id, query.
 
     idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes epsilon times the mean
     idf of the document's vocabulary, taken before any replacement. A query term
     counts as often as it occurs; a term the document lacks adds nothing.
+
+    A posting list per (document, term) meets the queries that ask for the term, so rows
+    grow with hits and not with cases times chunks.
     """
     asked = queries.select("document_id").distinct()
     wanted = chunks.join(asked, "document_id", "left_semi")
@@ -77,10 +78,10 @@ def bm25_scores(
     corpus = sized.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("avg_length")
     )
-    # tf inside the chunk; the shuffle key holds document and term, so a long document spreads
+    # the shuffle key holds document and term, so a long document spreads
     tf = (
-        sized.select("document_id", "chunk_no", "length", F.explode("tokens").alias("term"))
-        .groupBy("document_id", "term", "chunk_no", "length")
+        sized.select("document_id", "chunk_no", "start", "end", "length", F.explode("tokens").alias("term"))
+        .groupBy("document_id", "term", "chunk_no", "start", "end", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -108,18 +109,55 @@ def bm25_scores(
     )
     hits = (
         terms.join(tf, ["document_id", "term"])
-        .groupBy("case_id", "document_id", "chunk_no")
+        .groupBy("case_id", "document_id", "chunk_no", "start", "end")
         .agg(
             F.sum(F.round(F.col("qtf") * F.col("idf") * saturation, 12).cast(EXACT))
             .cast("double")
             .alias("score")
         )
     )
-    places = listed.select("document_id", "chunk_no", "start", "end")
-    candidates = queries.select("case_id", "document_id").distinct().join(places, "document_id")
-    return candidates.join(hits, ["case_id", "document_id", "chunk_no"], "left").fillna(
-        0.0, ["score"]
+    return hits, listed.select("document_id", "chunk_no", "start", "end")
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, **settings) -> DataFrame:
+    """Score of every chunk of the queried document, those without a hit included: one row
+    per case and chunk. See ``bm25_hits``."""
+    hits, places = bm25_hits(chunks, queries, **settings)
+    every = queries.select("case_id", "document_id").distinct().join(places, "document_id")
+    keys = ["case_id", "document_id", "chunk_no", "start", "end"]
+    return every.join(hits, keys, "left").fillna(0.0, ["score"])
+
+
+def leading_chunks(hits: DataFrame, places: DataFrame, queries: DataFrame, chunks: int = 0, characters: int = 0) -> DataFrame:
+    """The hits, and of the chunks without one as many as can rank among the first
+    ``chunks`` or be reached within a budget of ``characters``.
+
+    Chunks without a hit rank in source order between positive and negative scores. The
+    first ``chunks`` of them lie among as many first chunks as that and the hits. Positive
+    ones and those that start within the budget, longer by what negative ones cover, hold
+    that many characters or the whole document.
+    """
+    negative = F.col("score") < 0
+    told = hits.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("__hits"), F.sum(F.when(negative, F.col("end") - F.col("start")).otherwise(0)).alias("__lost")
     )
+    cases = queries.select("case_id", "document_id").distinct().join(told, "case_id", "left").fillna(0, ["__hits", "__lost"])
+    keys = ["case_id", "document_id", "chunk_no"]
+    wanted = []
+    if chunks:
+        first = F.explode(F.sequence(F.lit(0), (F.lit(chunks - 1) + F.col("__hits")).cast("int"))).alias("chunk_no")
+        wanted.append(cases.select("case_id", "document_id", first).join(places, ["document_id", "chunk_no"]))
+    if characters:
+        span = F.lit(characters) + F.col("__lost")
+        near = cases.select("case_id", "document_id", span.alias("__span"))
+        near = near.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.col("__span") - 1) / BUCKET).cast("int"))))
+        there = places.withColumn("__b", F.floor(F.col("start") / BUCKET).cast("int"))
+        wanted.append(near.join(there, ["document_id", "__b"]).where(F.col("start") < F.col("__span")))
+    rows = [w.select(*keys, "start", "end") for w in wanted]
+    for more in rows[1:]:
+        rows[0] = rows[0].unionByName(more).distinct()
+    empty = rows[0].join(hits.select(*keys), keys, "left_anti").withColumn("score", F.lit(0.0))
+    return hits.unionByName(empty)
 
 
 def query_terms(queries: DataFrame, term_map: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKET = 4096
+#: Units of a block of the unit walk.
+FOLD = 256
 
 
 def _merge(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,6 +153,28 @@ def interval_difference(
     )
 
 
+def owned_segments(proposals: DataFrame, keys: Sequence[str], extra: Sequence[str] = (), bucket: int = BUCKET) -> DataFrame:
+    """Disjoint segments of the positions that proposals cover, cut at every start and end,
+    with the best ``rank`` that covers each. ``extra`` are the same for all of a key."""
+    own = [*keys, *extra]
+    cuts = proposals.select(*own, F.explode(F.array("start", "end")).alias("start")).distinct()
+    by_position = Window.partitionBy(*keys).orderBy("start")
+    segments = (
+        cuts.withColumn("end", F.lead("start").over(by_position))
+        .where(F.col("end").isNotNull())
+        .withColumn("__b", F.floor(F.col("start") / bucket))
+    )
+    covering = _in_buckets(proposals.select(*keys, "rank", "start", "end"), bucket).withColumnsRenamed(
+        {"start": "__ps", "end": "__pe"}
+    )
+    return (
+        segments.join(covering, [*keys, "__b"])
+        .where((F.col("__ps") <= F.col("start")) & (F.col("start") < F.col("__pe")))
+        .groupBy(*own, "start", "end")
+        .agg(F.min("rank").alias("rank"))
+    )
+
+
 def budget_context(
     proposals: DataFrame,
     keys: Sequence[str],
@@ -195,24 +219,7 @@ def budget_context(
         .where(F.col("__seen") < F.col("__budget") * F.col("__depth"))
         .drop("__seen", "__depth")
     )
-    cuts = (
-        p.select(*keys, "__budget", F.explode(F.array("start", "end")).alias("start")).distinct()
-    )
-    by_position = Window.partitionBy(*keys).orderBy("start")
-    segments = (
-        cuts.withColumn("end", F.lead("start").over(by_position))
-        .where(F.col("end").isNotNull())
-        .withColumn("__b", F.floor(F.col("start") / bucket))
-    )
-    covering = _in_buckets(p.drop("__budget"), bucket).withColumnsRenamed(
-        {"start": "__ps", "end": "__pe"}
-    )
-    owned = (
-        segments.join(covering, [*keys, "__b"])
-        .where((F.col("__ps") <= F.col("start")) & (F.col("start") < F.col("__pe")))
-        .groupBy(*keys, "__budget", "start", "end")
-        .agg(F.min("rank").alias("rank"))
-    )
+    owned = owned_segments(p, keys, ["__budget"], bucket)
     # neighbouring segments of one owner are one piece
     by_owner = Window.partitionBy(*keys, "rank").orderBy("start")
     touches = F.col("start") == F.lag("end").over(by_owner)
@@ -237,53 +244,65 @@ def budget_context(
 
 
 def unit_context(
-    proposals: DataFrame, units: DataFrame, keys: Sequence[str], on: str, budget: int
+    proposals: DataFrame, units: DataFrame, keys: Sequence[str], on: str, budget: Column | int | str
 ) -> DataFrame:
     """Whole units that meet the proposals, in rank then source order, each once;
     a unit that does not fit is skipped and shorter ones may still follow.
 
-    Whether a unit fits depends on all units before it, so the running total is a
-    fold over the units of one case; its input is bounded by one document.
+    ``budget`` may be a column of ``proposals``, the same for all of a key. Units meet
+    disjoint segments that know their best rank, so overlapping proposals don't multiply
+    them. Whether a unit fits depends on all units before it: a fold over the lengths of one
+    case, bounded by one document. It holds one number and marks what it takes; once what is
+    left is below the shortest unit it changes nothing any more.
     """
     keys = list(keys)
-    p = _in_buckets(proposals.select(*keys, on, "rank", "start", "end"), BUCKET)
+    limit = F.lit(budget) if isinstance(budget, int) else F.col(budget) if isinstance(budget, str) else budget
+    p = proposals.select(*keys, on, "rank", "start", "end", limit.cast("long").alias("__budget"))
+    p = p.where(F.col("end") > F.col("start"))
+    extra = ["__budget", *([] if on in keys else [on])]
+    s = _in_buckets(owned_segments(p, keys, extra), BUCKET).withColumnsRenamed({"start": "__ps", "end": "__pe"})
     u = _in_buckets(units.select(on, "start", "end"), BUCKET)
     meets = (
-        p.withColumnsRenamed({"start": "__ps", "end": "__pe"})
-        .join(u, [on, "__b"])
+        s.join(u, [on, "__b"])
         .where((F.col("start") < F.col("__pe")) & (F.col("__ps") < F.col("end")))
-        .groupBy(*keys, "start", "end")
+        .groupBy(*keys, "__budget", "start", "end")
         .agg(F.min("rank").alias("rank"))
         # a unit longer than the budget is never taken
-        .where(F.col("end") - F.col("start") <= budget)
+        .where(F.col("end") - F.col("start") <= F.col("__budget"))
     )
-    listed = meets.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("rank").cast("long").alias("rank"),
-                    F.col("start").cast("long").alias("start"),
-                    F.col("end").cast("long").alias("end"),
-                )
-            )
-        ).alias("__u")
-    )
-    element = "struct<rank:bigint,start:bigint,end:bigint>"
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{element}>").alias("taken")
+    unit = F.struct(*[F.col(c).cast("long").alias(c) for c in ("rank", "start", "end")])
+    listed = meets.groupBy(*keys, "__budget").agg(F.array_sort(F.collect_list(unit)).alias("__u"))
+    sizes = F.transform("__u", lambda x: x["end"] - x["start"])
+    # per block of units what is left before it; then, block by block, which units fit
+    blocks = listed.withColumn("__n", sizes).withColumn(
+        "__blocks",
+        F.transform(
+            F.sequence(F.lit(1), F.size("__u"), F.lit(FOLD)), lambda i: F.slice("__n", i, F.lit(FOLD))
+        ),
     )
 
-    def step(acc: Column, unit: Column) -> Column:
-        size = unit["end"] - unit["start"]
-        fits = acc["used"] + size <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + size).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["taken"], unit)).otherwise(acc["taken"]).alias("taken"),
+    def left(before: Column, size: Column) -> Column:
+        return F.when(size <= before, before - size).otherwise(before)
+
+    def scan(start: Column, values: Column, step) -> Column:
+        """What is left before each of ``values``, and after the last."""
+        zero = F.struct(start.alias("now"), F.array().cast("array<bigint>").alias("all"))
+        fold = F.aggregate(
+            values, zero, lambda acc, v: F.struct(step(acc["now"], v).alias("now"), F.array_append(acc["all"], acc["now"]).alias("all"))
         )
+        return fold["all"]
 
-    return listed.select(
-        *keys, F.explode(F.aggregate("__u", zero, step, lambda acc: acc["taken"])).alias("__t")
-    ).select(*keys, "__t.rank", "__t.start", "__t.end")
+    through = lambda before, block: F.aggregate(block, before, left)
+    opened = blocks.withColumn("__open", scan(F.col("__budget"), F.col("__blocks"), through))
+    fits = F.flatten(
+        F.transform(
+            F.arrays_zip("__open", "__blocks"),
+            lambda z: F.zip_with(scan(z["__open"], z["__blocks"], left), z["__blocks"], lambda before, size: size <= before),
+        )
+    )
+    marked = opened.withColumn("__fits", fits)
+    taken = F.explode(F.arrays_zip(F.col("__u").alias("u"), F.col("__fits").alias("fits")))
+    return marked.select(*keys, taken.alias("__t")).where("__t.fits").select(*keys, "__t.u.rank", "__t.u.start", "__t.u.end")
 
 
 def context_size(context: DataFrame, keys: Sequence[str]) -> DataFrame:

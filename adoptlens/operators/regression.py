@@ -223,9 +223,11 @@ def pairwise_contrasts(
     )
 
 
-def control_sensitivity(time: DataFrame, sessions: DataFrame, **names) -> DataFrame:
+def control_sensitivity(
+    time: DataFrame, sessions: DataFrame, max_control_sessions: int = NON_ADOPTER_MAX, **names
+) -> DataFrame:
     """The same fit with the clean and with the contaminated control."""
-    clean = fe_effect(assign_arms(time, sessions), **names).withColumn(
+    clean = fe_effect(assign_arms(time, sessions, max_control_sessions), **names).withColumn(
         "control", F.lit("never adopted")
     )
     mixed = fe_effect(assign_contaminated_arms(time), **names).withColumn(

@@ -12,6 +12,7 @@ from ..functions.exprs import count_where, ratio
 from ..functions.text import normalized
 from .percentiles import exact_percentiles
 
+# What makes two requests comparable.
 COMPARISON_KEYS = (
     "source_id",
     "data_origin",
@@ -37,13 +38,21 @@ READINESS_KEYS = (
 
 
 def _latest(events: DataFrame, event_type: str) -> DataFrame:
-    """The highest revision per request. ``max_by`` combines on the map side."""
+    """The highest revision per request, by event id among equal ones, once.
+
+    The winner is found on three narrow columns, which combine on the map side. Payloads
+    move once, by request, and stay there for what is joined to a request next.
+    """
     rows = events.where(F.col("event_type") == event_type)
+    best = F.max(F.struct("revision", "event_id")).alias("__best")
+    winners = rows.groupBy("request_id").agg(best).where(F.col("request_id").isNotNull())
     keep = [c for c in rows.columns if c not in ("request_id", "event_json")]
     return (
-        rows.groupBy("request_id")
-        .agg(F.max_by(F.struct(*keep), F.struct("revision", "event_id")).alias("__e"))
-        .select("request_id", "__e.*")
+        rows.select("request_id", *keep)
+        .join(winners, "request_id")
+        .where((F.col("event_id") == F.col("__best.event_id")) & (F.col("revision") == F.col("__best.revision")))
+        .drop("__best")
+        .dropDuplicates(["request_id"])
     )
 
 

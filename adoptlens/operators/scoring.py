@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_where, ratio
-from ..functions.text import NONSPACE
+from ..functions.text import NONSPACE, TOKEN
 from .intervals import interval_overlap, interval_union
 from .percentiles import exact_percentiles
 
@@ -67,6 +67,24 @@ def _size(spans: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return spans.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias(name))
 
 
+def retrieval_states(tasks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, document_id, status, error_type) of every task, failures as rows: a
+    document that is missing, without words or without a token, or a query without one,
+    is an error and retrieves nothing."""
+    known = docs.select("document_id", "text")
+    text, query = F.col("text"), F.col("query")
+    error = (
+        F.when(text.isNull(), "unknown_document")
+        .when(~text.rlike(f"(?U){NONSPACE}"), "empty_document")
+        .when(~text.rlike(TOKEN), "empty_vocabulary")
+        .when(~F.coalesce(query.rlike(TOKEN), F.lit(False)), "invalid_query")
+    )
+    states = tasks.select("case_id", "document_id", "query").join(known, "document_id", "left")
+    return states.select(
+        "case_id", "document_id", F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error_type")
+    )
+
+
 def score_retrieval(
     expected: DataFrame, predictions: DataFrame, contexts: DataFrame, gold: DataFrame
 ) -> DataFrame:

@@ -37,10 +37,25 @@ def props_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def sessions(spark: SparkSession, d: str) -> DataFrame:
+def sessions(spark: SparkSession, d: str, over_months: bool = False) -> DataFrame:
+    """``over_months``: accepted work lies in the first two months, the rest in five."""
     n_matters = table(spark, d, "part").agg(F.count(F.lit(1))).scalar()
     k = props_k()
-    return session_columns(table(spark, d, "events"), n_matters, k)
+    rows = session_columns(table(spark, d, "events"), n_matters, k)
+    if not over_months:
+        return rows
+    accepted = F.col("event_type").isin("purchase", "signup")
+    months = F.when(accepted, F.col("session_id") % 2).otherwise(F.col("session_id") % 5)
+    return rows.withColumn("activity_date", F.date_add("activity_date", (months * 31).cast("int")))
+
+
+def over_months_sql(sql: str) -> str:
+    """The same of a text that uses SESSIONS_SQL and MATTERS_SQL."""
+    day, tier = "CAST(ts AS DATE) AS activity_date", "p_partkey % 20 IN (1, 2)"
+    assert day in sql and tier in sql
+    months = "CASE WHEN event_type IN ('purchase', 'signup') THEN event_id % 2 ELSE event_id % 5 END"
+    spread = sql.replace(day, f"CAST(ts AS DATE) + CAST(31 * ({months}) AS INT) AS activity_date")
+    return spread.replace(tier, "p_partkey % 20 BETWEEN 1 AND 5")
 
 
 def session_columns(events: DataFrame, n_matters: Column, k: Column) -> DataFrame:
@@ -81,12 +96,12 @@ sessions AS (
   FROM events)"""
 
 
-def outputs(spark: SparkSession, d: str) -> DataFrame:
+def outputs(spark: SparkSession, d: str, over_months: bool = False) -> DataFrame:
     reviewed = (F.col("session_id") * 13 + F.col("lawyer_id") * F.col("lawyer_id")) % 100 < (
         30 + F.col("lawyer_id") % 60
     )
     return (
-        sessions(spark, d)
+        sessions(spark, d, over_months)
         .where(F.col("status") == "Success")
         .select(
             F.col("session_id").alias("output_id"),
@@ -133,10 +148,11 @@ lawyers AS (
   FROM customer)"""
 
 
-def matters(spark: SparkSession, d: str) -> DataFrame:
+def matters(spark: SparkSession, d: str, over_months: bool = False) -> DataFrame:
     key = F.col("p_partkey")
     slot = key % 20
-    tier = F.when(slot == 0, "Barrier").when(slot.isin(1, 2), "Restricted").otherwise("Standard")
+    restricted = slot.between(1, 5) if over_months else slot.isin(1, 2)
+    tier = F.when(slot == 0, "Barrier").when(restricted, "Restricted").otherwise("Standard")
     fee = F.when(key % 3 == 0, "Hourly").when(key % 3 == 1, "Fixed Fee").otherwise("Capped")
     return table(spark, d, "part").select(
         key.alias("matter_id"),
@@ -195,8 +211,8 @@ tools AS (
   FROM region)"""
 
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return enrich_outputs(outputs(spark, d), tasks(spark, d), matters(spark, d))
+def enriched(spark: SparkSession, d: str, over_months: bool = False) -> DataFrame:
+    return enrich_outputs(outputs(spark, d, over_months), tasks(spark, d), matters(spark, d, over_months))
 
 
 ENRICHED_SQL = """
@@ -209,12 +225,13 @@ enriched AS (
     FROM outputs o JOIN tasks t USING (task_type_id) JOIN matters m USING (matter_id)))"""
 
 
-def seats(spark: SparkSession, d: str) -> DataFrame:
+def seats(spark: SparkSession, d: str, over_months: bool = False) -> DataFrame:
     """Active lawyers x tools x months. The tool table is a fixed handful of rows."""
     tool_list = (
         tools(spark, d).agg(F.collect_list(F.struct("tool_id", "licence_cost"))).scalar()
     )
-    months = month_spine(sessions(spark, d), "activity_date")
+    used = sessions(spark, d, over_months)
+    months = month_spine(used, "activity_date")
     allocated = (
         lawyers(spark, d)
         .where(F.col("is_active"))
@@ -224,7 +241,7 @@ def seats(spark: SparkSession, d: str) -> DataFrame:
             "lawyer_id", "tool_id", "licence_cost", F.lit(1).alias("seats"), F.trunc("m", "month").alias("month")
         )
     )
-    return seat_usage(allocated, sessions(spark, d))
+    return seat_usage(allocated, used)
 
 
 SEATS_SQL = """
@@ -237,10 +254,10 @@ seats AS (
   FROM lawyers l CROSS JOIN tools t CROSS JOIN months m WHERE l.is_active)"""
 
 
-def session_feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def session_feed(spark: SparkSession, d: str, over_months: bool = False) -> tuple[DataFrame, DataFrame]:
     """Feed runs of the sessions per source, and the go-live day of each source."""
     source = F.concat(F.lit("src"), (F.col("tool_id") % 3).cast("string"))
-    loads = sessions(spark, d).select(
+    loads = sessions(spark, d, over_months).select(
         source.alias("source"), F.col("activity_date").alias("run_date"), "k"
     )
     return _feed(loads, F.col("k") >= 98)
@@ -301,16 +318,16 @@ LINE_FEED_SQL = feed_sql(
 )
 
 
-def star(spark: SparkSession, d: str) -> Star:
-    runs, live = session_feed(spark, d)
+def star(spark: SparkSession, d: str, over_months: bool = False) -> Star:
+    runs, live = session_feed(spark, d, over_months)
     return Star(
-        sessions=sessions(spark, d),
-        outputs=enriched(spark, d),
+        sessions=sessions(spark, d, over_months),
+        outputs=enriched(spark, d, over_months),
         lawyers=lawyers(spark, d),
-        matters=matters(spark, d),
+        matters=matters(spark, d, over_months),
         tools=tools(spark, d),
         tasks=tasks(spark, d),
-        seats=seats(spark, d),
+        seats=seats(spark, d, over_months),
         health=feed_health(runs, live),
     )
 

@@ -16,6 +16,7 @@ from ..functions.text import (
     normalized,
 )
 from ..operators import bm25, chunking, corpus, diagnostics, intervals, metrics, scoring
+from ..operators.passages import passage_occurrences, passage_spans
 from ..session import cut_lineage
 from . import bindings as b
 from .bindings import rounded
@@ -35,7 +36,6 @@ NARROW_WORDS, NARROW_OVERLAP = 40, 0
 BUDGET = 600
 PREAMBLE = 120
 PREAMBLE_CATEGORIES = ["c0", "c1"]
-ANCHOR = 4
 
 
 def query(sql: str | None = None):
@@ -56,47 +56,28 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passage_matches(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, document_id) for every document that contains the passage verbatim.
-
-    A contained passage brings its inner words along, so up to ANCHOR of them, hashed, are
-    an equality key; only documents that share the key are searched for the passage. Only
-    the lengths of anchor that passages have are looked for in documents. A passage of
-    fewer than three words has no inner word and is searched for in every document.
-    """
-    words = F.split("text", r"\s+")
-    n = F.size("__w")
-    size = F.least(F.lit(ANCHOR), F.greatest(F.lit(0), n - 2))
-    inner = passages.withColumn("__w", words).withColumn("__size", size)
-    inner = inner.withColumn("__key", F.xxhash64("__size", F.slice("__w", F.lit(2), F.col("__size"))))
-    sizes = sorted(r[0] for r in inner.select("__size").distinct().collect())
-
-    def grams(k: int) -> Column:
-        found = F.transform(
-            F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.lit(k), F.slice("__w", i, F.lit(k)))
-        )
-        none = F.array().cast("array<bigint>")
-        return F.when(n >= k, F.array_distinct(found)).otherwise(none)
-
-    keys = [grams(k) if k else F.array(F.xxhash64(F.lit(0), F.array().cast("array<string>"))) for k in sizes]
-    keys = F.concat(*keys) if keys else F.array().cast("array<bigint>")
-    keyed = docs.select("document_id", words.alias("__w")).select("document_id", F.explode(keys).alias("__key"))
-    candidates = keyed.join(inner.select("item_id", "__key"), "__key").select(
-        "item_id", "document_id"
-    )
-    return (
-        candidates.join(passages.select("item_id", F.col("text").alias("passage")), "item_id")
-        .join(docs.select("document_id", "text"), "document_id")
-        .withColumn("at", F.instr("text", F.col("passage")))
-        .where(F.col("at") > 0)
-        .select("item_id", "document_id", "passage", (F.col("at") - 1).alias("answer_start"))
-    )
+    """(item_id, document_id, passage, answer_start) for every document that contains the
+    passage verbatim, with its first place."""
+    found = passage_occurrences(passages, docs)
+    return found.groupBy("item_id", "document_id", "passage").agg(F.min("start").alias("answer_start"))
+
 
+def damaged(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Some documents without a passage lost their words, some their letters."""
+    held = found.select("document_id", F.lit(True).alias("__held")).distinct()
+    lost = F.when(F.col("__held"), F.col("text")).when(F.col("document_id") % 7 == 3, F.lit("  \n")).when(F.col("document_id") % 7 == 5, F.lit("-- .. !"))
+    joined = docs.join(held, "document_id", "left")
+    return joined.withColumn("text", F.coalesce(lost, F.col("text"))).drop("__held")
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Every passage asked of each document that holds it (answerable) and of the
-    document after it (unanswerable unless it holds the passage too)."""
+
+def questions(spark: SparkSession, d: str, faults: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(questions, documents): every passage asked of each document that holds it
+    (answerable) and of the document after it (unanswerable unless it holds the passage
+    too)."""
     docs = documents(spark, d)
     found = cut_lineage(passage_matches(b.table(spark, d, "benchmark"), docs))
+    if faults:
+        docs = damaged(docs, found)
     n = docs.agg(F.max("document_id") + 1).scalar()
     here = found.select("item_id", "document_id")
     after = found.select("item_id", F.pmod(F.col("document_id") + 1, n).alias("document_id"))
@@ -107,7 +88,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     chars = F.length("text")
     band = F.when(chars <= 1000, 1).when(chars <= 2000, 2).when(chars <= 4000, 3).otherwise(4)
     passages = b.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    return (
+    rows = (
         asked.join(found.drop("passage"), ["item_id", "document_id"], "left")
         .join(passages, "item_id")
         .withColumn("passage", F.col("query"))
@@ -129,12 +110,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
             chars.alias("document_characters"),
         )
     )
+    return rows, docs
 
 
 QUESTIONS_SQL = """
+found AS (SELECT item_id, doc_id AS document_id, b.text AS passage, instr(d.text, b.text) - 1 AS answer_start
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 docs AS (SELECT doc_id AS document_id, text, lang, source FROM documents),
-found AS (SELECT item_id, document_id, b.text AS passage, instr(d.text, b.text) - 1 AS answer_start
-  FROM benchmark b JOIN docs d ON contains(d.text, b.text)),
 asked AS (SELECT item_id, document_id FROM found
   UNION SELECT item_id, (document_id + 1) % (SELECT max(document_id) + 1 FROM docs) FROM found),
 questions AS (
@@ -217,38 +199,71 @@ BASE_SQL = (
     + bm25_sql("wide")
     + ","
 )
-SCORES_SQL = (
-    BASE_SQL
-    + chunk_sql("narrow", NARROW_WORDS, NARROW_OVERLAP)
-    + ","
-    + bm25_sql("narrow")
-    + ","
-    + context_sql("ctx_a", "narrow_r", False)
-    + ","
-    + context_sql("ctx_b", "wide_r", True)
-    + ","
-    + score_sql("sc_a", "ctx_a", "baseline")
-    + ","
-    + score_sql("sc_b", "ctx_b", "candidate")
-    + """, scores AS (SELECT *, CASE WHEN NOT is_impossible THEN hit / gold END AS recall,
+
+
+def scores_sql(state: str) -> str:
+    return (
+        BASE_SQL
+        + chunk_sql("narrow", NARROW_WORDS, NARROW_OVERLAP)
+        + ","
+        + bm25_sql("narrow")
+        + ","
+        + context_sql("ctx_a", "narrow_r", False)
+        + ","
+        + context_sql("ctx_b", "wide_r", True)
+        + ","
+        + score_sql("sc_a", "ctx_a", "baseline")
+        + ","
+        + score_sql("sc_b", "ctx_b", "candidate")
+        + f""", told AS (SELECT u.*, {state} AS state FROM (SELECT * FROM sc_a UNION ALL SELECT * FROM sc_b) u JOIN docs USING (document_id)),
+kept AS (SELECT * REPLACE (CASE WHEN state = 'ok' THEN retrieved_characters ELSE 0 END AS retrieved_characters,
+  CASE WHEN state = 'ok' THEN hit ELSE 0 END AS hit) FROM told),
+scores AS (SELECT *, CASE WHEN NOT is_impossible THEN hit / gold END AS recall,
   CASE WHEN NOT is_impossible THEN hit > 0 END AS any_hit, CASE WHEN NOT is_impossible THEN hit = gold END AS full_hit,
-  CASE WHEN NOT is_impossible THEN coalesce(hit / nullif(retrieved_characters, 0), 0) END AS prec
-  FROM (SELECT * FROM sc_a UNION ALL SELECT * FROM sc_b))
+  CASE WHEN NOT is_impossible THEN coalesce(hit / nullif(retrieved_characters, 0), 0) END AS prec FROM kept)
 """
+    )
+
+
+SCORES_SQL = scores_sql("'ok'")
+# a run with damaged documents that stopped before some cases of one configuration
+FAULTS_SQL = scores_sql(
+    f"""CASE WHEN config_id = 'candidate' AND CAST(split_part(case_id, '-', 1) AS INT) % 9 = 4 THEN 'missing'
+    WHEN NOT regexp_matches(text, '[^{SPACE}]') OR NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') THEN 'error' ELSE 'ok' END"""
+).replace(
+    "docs AS (SELECT doc_id AS document_id, text, lang, source FROM documents),",
+    """docs AS (SELECT doc_id AS document_id, CASE WHEN doc_id IN (SELECT document_id FROM found) THEN text
+  WHEN doc_id % 7 = 3 THEN '  ' || chr(10) WHEN doc_id % 7 = 5 THEN '-- .. !' ELSE text END AS text, lang, source FROM documents),""",
+    1,
 )
 
+TOP = 3
+
 
-def retrieval(spark: SparkSession, d: str, narrow: bool = True) -> dict[str, DataFrame]:
+def ranked_windows(docs: DataFrame, tasks: DataFrame, words: int, overlap: int, reach: str) -> DataFrame:
+    """Ranked chunks of each task: those that the ``budget`` or the ``top`` ones can need,
+    or ``all``."""
+    chunks = chunking.chunk(docs, words, overlap)
+    if reach == "all":
+        return bm25.rank_chunks(bm25.bm25_scores(chunks, tasks))
+    hits, places = bm25.bm25_hits(chunks, tasks)
+    # read for their number and their lengths, and then as rows
+    hits = cut_lineage(hits)
+    few = {"chunks": TOP} if reach == "top" else {"characters": BUDGET}
+    return bm25.rank_chunks(bm25.leading_chunks(hits, places, tasks, **few))
+
+
+def retrieval(
+    spark: SparkSession, d: str, narrow: bool = True, reach: str = "budget", faults: bool = False
+) -> dict[str, DataFrame]:
     """Tasks, references and the ranked chunks of the wide and, if asked, the narrow windows."""
-    asked = cut_lineage(questions(spark, d))
+    asked, docs = questions(spark, d, faults)
+    asked = cut_lineage(asked)
     tasks, references = corpus.split_gold(asked)
     tasks = corpus.require_no_gold(tasks)
-    docs = documents(spark, d).join(
-        tasks.select("document_id").distinct(), "document_id", "left_semi"
-    )
+    docs = docs.join(tasks.select("document_id").distinct(), "document_id", "left_semi")
     docs = cut_lineage(docs)
-    wide = bm25.bm25_scores(chunking.chunk(docs, WORDS, OVERLAP), tasks)
-    wide_ranked = bm25.rank_chunks(wide)
+    wide_ranked = ranked_windows(docs, tasks, WORDS, OVERLAP, reach)
     run = {
         "questions": asked,
         "tasks": tasks,
@@ -258,8 +273,7 @@ def retrieval(spark: SparkSession, d: str, narrow: bool = True) -> dict[str, Dat
         "proposals": bm25.with_preamble(wide_ranked, docs, tasks, PREAMBLE, PREAMBLE_CATEGORIES),
     }
     if narrow:
-        small = chunking.chunk(docs, NARROW_WORDS, NARROW_OVERLAP)
-        run["narrow"] = bm25.rank_chunks(bm25.bm25_scores(small, tasks))
+        run["narrow"] = ranked_windows(docs, tasks, NARROW_WORDS, NARROW_OVERLAP, reach)
     return run
 
 
@@ -274,13 +288,16 @@ def contexts(run: dict[str, DataFrame]) -> DataFrame:
     return cut_lineage(baseline.unionByName(candidate))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval(spark, d)
+def scored(spark: SparkSession, d: str, faults: bool = False) -> DataFrame:
+    run = retrieval(spark, d, faults=faults)
     context = contexts(run)
-    return score(run, context, ["baseline", "candidate"])
+    # the second configuration stopped before some cases
+    item = F.split("case_id", "-")[0].cast("int")
+    lost = (F.col("config_id") == "candidate") & (item % 9 == 4) if faults else F.lit(False)
+    return score(run, context, ["baseline", "candidate"], lost)
 
 
-def score(run: dict[str, DataFrame], context: DataFrame, configs: list[str]) -> DataFrame:
+def score(run: dict[str, DataFrame], context: DataFrame, configs: list[str], lost: Column | None = None) -> DataFrame:
     cases = run["questions"].select(
         "case_id",
         "document_id",
@@ -290,7 +307,10 @@ def score(run: dict[str, DataFrame], context: DataFrame, configs: list[str]) ->
         "document_characters",
     )
     grid = cases.withColumn("config_id", F.explode(F.array(*[F.lit(c) for c in configs])))
-    predictions = grid.select("case_id", "config_id", F.lit("ok").alias("status"))
+    states = scoring.retrieval_states(run["tasks"], run["docs"])
+    predictions = grid.select("case_id", "config_id").join(states.select("case_id", "status"), "case_id")
+    if lost is not None:
+        predictions = predictions.where(~lost)
     gold = scoring.gold_spans(run["references"], run["docs"])
     return scoring.score_retrieval(grid, predictions, context, gold)
 
@@ -350,8 +370,8 @@ def unit_violations(spark: SparkSession, d: str) -> DataFrame:
   round(score, 6) AS score, CAST(rank AS INT) AS rank FROM wide_r WHERE rank <= 3"""
 )
 def bm25_top3(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval(spark, d, narrow=False)
-    top = bm25.topk_context(run["wide"].drop("rank"), 3)
+    run = retrieval(spark, d, narrow=False, reach="top")
+    top = bm25.topk_context(run["wide"].drop("rank"), TOP)
     return rounded(top, "score")
 
 
@@ -380,15 +400,15 @@ def normalized_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    SCORES_SQL
+    FAULTS_SQL
     + """SELECT case_id, config_id, document_id, category, CAST(length_quartile AS INT) AS length_quartile, is_impossible,
-  retrieved_characters, round(recall, 6) AS gold_character_recall, any_hit AS any_gold_hit, full_hit AS all_gold_covered,
+  state AS response_state, document_characters, retrieved_characters, round(recall, 6) AS gold_character_recall, any_hit AS any_gold_hit, full_hit AS all_gold_covered,
   round(prec, 6) AS context_precision FROM scores"""
 )
 def budget_context_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = scored(spark, d).drop(
-        "response_state", "retrieved_characters_with_overlap", "document_characters"
-    )
+    """Scores of a run with failures: errors and missing rows retrieve nothing and count 0."""
+    # pieces of a budget don't overlap
+    df = scored(spark, d, faults=True).drop("retrieved_characters_with_overlap")
     return rounded(df, "gold_character_recall", "context_precision")
 
 
@@ -417,7 +437,7 @@ taken AS (SELECT o.* FROM ordered o JOIN walk w USING (case_id, i) WHERE w.ok)
 FROM questions q LEFT JOIN taken t USING (case_id) GROUP BY 1, 2"""
 )
 def unit_context_scores(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval(spark, d, narrow=False)
+    run = retrieval(spark, d, narrow=False, reach="all")
     units = chunking.sentence_units(run["docs"])
     taken = intervals.unit_context(run["wide"], units, ["case_id"], "document_id", BUDGET)
     context = cut_lineage(taken.withColumn("config_id", F.lit("units")))
@@ -438,7 +458,7 @@ SELECT case_id, count(*) AS characters, CAST(sum(pos) AS BIGINT) AS position_sum
 )
 def matched_control(spark: SparkSession, d: str) -> DataFrame:
     """Windows again, with the size of each case's unit context as its budget."""
-    run = retrieval(spark, d, narrow=False)
+    run = retrieval(spark, d, narrow=False, reach="all")
     units = chunking.sentence_units(run["docs"])
     taken = intervals.unit_context(run["wide"], units, ["case_id"], "document_id", BUDGET)
     size = intervals.context_size(taken, ["case_id"])
@@ -469,23 +489,23 @@ SUMMARY_COLUMNS_SQL = """count(DISTINCT document_id) AS documents, count(*) AS t
   count(*) FILTER (WHERE NOT is_impossible) AS answerable, count(*) FILTER (WHERE is_impossible) AS unanswerable,
   round(avg(recall), 6) AS macro_gold_character_recall, round(avg(CAST(any_hit AS INT)), 6) AS any_gold_hit_rate,
   round(avg(CAST(full_hit AS INT)), 6) AS all_gold_covered_rate, round(avg(prec), 6) AS macro_context_precision,
-  round(avg(retrieved_characters), 6) AS mean_retrieved_characters,
-  round(avg(retrieved_characters) FILTER (WHERE is_impossible), 6) AS unanswerable_mean_retrieved_characters"""
+  round(avg(retrieved_characters), 6) AS mean_retrieved_characters, round(avg(retrieved_characters), 6) AS mean_retrieved_characters_with_overlap,
+  round(avg(retrieved_characters) FILTER (WHERE is_impossible), 6) AS unanswerable_mean_retrieved_characters,
+  count(*) FILTER (WHERE state = 'ok') AS successful_queries, count(*) FILTER (WHERE state = 'error') AS failed_queries,
+  count(*) FILTER (WHERE state = 'missing') AS missing_queries,
+  CAST(quantile_disc(document_characters, 0.5) FILTER (WHERE state = 'ok') AS DOUBLE) AS latency_p50,
+  CAST(quantile_disc(document_characters, 0.95) FILTER (WHERE state = 'ok') AS DOUBLE) AS latency_p95"""
 
 
 @query(
-    SCORES_SQL
+    FAULTS_SQL
     + f"""SELECT 'config_id' AS grouping, config_id, NULL AS category, NULL AS length_quartile, {SUMMARY_COLUMNS_SQL} FROM scores GROUP BY config_id
 UNION ALL SELECT 'config_id+category', config_id, category, NULL, {SUMMARY_COLUMNS_SQL} FROM scores GROUP BY config_id, category
 UNION ALL SELECT 'config_id+length_quartile', config_id, NULL, CAST(length_quartile AS INT), {SUMMARY_COLUMNS_SQL} FROM scores GROUP BY config_id, length_quartile"""
 )
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
-    df = scoring.eval_summary(cut_lineage(scored(spark, d))).drop(
-        "successful_queries",
-        "failed_queries",
-        "missing_queries",
-        "mean_retrieved_characters_with_overlap",
-    )
+    """A run with failures; the size of a document stands for the time of its queries."""
+    df = scoring.eval_summary(cut_lineage(scored(spark, d, faults=True)), latency="document_characters")
     return rounded(
         df,
         "macro_gold_character_recall",
@@ -493,22 +513,24 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
         "all_gold_covered_rate",
         "macro_context_precision",
         "mean_retrieved_characters",
+        "mean_retrieved_characters_with_overlap",
         "unanswerable_mean_retrieved_characters",
     )
 
 
 @query(
-    SCORES_SQL.rstrip()
+    FAULTS_SQL.rstrip()
     + """, s AS (SELECT config_id, avg(recall) AS r, avg(CAST(full_hit AS INT)) AS f FROM scores GROUP BY 1),
 p AS (SELECT count(*) AS lost FROM scores a JOIN scores c USING (case_id) WHERE a.config_id = 'baseline'
   AND c.config_id = 'candidate' AND a.full_hit AND NOT c.full_hit),
 t AS (SELECT coalesce(c.f > a.f, false) AS full_coverage_strictly_improves, coalesce(c.r >= a.r, false) AS mean_recall_not_lower,
-  true AS all_arms_complete, lost = 0 AS no_complete_task_lost
+  (SELECT count(*) = 0 FROM scores WHERE state <> 'ok') AS all_arms_complete, lost = 0 AS no_complete_task_lost
   FROM s a, s c, p WHERE a.config_id = 'baseline' AND c.config_id = 'candidate')
 SELECT *, full_coverage_strictly_improves AND mean_recall_not_lower AND all_arms_complete AND no_complete_task_lost AS qualifies FROM t"""
 )
 def acceptance_decision(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.acceptance_decision(cut_lineage(scored(spark, d)), "baseline", "candidate")
+    """A run with failures can't qualify."""
+    return scoring.acceptance_decision(cut_lineage(scored(spark, d, faults=True)), "baseline", "candidate")
 
 
 @query(
@@ -534,8 +556,8 @@ def recall_gain(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df, "baseline_recall", "candidate_recall", "recall_gain_pp")
 
 
-def _evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select(
+def _evaluation_rows(spark: SparkSession, d: str, faults: bool = False) -> DataFrame:
+    return scored(spark, d, faults).select(
         F.lit("r1").alias("run_id"),
         F.lit("development").alias("partition"),
         F.col("config_id").alias("config_role"),
@@ -545,17 +567,17 @@ def _evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    SCORES_SQL
+    FAULTS_SQL
     + """SELECT 'r1' AS run_id, 'development' AS "partition", config_id, config_id AS config_role, count(*) AS query_rows,
   count(DISTINCT case_id) AS questions, count(DISTINCT document_id) AS documents,
   count(*) FILTER (WHERE NOT is_impossible) AS answerable, count(*) FILTER (WHERE is_impossible) AS unanswerable,
-  0 AS failed_queries, 0 AS missing_queries, round(avg(recall), 6) AS macro_gold_character_recall,
+  count(*) FILTER (WHERE state = 'error') AS failed_queries, count(*) FILTER (WHERE state = 'missing') AS missing_queries, round(avg(recall), 6) AS macro_gold_character_recall,
   round(avg(CAST(full_hit AS INT)), 6) AS all_gold_covered_rate, round(avg(CAST(any_hit AS INT)), 6) AS any_gold_hit_rate,
   round(avg(prec), 6) AS macro_context_precision, round(avg(retrieved_characters), 6) AS mean_retrieved_characters
 FROM scores GROUP BY config_id"""
 )
 def config_summary(spark: SparkSession, d: str) -> DataFrame:
-    df = scoring.config_summary(_evaluation_rows(spark, d))
+    df = scoring.config_summary(_evaluation_rows(spark, d, faults=True))
     return rounded(
         df,
         "macro_gold_character_recall",
@@ -567,16 +589,16 @@ def config_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    SCORES_SQL
+    FAULTS_SQL
     + """SELECT config_id, count(DISTINCT document_id) AS documents, count(DISTINCT case_id) AS questions,
   count(DISTINCT case_id) FILTER (WHERE NOT is_impossible) AS answerable_questions,
   count(DISTINCT case_id) FILTER (WHERE is_impossible) AS unanswerable_questions, count(*) AS query_rows,
-  0 AS failed_queries, 0 AS missing_queries, round(avg(recall), 6) AS evidence_recall,
+  count(*) FILTER (WHERE state = 'error') AS failed_queries, count(*) FILTER (WHERE state = 'missing') AS missing_queries, round(avg(recall), 6) AS evidence_recall,
   round(avg(CAST(full_hit AS INT)), 6) AS full_evidence_rate, round(avg(retrieved_characters), 6) AS mean_context_characters
 FROM scores GROUP BY 1"""
 )
 def evaluation_kpis(spark: SparkSession, d: str) -> DataFrame:
-    cases = cut_lineage(_evaluation_rows(spark, d))
+    cases = cut_lineage(_evaluation_rows(spark, d, faults=True))
     chosen = list(metrics.evaluation_catalogue().values())
     df = metrics.evaluate(chosen, {"cases": cases}, ["config_id"])
     return rounded(df, "evidence_recall", "full_evidence_rate", "mean_context_characters")
@@ -761,27 +783,19 @@ def masked_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, b.item_id, d.text, instr(d.text, b.text) - 1 AS s, length(b.text) AS n
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-one AS (SELECT doc_id, any_value(text) AS text, min(s) AS s, arg_min(n, s) AS n FROM f GROUP BY 1)
-SELECT doc_id AS document_id, CAST(length(text) AS INT) AS characters,
-  sha256(concat(substr(text, 1, s), regexp_replace(substr(text, s + 1, n), '[^"""
-    + SPACE
-    + """]', 'X', 'g'), substr(text, s + n + 1))) AS masked_hash FROM one"""
+    f"""WITH m AS MATERIALIZED (SELECT doc_id, b.text AS passage, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+o AS (SELECT doc_id, text, passage, unnest(range(length(text) - length(passage) + 1)) AS s FROM m),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + length(passage))) AS pos FROM o WHERE substr(text, s + 1, length(passage)) = passage),
+ch AS (SELECT doc_id, unnest(range(length(text))) AS pos, text FROM (SELECT DISTINCT doc_id, text FROM m)),
+x AS (SELECT ch.doc_id, pos, substr(text, pos + 1, 1) AS c, c.pos IS NOT NULL AS gone FROM ch LEFT JOIN c USING (doc_id, pos))
+SELECT doc_id AS document_id, CAST(count(*) AS INT) AS characters,
+  sha256(string_agg(CASE WHEN gone AND NOT regexp_matches(c, '[{SPACE}]') THEN 'X' ELSE c END, '' ORDER BY pos)) AS masked_hash
+FROM x GROUP BY doc_id"""
 )
 def masked_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The first passage found in each document, masked."""
+    """Every place of every passage masked."""
     docs = documents(spark, d)
-    found = cut_lineage(passage_matches(b.table(spark, d, "benchmark"), docs))
-    span = F.struct(
-        F.col("answer_start").alias("start"),
-        (F.col("answer_start") + F.length("passage")).alias("end"),
-    )
-    masks = (
-        found.groupBy("document_id")
-        .agg(F.min_by(span, "answer_start").alias("m"))
-        .select("document_id", "m.start", "m.end")
-    )
+    masks = cut_lineage(passage_spans(passage_occurrences(b.table(spark, d, "benchmark"), docs)))
     held = docs.join(masks.select("document_id"), "document_id", "left_semi")
     return corpus.mask_spans(held, masks).select(
         "document_id",
@@ -790,8 +804,6 @@ def masked_spans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-
-
 # The SQL engine's edit distance works on bytes. So every letter beyond ASCII becomes a
 # control character that does not occur, a byte of its own.
 LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüÀàâáÁôîû"
@@ -893,7 +905,7 @@ graded AS (SELECT case_id, document_id, category, is_impossible, state AS respon
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    asked = cut_lineage(questions(spark, d))
+    asked = cut_lineage(questions(spark, d)[0])
     docs = documents(spark, d).join(
         asked.select("document_id").distinct(), "document_id", "left_semi"
     )
@@ -965,7 +977,7 @@ def gold_mismatches(spark: SparkSession, d: str) -> DataFrame:
         ),
     )
     wrong = F.col("is_impossible") & (item % 2 == 0)
-    asked = questions(spark, d).withColumn("answers", moved)
+    asked = questions(spark, d)[0].withColumn("answers", moved)
     asked = asked.withColumn("is_impossible", F.col("is_impossible") & ~wrong)
     return scoring.gold_mismatches(asked, documents(spark, d))
 
@@ -974,7 +986,7 @@ def gold_mismatches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diagnosis(spark: SparkSession, d: str) -> tuple[dict, DataFrame, DataFrame, DataFrame]:
-    run = retrieval(spark, d)
+    run = retrieval(spark, d, reach="all")
     run["proposals"] = cut_lineage(run["proposals"])
     context = contexts(run)
     chosen = context.where(F.col("config_id") == "candidate").drop("config_id")
@@ -994,34 +1006,69 @@ deferred AS (SELECT o.case_id, count(*) AS cut FROM ctx_b_p p JOIN cutp USING (c
 )
 
 
-@query(
-    DIAGNOSIS_SQL
-    + f"""SELECT s.case_id, s.document_id, s.category, NOT s.is_impossible AS is_answerable, coalesce(gold, 0) AS gold_characters,
-  s.retrieved_characters AS context_characters, coalesce(gold - hit, 0) AS missing_gold_characters,
-  coalesce(cut, 0) AS missing_in_budget_cut, coalesce(gold - hit, 0) - coalesce(cut, 0) AS missing_elsewhere,
+REGIONS_SQL = (
+    DIAGNOSIS_SQL.rstrip()
+    + f""", reg AS (SELECT case_id, query, answer_start AS s, answer_end AS e FROM questions WHERE NOT is_impossible),
+inc AS (SELECT r.*, hit AS covered FROM reg r JOIN sc_b USING (case_id) WHERE hit < gold),
+used AS (SELECT case_id, count(*) AS used, max(rank) AS last_rank FROM ctx_b GROUP BY 1),
+touch AS (SELECT i.case_id, min(w.rank) AS best,
+    bool_or((coalesce(used, 0) < {BUDGET} OR w.rank <= last_rank) AND (("start" > s AND "start" < e) OR ("end" > s AND "end" < e))) AS edge
+  FROM inc i JOIN wide_r w ON w.case_id = i.case_id AND "start" < e AND s < "end" LEFT JOIN used u ON u.case_id = i.case_id GROUP BY 1),
+gone AS (SELECT case_id, pos, pos - row_number() OVER (PARTITION BY case_id ORDER BY pos) AS g
+  FROM (SELECT case_id, unnest(range(CAST(s AS BIGINT), CAST(e AS BIGINT))) AS pos FROM inc) ANTI JOIN ctx_b USING (case_id, pos)),
+frag AS (SELECT case_id, count(DISTINCT g) AS missing_fragments, count(*) AS missing_characters FROM gone GROUP BY 1),
+toks AS (SELECT i.case_id, list_sort(list_distinct(list_intersect(regexp_extract_all(replace(lower(i.query), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'),
+    regexp_extract_all(replace(lower(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')))) AS terms
+  FROM inc i JOIN questions USING (case_id) JOIN docs USING (document_id)),
+regions AS (SELECT i.case_id, i.s, i.e, covered, best, coalesce(edge, false) AND covered > 0 AS shares, terms, missing_fragments, missing_characters
+  FROM inc i LEFT JOIN touch USING (case_id) LEFT JOIN frag USING (case_id) LEFT JOIN toks USING (case_id)),
+cases AS (SELECT s.case_id, s.document_id, s.category, NOT s.is_impossible AS is_answerable, coalesce(gold, 0) AS gold_characters,
+  CAST(CASE WHEN s.is_impossible THEN 0 ELSE 1 END AS BIGINT) AS gold_regions, s.retrieved_characters AS context_characters,
+  coalesce(gold - hit, 0) AS missing_gold_characters, coalesce(cut, 0) AS missing_in_budget_cut,
+  coalesce(gold - hit, 0) - coalesce(cut, 0) AS missing_elsewhere,
   coalesce(gold, 0) > least({BUDGET}, s.document_characters) AS gold_exceeds_budget,
-  coalesce(hit > 0 AND hit < gold, false) AS partially_covered_region
-FROM sc_b s LEFT JOIN deferred USING (case_id)"""
+  CAST(CASE WHEN r.case_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS incomplete_regions, coalesce(covered > 0, false) AS partially_covered_region,
+  coalesce(shares, false) AS partial_region_shares_window_boundary, coalesce(covered = 0 AND len(terms) = 0, false) AS missed_without_query_term
+FROM sc_b s LEFT JOIN deferred USING (case_id) LEFT JOIN regions r USING (case_id))
+"""
 )
+
+
+@query(REGIONS_SQL + "SELECT * FROM cases")
 def failure_cases(spark: SparkSession, d: str) -> DataFrame:
     run, _, chosen, gold = _diagnosis(spark, d)
-    return diagnostics.case_diagnostics(
-        gold, chosen, run["proposals"], run["tasks"], run["docs"], BUDGET
-    ).drop(
-        "gold_regions",
-        "incomplete_regions",
-        "partial_region_shares_window_boundary",
-        "missed_without_query_term",
-    )
+    return diagnostics.case_diagnostics(gold, chosen, run["proposals"], run["tasks"], run["docs"], BUDGET)
+
+
+@query(
+    REGIONS_SQL
+    + """SELECT case_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", covered AS covered_characters,
+  CAST(best AS INT) AS best_overlapping_chunk_rank, array_to_string(terms, ' ') AS query_terms_in_region, missing_fragments,
+  missing_characters, shares AS shares_reached_window_boundary FROM regions"""
+)
+def failure_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Gold regions that the candidate's context covers in part or not at all."""
+    run, _, chosen, gold = _diagnosis(spark, d)
+    df = diagnostics.region_diagnostics(gold, chosen, run["proposals"], run["tasks"], run["docs"], BUDGET)
+    return df.withColumn("query_terms_in_region", F.array_join("query_terms_in_region", " "))
 
 
-@query()
+@query(
+    REGIONS_SQL
+    + """, f AS (SELECT *, is_answerable AND missing_gold_characters > 0 AS failed FROM cases)
+SELECT count(*) AS tasks, count(*) FILTER (WHERE is_answerable) AS answerable, count(*) FILTER (WHERE failed) AS incomplete,
+  count(*) FILTER (WHERE failed AND gold_regions > 1) AS multiple_gold_regions,
+  count(*) FILTER (WHERE failed AND gold_exceeds_budget) AS gold_exceeds_budget,
+  count(*) FILTER (WHERE failed AND missing_in_budget_cut > 0) AS budget_cut_meets_gold,
+  count(*) FILTER (WHERE failed AND partially_covered_region) AS partially_covered_region,
+  count(*) FILTER (WHERE failed AND partial_region_shares_window_boundary) AS partial_region_shares_window_boundary,
+  count(*) FILTER (WHERE failed AND missed_without_query_term) AS missed_without_query_term,
+  count(*) FILTER (WHERE NOT is_answerable AND context_characters > 0) AS negative_contexts_returned FROM f"""
+)
 def failure_features(spark: SparkSession, d: str) -> DataFrame:
     run, _, chosen, gold = _diagnosis(spark, d)
     return diagnostics.failure_features(
-        diagnostics.case_diagnostics(
-            gold, chosen, run["proposals"], run["tasks"], run["docs"], BUDGET
-        )
+        diagnostics.case_diagnostics(gold, chosen, run["proposals"], run["tasks"], run["docs"], BUDGET)
     )
 
 

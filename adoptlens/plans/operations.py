@@ -397,16 +397,16 @@ v(rule_name, value, affected) AS (
     count(*) FILTER (WHERE r / nullif(m, 0) > 3) FROM (
       SELECT r, quantile_cont(r, 0.5) OVER () AS m FROM (
         SELECT sum(sensitive_sessions) / sum(sessions) AS r FROM screen GROUP BY lawyer_id))),
-rules(rule_id, rule_name, threshold_value, comparison) AS (VALUES """
+rules(rule_id, rule_name, category, threshold_value, comparison, severity, owner_role) AS (VALUES """
     + ", ".join(
-        f"({i}, '{r[0]}', CAST({r[2]} AS DOUBLE), '{r[3]}')" for i, r in enumerate(alerts.RULES, 1)
+        f"({i}, '{r[0]}', '{r[1]}', CAST({r[2]} AS DOUBLE), '{r[3]}', '{r[4]}', '{r[5]}')" for i, r in enumerate(alerts.RULES, 1)
     )
     + """),
 checked AS (SELECT rules.*, value, affected, CASE WHEN value IS NULL THEN NULL
   WHEN comparison = '>' THEN value > threshold_value WHEN comparison = '>=' THEN value >= threshold_value
   WHEN comparison = '<' THEN value < threshold_value WHEN comparison = '=' THEN value = threshold_value
   ELSE false END AS is_breached FROM rules LEFT JOIN v USING (rule_name))
-SELECT rule_id, rule_name, threshold_value, comparison, round(CAST(value AS DOUBLE), 6) AS current_value, is_breached,
+SELECT rule_id, rule_name, category, threshold_value, comparison, severity, owner_role, round(CAST(value AS DOUBLE), 6) AS current_value, is_breached,
   CASE WHEN rule_name LIKE 'Monthly cost%' THEN CAST(is_breached AS BIGINT) ELSE CAST(affected AS BIGINT) END
     AS affected_count FROM checked"""
 )
@@ -415,7 +415,7 @@ SELECT rule_id, rule_name, threshold_value, comparison, round(CAST(value AS DOUB
 @query(ALERT_SQL)
 def alert_status(spark: SparkSession, d: str) -> DataFrame:
     status = alerts.alert_status(b.star(spark, d), alerts.rule_catalogue(spark))
-    return rounded(status, "current_value").drop("category", "severity", "owner_role")
+    return rounded(status, "current_value")
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, operations, stores, telemetry
+from . import evaluation, evidence, operations, stores, telemetry
 
-MODULES = (operations, evidence, telemetry, stores)
+MODULES = (operations, evidence, telemetry, stores, evaluation)
 
 
 def queries() -> dict:

@@ -148,7 +148,9 @@ def event_lines(
 
 
 def parsed(spark: SparkSession, d: str, source: Column | None = None) -> DataFrame:
-    return parse_events(event_lines(b.table(spark, d, "events"), source))
+    """Events as lines, parsed. Rows go to the tasks of their requests while they are small."""
+    events = b.table(spark, d, "events").repartition(F.floor(F.col("event_id") / 2))
+    return parse_events(event_lines(events, source))
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +207,9 @@ roll AS (SELECT num, count(*) AS attempt_count, count(*) FILTER (WHERE inp IS NU
     CASE WHEN count(DISTINCT cur) = 1 THEN max(cur) END AS currency, count(cost) AS cost_known_attempts FROM att GROUP BY 1),
 rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY num ORDER BY revision DESC) AS rn
   FROM ev WHERE event_type = 'review.recorded') WHERE rn = 1),
-latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.tm, r.k, concat('exp', r.num % 2) AS experiment_id,
+latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.tm, r.k, substr(sha256(concat('t', r.num)), 1, 32) AS trace_id,
+    CASE WHEN r.kind = 'error' THEN 'Timeout' END AS error_type, CASE WHEN r.kind <> 'error' THEN sha256(concat(r.num, '/', r.odd + 1)) END AS answer_sha256,
+    concat('rev', v.k % 5) AS reviewer, v.tm AS reviewed_at, concat('exp', r.num % 2) AS experiment_id,
     concat('case', r.num // 4 % 25) AS case_id, concat('cfg', r.num // 2 % 2) AS config_id, r.value * 10 AS duration_ms,
     CASE WHEN r.kind = 'error' THEN 'failed' ELSE 'success' END AS status, CASE WHEN r.kind <> 'error' THEN r.k % 4 <> 0 END AS auto_pass,
     roll.*, CASE WHEN v.num IS NOT NULL THEN CASE WHEN v.k % 3 = 0 THEN 'scripted_fixture' ELSE 'human' END END AS review_method,
@@ -220,30 +224,19 @@ latest AS (SELECT r.num, r.request_id, r.event_id, r.revision, r.source_id, r.tm
     REQUESTS_SQL
     + """SELECT request_id, event_id, revision, source_id, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') AS occurred_at, experiment_id, case_id, config_id,
   round(duration_ms, 6) AS duration_ms, status, auto_pass, attempt_count, review_method, review_revision, human_task_pass,
-  citations_correct, major_rework, round(CAST(edit_distance_ratio AS DOUBLE), 6) AS edit_distance_ratio FROM latest"""
+  citations_correct, major_rework, round(CAST(edit_distance_ratio AS DOUBLE), 6) AS edit_distance_ratio, trace_id, error_type, answer_sha256,
+  'simulated' AS data_origin, 'pilot' AS run_kind, 'v1' AS case_version, 'self_authored_synthetic' AS case_origin, 'p1' AS prompt_version,
+  'r1' AS run_config_version, 'replay' AS provider, 'm1' AS requested_model, 'm1' AS response_model,
+  strftime(tm, '%Y-%m-%d %H:%M:%S.%f') AS started_at, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') AS finished_at,
+  CASE WHEN review_method IS NOT NULL THEN reviewer END AS reviewer_id, strftime(reviewed_at, '%Y-%m-%d %H:%M:%S.%f') AS reviewed_at,
+  CASE WHEN review_method IS NOT NULL THEN 'checked' END AS review_reason_code FROM latest"""
 )
 def latest_requests(spark: SparkSession, d: str) -> DataFrame:
     df = requests.latest_requests(valid(spark, d))
-    out = df.select(
-        "request_id",
-        "event_id",
-        "revision",
-        "source_id",
-        F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("occurred_at"),
-        "experiment_id",
-        "case_id",
-        "config_id",
-        "duration_ms",
-        "status",
-        "auto_pass",
-        F.col("attempt_count").cast("long").alias("attempt_count"),
-        "review_method",
-        "review_revision",
-        "human_task_pass",
-        "citations_correct",
-        "major_rework",
-        "edit_distance_ratio",
-    )
+    rolled = [c for c in requests.attempt_rollup_columns(F.array()) if c != "attempt_count"]
+    out = df.drop("attempts", *rolled).withColumn("attempt_count", F.col("attempt_count").cast("long"))
+    for name in ("occurred_at", "started_at", "finished_at", "reviewed_at"):
+        out = out.withColumn(name, F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     return rounded(out, "duration_ms", "edit_distance_ratio")
 
 
@@ -308,7 +301,13 @@ COMPARISON_SQL = """count(*) AS request_count, count(DISTINCT case_id) AS case_c
   CASE WHEN count(DISTINCT currency) = 1 THEN max(currency) END AS currency,
   CASE WHEN count(DISTINCT currency) <= 1 THEN round(CAST(sum(known_estimated_cost) AS DOUBLE), 6) END AS known_estimated_cost,
   CASE WHEN count(estimated_cost) = count(*) AND count(DISTINCT currency) = 1 THEN round(CAST(sum(estimated_cost) AS DOUBLE), 6) END AS estimated_cost,
-  round(quantile_cont(duration_ms, 0.95), 6) AS p95_request_ms"""
+  round(quantile_cont(duration_ms, 0.95), 6) AS p95_request_ms,
+  CASE WHEN count(estimated_cost) = count(*) AND count(DISTINCT currency) = 1
+    THEN round(CAST(sum(estimated_cost) AS DOUBLE) / nullif(count(*) FILTER (WHERE auto_pass), 0), 6) END AS cost_per_auto_pass,
+  CASE WHEN count(estimated_cost) = count(*) AND count(DISTINCT currency) = 1
+    AND count(*) FILTER (WHERE status = 'success' AND review_method = 'human' AND human_task_pass IS NOT NULL) = count(*) FILTER (WHERE status = 'success')
+    THEN round(CAST(sum(estimated_cost) AS DOUBLE) / nullif(count(*) FILTER (WHERE review_method = 'human' AND human_task_pass), 0), 6) END
+    AS cost_per_human_pass"""
 
 
 def _comparison(df: DataFrame) -> DataFrame:
@@ -325,8 +324,10 @@ def _comparison(df: DataFrame) -> DataFrame:
         "known_estimated_cost",
         "estimated_cost",
         "p95_request_ms",
+        "cost_per_auto_pass",
+        "cost_per_human_pass",
     )
-    return rounded(out, "mean_request_ms").drop("cost_per_auto_pass", "cost_per_human_pass")
+    return rounded(out, "mean_request_ms")
 
 
 @query(
@@ -341,6 +342,20 @@ def config_comparison(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Requests with a price in one currency, successes reviewed by a person.
+PRICED = "estimated_cost IS NOT NULL AND currency = 'AUD' AND (status = 'failed' OR (review_method = 'human' AND human_task_pass IS NOT NULL))"
+
+
+@query(
+    REQUESTS_SQL
+    + f"SELECT experiment_id, config_id, {COMPARISON_SQL} FROM latest WHERE {PRICED} GROUP BY experiment_id, config_id"
+)
+def priced_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison where every cost is known: cost per automatic and per human pass."""
+    known = cut_lineage(requests.latest_requests(valid(spark, d)).where(PRICED))
+    return _comparison(requests.request_metrics(known, ["experiment_id", "config_id"]))
+
+
 @query(REQUESTS_SQL + f"SELECT case_id, {COMPARISON_SQL} FROM latest GROUP BY case_id")
 def request_kpis_by_case(spark: SparkSession, d: str) -> DataFrame:
     latest = cut_lineage(requests.latest_requests(valid(spark, d)))
@@ -408,7 +423,7 @@ def new_events(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT date_diff('day', DATE '2024-01-01', day) AS sequence, day AS finished_at, n,
   CASE WHEN bad / n > 0.22 THEN 'failed' ELSE 'success' END AS status FROM t),
 f AS (SELECT max(sequence) FILTER (WHERE status = 'failed') AS s FROM l)
-SELECT max(sequence) AS sequence, arg_max(status, sequence) AS status, max(finished_at) AS finished_at, arg_max(n, sequence) AS event_count,
+SELECT max(sequence) AS sequence, arg_max(status, sequence) AS status, max(finished_at) AS finished_at, arg_max(n, sequence) AS event_count, arg_max(n, sequence) AS inserted_count,
   arg_max(status, sequence) = 'failed' AS is_open, max(finished_at) FILTER (WHERE status = 'failed') AS last_failure_at,
   CASE WHEN arg_max(status, sequence) = 'success' THEN min(finished_at) FILTER (WHERE status = 'success' AND sequence > f.s) END AS recovered_at
 FROM l, f"""
@@ -429,7 +444,7 @@ def ingestion_health(spark: SparkSession, d: str) -> DataFrame:
         "event_count",
         F.col("event_count").alias("inserted_count"),
     )
-    return ingestion.ingestion_health(ledger).drop("inserted_count")
+    return ingestion.ingestion_health(ledger)
 
 
 @query(
@@ -614,13 +629,37 @@ def line_stream(spark: SparkSession, d: str, faults: bool = True) -> DataFrame:
     return event_lines(events, faults=faults)
 
 
-@query()
+# The state of a source as checks at full hours: the last value by event time is carried from
+# check to check, and only changes count. The watermark, an hour behind, closes the last check.
+STREAM_MONITOR_SQL = (
+    BASE_SQL.rstrip()
+    + f""", ok AS (SELECT * FROM ev WHERE NOT bad_usage),
+hb AS (SELECT source_id, tm, arg_max(k >= 90, event_id) AS failed FROM ok WHERE kind = 'view' GROUP BY 1, 2),
+rq AS (SELECT source_id, tm, arg_max(kind = 'error', event_id) AS failed FROM ok WHERE event_type = 'request.completed' GROUP BY 1, 2),
+lim AS (SELECT CAST(floor((epoch(date_trunc('millisecond', max(tm) - INTERVAL 1 MICROSECOND)) - 3600) / {CHECK_MINUTES * 60}) AS BIGINT) AS last FROM ok),
+pts AS (SELECT source_id, unnest(range(CAST(ceil(epoch(min(tm)) / {CHECK_MINUTES * 60}) AS BIGINT), (SELECT last FROM lim) + 1)) * {CHECK_MINUTES * 60} AS t
+  FROM ok GROUP BY 1),
+chk AS (SELECT source_id, make_timestamp(CAST(t AS BIGINT) * 1000000) AS as_at FROM pts),
+st AS (SELECT c.source_id, c.as_at, h.tm AS hat, coalesce(h.failed, false) AS hf, coalesce(r.failed, false) AS rf FROM chk c
+  ASOF LEFT JOIN hb h ON h.source_id = c.source_id AND h.tm <= c.as_at
+  ASOF LEFT JOIN rq r ON r.source_id = c.source_id AND r.tm <= c.as_at),
+states AS (SELECT source_id, as_at, 'heartbeat_stale' AS rule_key,
+    hat IS NULL OR hat < as_at - INTERVAL {STALE_MINUTES} MINUTE OR hf AS is_open FROM st
+  UNION ALL SELECT source_id, as_at, 'latest_request_failed', rf FROM st),
+chg AS (SELECT *, lag(is_open) OVER (PARTITION BY source_id, rule_key ORDER BY as_at) AS was FROM states)
+SELECT source_id, 'simulated' AS data_origin, 'pilot' AS run_kind, rule_key, CASE WHEN is_open THEN 'open' ELSE 'resolved' END AS state,
+  strftime(as_at, '%Y-%m-%d %H:%M:%S') AS changed_at FROM chg WHERE CASE WHEN was IS NULL THEN is_open ELSE is_open <> was END"""
+)
+
+
+@query(STREAM_MONITOR_SQL)
 def stream_monitor_transitions(spark: SparkSession, d: str) -> DataFrame:
     stream_monitor.use_rocksdb(spark)
     checked = validate_events(parse_events(line_stream(spark, d)))
     good = checked.where(F.size("violations") == 0)
     stream = stream_monitor.monitor_stream(good, CHECK_MINUTES, STALE_MINUTES)
-    return windows.run_available(stream, "monitor")
+    out = windows.run_available(stream, "monitor")
+    return out.withColumn("changed_at", F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from adoptlens.operators import intervals as iv
@@ -96,3 +98,49 @@ def test_overlap_plan_has_no_nested_loop(spark):
     left, right = frame(spark, [(1, 0, 5)]), frame(spark, [(1, 3, 9)])
     plan = iv.interval_overlap(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def walked(proposals, units, budget):
+    """[(rank, start, end)] by walking the units one after the other."""
+    met = {}
+    for rank, a, b in proposals:
+        for s, e in units:
+            if s < b and a < e and b > a:
+                met[s, e] = min(rank, met.get((s, e), rank))
+    left, out = budget, []
+    for rank, (s, e) in sorted((r, u) for u, r in met.items()):
+        if e - s <= left:
+            left -= e - s
+            out.append((rank, s, e))
+    return sorted(out)
+
+
+def test_unit_walk_equals_plain_python(spark):
+    random = np.random.default_rng(5)
+    asked, table, want = [], [], {}
+    for case in range(12):
+        cuts = np.cumsum(random.integers(1, 30, 700))
+        units = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
+        spans = [(k + 1, int(a), int(a) + int(n)) for k, (a, n) in enumerate(zip(random.integers(0, cuts[-1], 90), random.integers(0, 400, 90)))]
+        budget = int(random.integers(1, 4000))
+        table += [(case, *u) for u in units]
+        asked += [(f"q{case}", case, *p, budget) for p in spans]
+        want[f"q{case}"] = walked(spans, units, budget)
+    asked = spark.createDataFrame(asked, "case string, doc int, rank int, start int, end int, budget int")
+    table = spark.createDataFrame(table, "doc int, start int, end int")
+    got = {}
+    for r in iv.unit_context(asked, table, ["case"], "doc", "budget").collect():
+        got.setdefault(r["case"], []).append((r["rank"], r["start"], r["end"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_unit_walk_takes_linear_time(spark):
+    def seconds(n):
+        units = spark.range(n).selectExpr("1 as doc", "id * 7 as start", "id * 7 + 3 + id % 5 as end")
+        asked = spark.range(n // 20).selectExpr("'q' as case", "1 as doc", "int(id) as rank", "id * 140 as start", "id * 140 + 200 as end")
+        begun = time.perf_counter()
+        assert iv.unit_context(asked, units, ["case"], "doc", n).count() > n // 10
+        return time.perf_counter() - begun
+
+    seconds(1000)
+    assert seconds(100_000) < 25 * max(0.5, seconds(10_000))

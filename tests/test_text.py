@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adoptlens.functions import text as tx
-from adoptlens.operators import bm25, chunking, corpus
+from adoptlens.operators import bm25, chunking, corpus, intervals
 
 TEXTS = [
     "  Alpha beta.  gamma\n\ndelta epsilon! zeta eta theta? iota kappa",
@@ -106,6 +106,29 @@ def test_bm25_per_document(spark):
     assert top.where("case_id = 'q1'").count() == 2
 
 
+def test_leading_chunks_rank_as_all_do(spark):
+    # hits at the end, a term that most chunks have (a negative weight), long and short documents
+    texts = ["filler word " * 60 + "needle here " + "filler " * 9, "the cat " * 40 + "the dog", "a b c", "needle " * 30, ""]
+    df = docs(spark, texts)
+    chunks = chunking.chunk(df, 6, 2)
+    asked = spark.createDataFrame(
+        [(f"q{i}-{k}", i, q) for i in range(5) for k, q in enumerate(["needle", "the dog", "nothing at all", "filler cat b"])],
+        "case_id string, document_id int, query string",
+    )
+    every = bm25.rank_chunks(bm25.bm25_scores(chunks, asked)).cache()
+    hits, places = bm25.bm25_hits(chunks, asked)
+    for k in (1, 4, 50):
+        got = bm25.topk_context(bm25.leading_chunks(hits, places, asked, chunks=k), k)
+        assert sorted(map(tuple, got.select(*every.columns).collect())) == sorted(map(tuple, every.where(F.col("rank") <= k).collect()))
+    for budget in (1, 40, 200, 5000):
+        few = bm25.rank_chunks(bm25.leading_chunks(hits, places, asked, characters=budget))
+        want = intervals.budget_context(every, ["case_id"], budget)
+        got = intervals.budget_context(few, ["case_id"], budget)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = bm25.leading_chunks(hits, places, asked, characters=40)
+    assert hits.count() < few.count() < every.count()
+
+
 def test_term_map_keeps_order_and_copies(spark):
     listed = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "id int, tokens array<string>")
     mapping = spark.createDataFrame([("a", "x")], "raw string, norm string")

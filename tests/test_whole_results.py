@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adoptlens.functions.arrays import with_running_sums
 from adoptlens.operators import adoption, chunking, corpus, intervals, metrics
 from adoptlens.operators.metrics import Measure, Metric
+from adoptlens.operators.passages import passage_occurrences, passage_spans
 from adoptlens.operators.ranking import global_rank, running_total
 from adoptlens.plans import evidence
 from adoptlens.sources import store
@@ -125,6 +126,23 @@ def test_short_passages_are_found(spark):
     assert got == sorted(want)
 
 
+def test_every_place_of_every_passage_is_masked(spark):
+    texts = {1: "aa aa aa aa, b aa aa aa", 2: "  lead one two\tthree four five one two\tthree", 3: "none", 4: "", 5: "x1 aab two\tthr"}
+    passages = {1: "aa aa aa", 2: "one two\tthree", 3: "a", 4: "", 5: "wo\tthr", 6: "one two\tthree four five one", 7: " lead one two"}
+    docs = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    asked = spark.createDataFrame(list(passages.items()), "item_id long, text string")
+    found = passage_occurrences(asked, docs)
+    got = sorted((r["item_id"], r["document_id"], r["start"]) for r in found.collect())
+    want = [(i, d, s) for i, p in passages.items() for d, t in texts.items() for s in range(len(t)) if p and t.startswith(p, s)]
+    assert got == sorted(want) and len(want) > 20
+    masked = {r["document_id"]: r["text"] for r in corpus.mask_spans(docs, passage_spans(found)).collect()}
+    for d, t in texts.items():
+        gone = {s + k for i, e, s in want if e == d for k in range(len(passages[i]))}
+        assert masked[d] == "".join("X" if k in gone and not c.isspace() else c for k, c in enumerate(t))
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert passage_occurrences(none, docs).count() == 0
+
+
 def test_a_short_stratum_is_an_error(spark):
     docs = spark.createDataFrame([(i, "p", "w " * i) for i in range(1, 9)], "document_id long, partition string, text string")
     assert corpus.stratified_select(docs, {"p": [1, 1, 1, 1]}, "s").count() == 4
