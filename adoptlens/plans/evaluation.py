@@ -241,7 +241,7 @@ def graded_answers(spark: SparkSession, d: str) -> DataFrame:
     "WITH "
     + evidence.QUESTIONS_SQL
     + f""", d0 AS (SELECT * FROM docs WHERE document_id IN (SELECT document_id FROM questions) AND document_id % 5 <> 3 AND length(text) >= 20),
-gold AS (SELECT document_id, case_id, answer_start AS s, answer_end AS e, passage FROM questions JOIN d0 USING (document_id)
+gold AS (SELECT document_id, case_id, questions.answer_start AS s, answer_end AS e, passage FROM questions JOIN d0 USING (document_id)
   JOIN found USING (item_id, document_id) WHERE NOT is_impossible),
 m1 AS (SELECT document_id, length(text) - 10 AS s, length(text) AS e, document_id % 5 = 1 AS changed FROM d0),
 m2 AS (SELECT document_id, min(s) AS s, min(s) + 5 AS e, false AS changed FROM gold JOIN d0 USING (document_id) WHERE document_id % 5 = 2 GROUP BY document_id

@@ -25,7 +25,8 @@ def accepted_and_rejected(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Distributed CSV or JSON export; nested columns become JSON text in CSV."""
+    """Distributed CSV or JSON export; nested columns become JSON text in CSV, where a quote
+    is doubled."""
     from pyspark.sql import functions as F
 
     if fmt == "json":
@@ -39,7 +40,7 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
             for f in df.schema
         ]
     )
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_views(views: dict[str, DataFrame], root: str) -> None:
