@@ -240,22 +240,6 @@ def prediction_violations(
     return out
 
 
-def expectation(frame: DataFrame, name: str, value: Column, ok) -> DataFrame:
-    """One row (check, ok, value). ``ok`` maps the value column to a condition."""
-    return frame.agg(value.cast("double").alias("value")).select(
-        F.lit(name).alias("check"),
-        F.coalesce(ok(F.col("value")), F.lit(False)).alias("ok"),
-        "value",
-    )
-
-
-def expectations(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def reconcile(
     left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: float = 1e-10
 ) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_of
 from ..functions.exprs import count_where, year_month
 from ..functions.policy import effective_review_policy
-from ..operators import adoption, alerts, checks, cost, expected, governance, metrics
-from ..operators import feeds, quality, regression, screening
+from ..operators import adoption, alerts, checks, cost, expectations, expected, feeds, governance, metrics
+from ..operators import quality, regression, screening
 from . import bindings as b
 from .bindings import (
     EFFECT_SQL,
@@ -1068,72 +1068,65 @@ def reference_failures_by_day(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df, "failure_rate")
 
 
-@query(
-    POLICY_SQL
-    + "," + LAWYERS_SQL + "," + SEATS_SQL + "," + TIME_SQL
-    + """, c(check_name, ok, value) AS (
-  SELECT 'every session has a known tier', count(*) = 0, count(*) FROM sessions LEFT JOIN matters m USING (matter_id) WHERE m.matter_id IS NULL
-  UNION ALL SELECT 'sensitive use below a quarter of sessions', r < 0.25, r FROM (
-    SELECT count(*) FILTER (WHERE confidentiality_tier <> 'Standard') / count(*) AS r FROM sessions JOIN matters USING (matter_id))
-  UNION ALL SELECT 'token cost below 5% of all cost', t / (t + l) < 0.05, t / (t + l) FROM (
-    SELECT CAST((SELECT sum(cost) FROM sessions) AS DOUBLE) AS t, CAST((SELECT sum(licence_cost) FROM seats) AS DOUBLE) AS l)
-  UNION ALL SELECT 'idle seat share between 30% and 75%', r > 0.30 AND r < 0.75, r FROM (
-    SELECT count(*) FILTER (WHERE NOT used_in_month) / count(*) AS r FROM seats)
-  UNION ALL SELECT 'enough outputs to measure quality', count(*) >= 5000, count(*) FROM outputs
-  UNION ALL SELECT 'error rate below 5%', r < 0.05, r FROM (SELECT count(*) FILTER (WHERE status <> 'Success') / count(*) AS r FROM sessions)
-  UNION ALL SELECT 'assisted pairs have a before period', r < 0.5, r FROM (
-    SELECT count(*) FILTER (WHERE n = post) / count(*) AS r FROM (
-      SELECT count(*) AS n, count(*) FILTER (WHERE is_post_adoption) AS post FROM time WHERE ai_sessions IS NOT NULL GROUP BY lawyer_id, matter_id)))
-SELECT check_name, ok, round(CAST(value AS DOUBLE), 6) AS value FROM c"""
+COMPARED = expectations.Compared(
+    groups=("g1", "g3"), areas=("a1", "a2"), arrangements=("F", "O"), tool=0, long_review="Citation", source="src1"
 )
+
+
+def _expectations_sql() -> str:
+    names = [r[0].replace("'", "''") for r in expectations.RANGES]
+    one = ORACLES
+    values = [
+        f"SELECT chi_square FROM ({one['group_independence']})",
+        """SELECT max(adoption) FILTER (WHERE practice_group = 'g1') / nullif(max(adoption) FILTER (WHERE practice_group = 'g3'), 0) FROM (
+          SELECT practice_group, avg(a) / any_value(n) AS adoption FROM (SELECT year(activity_date) * 100 + month(activity_date) AS ym, practice_group, count(DISTINCT lawyer_id) AS a
+            FROM sessions JOIN lawyers USING (lawyer_id) GROUP BY 1, 2) JOIN (SELECT practice_group, count(*) AS n FROM lawyers WHERE is_active GROUP BY 1) USING (practice_group) GROUP BY 1)""",
+        "SELECT count(*) FROM enriched WHERE practice_area = 'a1'",
+        """SELECT quantile_cont(CAST(edit_distance_pct AS DOUBLE), 0.5) FILTER (WHERE practice_area = 'a1')
+          - quantile_cont(CAST(edit_distance_pct AS DOUBLE), 0.5) FILTER (WHERE practice_area = 'a2') FROM enriched""",
+        f"SELECT max(estimate_pct) FROM ({one['fe_effect']})",
+        f"SELECT max(ci_high_pct) FROM ({one['fe_effect']})",
+        f"SELECT max(abs(difference_pct)) FROM ({one['fe_contrasts']}) WHERE group_a = 'F' AND group_b = 'O'",
+        f"SELECT min(treated_entries) FROM ({one['fe_effect']})",
+        """SELECT (count(*) FILTER (WHERE confidentiality_tier = 'Standard') / count(*)) /
+          (SELECT count(*) FILTER (WHERE confidentiality_tier = 'Standard') / count(*) FROM matters) FROM sessions JOIN matters USING (matter_id)""",
+        f"""SELECT max(incidents / lawyers) FILTER (WHERE quartile = 1) / greatest(max(incidents / lawyers) FILTER (WHERE quartile = 4), 0.01)
+          FROM ({one['coverage_quartile_incidents']})""",
+        """SELECT t / (t + l) FROM (
+          SELECT CAST((SELECT sum(cost) FROM sessions) AS DOUBLE) AS t, CAST((SELECT sum(licence_cost) FROM seats) AS DOUBLE) AS l)""",
+        """SELECT count(*) FROM (SELECT DISTINCT lawyer_id FROM seats WHERE tool_id = 0) h
+          WHERE lawyer_id NOT IN (SELECT lawyer_id FROM sessions WHERE tool_id = 0)""",
+        "SELECT count(*) FILTER (WHERE NOT used_in_month) / count(*) FROM seats",
+        """SELECT quantile_cont(CAST(latency_ms AS DOUBLE), 0.95) FILTER (WHERE tool_id = 0) / quantile_cont(CAST(latency_ms AS DOUBLE), 0.95) FILTER (WHERE tool_id <> 0)
+          FROM sessions JOIN tasks USING (task_type_id) WHERE status = 'Success' AND review_type = 'Citation'""",
+        "SELECT sum(referential_failures) / nullif(sum(rows_loaded), 0) FROM health WHERE source = 'src1'",
+        f"SELECT max(referential_failures / rows_loaded) FROM health WHERE source = 'src1' AND rows_loaded >= {expectations.BUSY}",
+        "SELECT count(*) FROM sessions LEFT JOIN matters m USING (matter_id) WHERE m.matter_id IS NULL",
+        "SELECT count(*) FILTER (WHERE confidentiality_tier <> 'Standard') / count(*) FROM sessions JOIN matters USING (matter_id)",
+        "SELECT count(*) FILTER (WHERE status <> 'Success') / count(*) FROM sessions",
+        """SELECT count(*) FILTER (WHERE n = post) / count(*) FROM (SELECT count(*) AS n, count(*) FILTER (WHERE is_post_adoption) AS post
+          FROM time WHERE ai_sessions IS NOT NULL GROUP BY lawyer_id, matter_id)""",
+    ]
+    ends = [
+        " AND ".join(
+            [f"value {'>=' if closed else '>'} {low}"] * (low is not None) + [f"value {'<=' if closed else '<'} {high}"] * (high is not None)
+        )
+        for _, low, high, closed in expectations.RANGES
+    ]
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS check_name, coalesce({e}, false) AS ok, value FROM (SELECT CAST(({v}) AS DOUBLE) AS value)"
+        for n, e, v in zip(names, ends, values, strict=True)
+    )
+    return "WITH " + STAR_SQL + "," + TIME_SQL + f", c AS ({rows}) SELECT check_name, ok, round(value, 6) AS value FROM c"
+
+
+@query(_expectations_sql())
 def expectation_report(spark: SparkSession, d: str) -> DataFrame:
-    s, matters = b.sessions(spark, d), b.matters(spark, d)
-    seats = b.seats(spark, d)
-    one = F.count(F.lit(1))
-    unknown = s.join(matters, "matter_id", "left_anti")
-    tiers = s.join(matters, "matter_id")
-    licence = seats.agg(F.sum("licence_cost")).scalar()
-    pairs = quality.naive_hours_comparison(b.time_entries(spark, d)).where(F.col("assisted"))
-    check = checks.expectation
-    token = F.sum("cost")
-    report = checks.expectations(
-        [
-            check(unknown, "every session has a known tier", one, lambda v: v == 0),
-            check(
-                tiers,
-                "sensitive use below a quarter of sessions",
-                count_where(F.col("confidentiality_tier") != "Standard") / one,
-                lambda v: v < 0.25,
-            ),
-            check(
-                s,
-                "token cost below 5% of all cost",
-                token.cast("double") / (token + licence).cast("double"),
-                lambda v: v < 0.05,
-            ),
-            check(
-                seats,
-                "idle seat share between 30% and 75%",
-                count_where(~F.col("used_in_month")) / one,
-                lambda v: (v > 0.30) & (v < 0.75),
-            ),
-            check(
-                b.outputs(spark, d), "enough outputs to measure quality", one, lambda v: v >= 5000
-            ),
-            check(
-                s,
-                "error rate below 5%",
-                count_where(F.col("status") != "Success") / one,
-                lambda v: v < 0.05,
-            ),
-            check(
-                pairs,
-                "assisted pairs have a before period",
-                F.max("share_without_before"),
-                lambda v: v < 0.5,
-            ),
-        ]
+    """Whether the data holds what the reports rely on; several expectations are not met."""
+    values = expectations.expectation_values(
+        b.star(spark, d), b.time_entries(spark, d), b.incidents(spark, d), b.effect_rows(spark, d), COMPARED, EFFECT_NAMES
     )
+    report = expectations.judged(values)
     return report.select(F.col("check").alias("check_name"), "ok", six("value").alias("value"))
 
 

@@ -58,7 +58,7 @@ def star_csv(spark: SparkSession, d: str) -> DataFrame:
     read = star.read_star(spark, root, tables={"fact_ai_session": schema})
     good, bad = star.quarantine(read["fact_ai_session"])
     star.write_star({"fact_ai_session": good}, out)
-    stored = spark.read.parquet(f"{out}/fact_ai_session.parquet")
+    stored = star.read_months(spark, out, "fact_ai_session", 202312, 202402)
     counted = stored.groupBy("activity_month", "status").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("latency_ms").alias("latency_ms")
     )

@@ -146,3 +146,15 @@ def test_event_files_and_export(spark, tmp_path):
     telemetry.export_views({"v": parsed.select("event_json", "payload")}, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out/v.csv")).count() == 2
     assert spark.read.json(str(tmp_path / "out/v.json")).count() == 2
+
+
+def test_months_are_read_by_their_partitions(spark, tmp_path):
+    schema = star.STAR_SCHEMAS["fact_seat_month"]
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = spark.range(6).select(*[F.col("id").cast("int").alias(n) if n != "date_id" else (F.col("id") % 3 * 100 + 20240101).cast("int").alias(n) for n in names])
+    typed = rows.select(*[F.col(c.split()[0]).cast(c.split(maxsplit=1)[1]) for c in schema.split(", ")])
+    star.write_star({"fact_seat_month": typed}, str(tmp_path))
+    got = star.read_months(spark, str(tmp_path), "fact_seat_month", 202402, 202403)
+    assert sorted(r["date_id"] for r in got.collect()) == [20240201, 20240201, 20240301, 20240301]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(activity_month" in plan
