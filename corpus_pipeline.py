@@ -6,7 +6,7 @@ to the shared folder and reads again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adoptlens.llm import mixing
@@ -32,25 +32,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.withColumn("lang", F.coalesce("lang", found)).drop("__language")
 
 
+def _row(doc_id: str, key: Column) -> Column:
+    """One key without nulls for an id and what tells its texts apart: rows that meet by it
+    and are counted by it move once."""
+    return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), key.cast("string"))
+
+
+def _kept_once(docs: DataFrame, row: Column, kept: DataFrame) -> DataFrame:
+    """The rows whose key is in ``kept`` (a column ``__kept``), each key once."""
+    rows = docs.withColumn("__row", row)
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays, once."""
-    kept = exact_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")
-    )
-    rows = docs.withColumn("__sha", F.sha2(ascii_lower(whole_text("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept"))
-    rows = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return rows.drop("__sha")
+    kept = exact_groups(docs).filter("kept").select(_row("doc_id", F.col("text_sha256")).alias("__kept"))
+    return _kept_once(docs, _row("doc_id", F.sha2(ascii_lower(whole_text("text")), 256)), kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays, once; a
     row without an id only where its group has none. Texts without words all stay."""
-    kept = survivors(near_duplicates(docs, WORDS, PERCENT))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
-    rows = docs.withColumn("__key", text_key(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = survivors(near_duplicates(docs, WORDS, PERCENT)).select(_row("doc_id", F.col("text_key")).alias("__kept"))
+    return _kept_once(docs, _row("doc_id", text_key(F.col("text"))), kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
