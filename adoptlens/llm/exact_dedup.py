@@ -1,11 +1,13 @@
 """Exact duplicates by content-defined chunk recipes.
 
-A text is cut where its own content says so: at the first line break or sentence end
-after ``least`` characters, at ``most`` characters in text that has neither. Equal texts
-have equal cuts, and an edit moves only the cuts near it. A chunk's identifier is its
-SHA-256; the distinct chunks are compared byte by byte once, so that one identifier
-stands for one chunk. From then on a document is its recipe, the ordered list of its
-identifiers, and no long text moves again: texts are equal when their recipes are.
+A text is cut where its own bytes say so: one chosen bit of each of ten bytes makes a
+rolling ten-bit hash, and a cut follows where it has a chosen value. The ten are the last
+bytes, every second or every third, so that scripts whose letters share their first bytes
+are cut as well, with or without blanks; at the earliest after ``least`` bytes, at the
+latest after ``most``. Equal texts have equal cuts, and an edit moves only the cuts near it. A chunk's
+identifier is its SHA-256; the distinct chunks are compared byte by byte once, so that one
+identifier stands for one chunk. From then on a document is its recipe, the ordered list of
+its identifiers, and no long text moves again: texts are equal when their recipes are.
 """
 
 from __future__ import annotations
@@ -17,13 +19,27 @@ from adoptlens.session import cut_lineage
 
 from .common import ascii_lower, whole_text
 
-LEAST, MOST = 512, 4096
+LEAST, MOST = 256, 8192
+#: Steps between the bytes that count, and the (bit, value) that each of them must have
+#: before a cut, oldest first.
+STEPS = (1, 2, 3)
+ROLLING = ((0, 1), (0, 0), (1, 1), (0, 1), (0, 0), (0, 0), (2, 1), (0, 1), (1, 0), (0, 1))
+
+
+def _cut_pattern(least: int, most: int) -> str:
+    """The next chunk of a text in hexadecimal digits, two per byte; the chosen bits are
+    those of a byte's second digit."""
+    bits = ["." + "[" + "".join(f"{d:X}" for d in range(16) if d >> bit & 1 == value) + "]" for bit, value in ROLLING]
+    windows = "|".join((".." * (step - 1)).join(bits) for step in STEPS)
+    longest = STEPS[-1] * (len(ROLLING) - 1) + 1
+    return rf"(?:..){{{max(least - len(ROLLING), 0)},{most - longest}}}?(?:{windows})|(?:..){{1,{most}}}"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
-    """The chunks of a text in order; together they are the whole text. None for an empty one."""
-    cut = rf"(?s).{{{least},{most - 1}}}?(?:\n|[.!?] )|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
+    """The chunks of a text in order, as bytes; together they are the whole text. None for
+    an empty one."""
+    pieces = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(_cut_pattern(least, most)), F.lit(0))
+    return F.transform(pieces, F.unhex)
 
 
 def identifier(chunk: Column) -> Column:
