@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing, vector_codes
 from .common import LOWER, UPPER
 
+ROUNDS = 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 EXACT_DEDUP = f"""
@@ -108,7 +109,8 @@ FROM r WHERE score > 0 QUALIFY rank <= 50
 def _mixing() -> str:
     steps, last = [], "w0"
     dims = ", ".join(mixing.DIMENSIONS)
-    for k in range(mixing.ROUNDS * len(mixing.DIMENSIONS)):
+    # as many rounds as the tables need to come within the tolerance
+    for k in range(ROUNDS * len(mixing.DIMENSIONS)):
         d = mixing.DIMENSIONS[k % len(mixing.DIMENSIONS)]
         steps.append(
             f"w{k + 1} AS MATERIALIZED (SELECT {dims}, n, w * share / sum(w) OVER (PARTITION BY {d}) AS w "
@@ -133,8 +135,10 @@ WITH topics AS (
 {marginals},
 w0 AS MATERIALIZED (SELECT {dims}, n, n / sum(n) OVER () AS w FROM cells),
 {",".join(steps)},
+errors AS ({" UNION ALL ".join(f"SELECT max(abs(x / share - 1)) AS e FROM (SELECT {d} AS k, sum(w) AS x FROM {last} GROUP BY 1) s JOIN t_{d} t ON t.{d} IS NOT DISTINCT FROM k" for d in mixing.DIMENSIONS)}),
 chances AS (SELECT {dims}, CASE WHEN n > 0 THEN round((w / n) / max(w / n) OVER (), {mixing.DIGITS}) ELSE 1.0 END AS p FROM {last})
-SELECT doc_id, d.source, d.lang, d.topic, n_tokens, p AS probability, number < p AS kept
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, p AS probability, number < p AS kept,
+  (SELECT max(e) <= {mixing.ON_TARGET!r} FROM errors) AS on_target
 FROM d JOIN chances c ON c.source IS NOT DISTINCT FROM d.source AND c.lang IS NOT DISTINCT FROM d.lang
   AND c.topic IS NOT DISTINCT FROM d.topic
 """

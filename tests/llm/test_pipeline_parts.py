@@ -190,11 +190,37 @@ def test_raking_meets_the_marginals():
     draw = np.random.default_rng(3)
     tokens_, codes = draw.integers(1, 1000, 60).astype(float), [np.arange(60) % 5, np.arange(60) // 5 % 4, np.arange(60) // 20]
     targets = [np.full(5, 0.2), np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.25, 0.25])]
-    weight = mixing.rake(tokens_, codes, targets, rounds=200)
+    weight, error = mixing.rake(tokens_, codes, targets)
+    assert error <= mixing.TOLERANCE
     for code, target in zip(codes, targets):
         assert np.bincount(code, weight) == pytest.approx(target, abs=1e-9)
 
 
+def test_sparse_cells_are_raked_to_the_tolerance():
+    # 20 sources x 20 languages x 4 topics, 15 % of the cells filled
+    draw = np.random.default_rng(11)
+    grid = np.argwhere(draw.random((20, 20, 4)) < 0.15)
+    cells = sorted((f"s{a}", f"l{b}", f"t{c}", int(draw.integers(1, 10_000))) for a, b, c in grid)
+    found = mixing.cell_probabilities(cells, mixing.POWERS)
+    assert all(met for *_, met in found) and max(p for *_, p, _ in found) == 1.0
+    # a category of one cell whose other marginal wants less can't be met
+    torn = [("a", "x", "t", 10), ("b", "y", "t", 10)]
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
+    assert not any(met for *_, met in mixing.cell_probabilities(torn, {}, targets))
+
+
+def test_cells_on_spark_agree_with_the_driver(spark, monkeypatch, edge, empty):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 3)
+    args = (F.col("source"), F.col("lang"), F.col("text").substr(1, 1), mixing.words(F.col("text")), mixing.draw(F.col("doc_id"), F.col("text")))
+    for table, options in ((edge, {"powers": mixing.POWERS}), (edge, {"targets": {"source": {"src0": 0.2, "src1": 0.8}}}), (empty, {})):
+        want = rows(mixing.mix(table.drop("mix"), *args, **options), "doc_id", "mix.probability", "mix.kept", "mix.on_target")
+        with monkeypatch.context() as patch:
+            patch.setattr(mixing, "DRIVER_CELLS", 0)
+            got = rows(mixing.mix(table.drop("mix"), *args, **options), "doc_id", "mix.probability", "mix.kept", "mix.on_target")
+        assert [r[0::2] for r in got] == [r[0::2] for r in want]
+        assert [r[1] for r in got] == pytest.approx([r[1] for r in want], abs=1e-8)
+
+
 def test_sample_follows_the_targets(spark):
     rows_ = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", "big" if i % 10 else "small") for i in range(4000)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")

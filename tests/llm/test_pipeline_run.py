@@ -54,7 +54,7 @@ def mixed(rows):
         return sum(v for k, v in values.items() if k[d] == c)
 
     powers = [mixing.POWERS[d] for d in mixing.DIMENSIONS]
-    for _ in range(mixing.ROUNDS):
+    for _ in range(200):
         for d, power in enumerate(powers):
             kinds = {c[d] for c in natural}
             wanted = {k: share(natural, d, k) ** power for k in kinds}
