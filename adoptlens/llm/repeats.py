@@ -5,18 +5,23 @@ document with a smaller doc_id. So for each suffix only one thing matters: wheth
 longest previous factor, the longest match with a suffix of an earlier document, reaches
 ``least`` bytes. Suffixes that agree on that many bytes are neighbours in suffix order and
 share the smallest hash of their first 16-byte strings, their anchor. The work is therefore
-done in parts, one per range of anchors. No longest-previous-factor array and no previous or
-next smaller values are built; the smallest document of equal strings says as much here:
+done in parts, one per range of anchors:
 
 1. Documents are dealt into splits. Consecutive suffixes with the same anchor form a run.
    Each split sends its distinct anchors; those met in two documents are sent back.
 2. A split sends its distinct runs of such anchors: their bytes and their first document.
-3. A part finds, for each run, the first document of every suffix in it. An anchor with one
-   distinct run needs no sorting; runs are told apart by a 64-bit key. Else the suffixes of
-   its runs are sorted by their first ``least`` bytes, and the smallest document of a
-   stretch of equal ones is the first.
+3. A part puts the suffixes of its runs in order. Between neighbours the longest common
+   prefix is taken; the nearest suffixes before and after in that order whose documents are
+   smaller give the two matches of which the longer is the previous factor. A suffix whose
+   factor reaches ``least`` follows it to the first document of its string. Runs with equal
+   bytes are one run, and an anchor that only one run has needs no order: all its suffixes
+   have the factor that the copies of the run give.
 4. Splits mark what starts in an earlier document and cut it out.
 
+Factors are counted up to ``least`` bytes, which is all the law asks. Runs are named by
+64-bit keys, but no key decides alone: a part compares bytes, a split tells its own runs
+apart by a second key, and runs that differ under one key are left in the text.
+
 A string that a third of all documents share reaches a part once per split, not once per
 document. Texts move once; steps 1, 2 and 4 read the same shuffle.
 """
@@ -57,11 +62,11 @@ RESULT_SQL = (
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the ANCHOR bytes from each position."""
+def anchor_hashes(data: np.ndarray, a: np.uint64 = _A, b: np.uint64 = _B, c: np.uint64 = _C) -> np.ndarray:
+    """The hash of the ANCHOR bytes from each position; other odd numbers, another hash."""
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = words[: len(data) - 15] * _A + words[8:] * _B
-    return (h ^ (h >> np.uint64(32))) * _C
+    h = words[: len(data) - 15] * a + words[8:] * b
+    return (h ^ (h >> np.uint64(32))) * c
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -84,7 +89,7 @@ class Runs:
     """Runs of suffixes with one anchor in the pieces of a buffer.
 
     at: where the first suffix of a run starts; size: its suffixes, no more than a string
-    has anchors; anchor; key: names the bytes of the run.
+    has anchors; anchor; key: names the bytes of the run; check: a second key.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int):
@@ -93,7 +98,7 @@ class Runs:
         long = lengths >= least
         if n <= 0 or not long.any():
             self.at = self.size = np.zeros(0, np.int64)
-            self.anchor = self.key = np.zeros(0, np.uint64)
+            self.anchor = self.key = self.check = np.zeros(0, np.uint64)
             return
         h = anchor_hashes(data)
         width = least - ANCHOR + 1
@@ -111,8 +116,11 @@ class Runs:
         first, size = np.repeat(first, times) + nth * width, np.repeat(size, times) - nth * width
         self.at, self.size = index[first], np.minimum(size, width)
         self.anchor = anchors[first]
-        ends = string_hashes(h, self.at, least) * _A + string_hashes(h, self.at + self.size - 1, least)
+        last = self.at + self.size - 1
+        ends = string_hashes(h, self.at, least) * _A + string_hashes(h, last, least)
         self.key = mix(ends * _B + self.size.astype(np.uint64))
+        other = anchor_hashes(data, _C, _A, _B)
+        self.check = mix(string_hashes(other, self.at, least) * _B + string_hashes(other, last, least))
 
 
 def _pieces(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,13 +222,20 @@ def _meet(table: pa.Table) -> pa.Table:
     )
 
 
+def _new(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where another pair of keys begins in order."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    return new
+
+
 def _send_runs(parts: int, least: int):
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return BLOB.empty_table()
         wanted = np.sort(np.concatenate([_long(b, len(b) // 6) for b in [b"", *shared.column("data").to_pylist()]]))
         ids = _ids(table)
-        anchors, keys, docs, sizes, raws = [], [], [], [], []
+        anchors, keys, checks, docs, sizes, raws = [], [], [], [], [], []
         for data, starts, lengths, row, _ in _pieces(table, least):
             runs = Runs(data, starts, lengths, least)
             short = runs.anchor >> np.uint64(16)
@@ -228,23 +243,23 @@ def _send_runs(parts: int, least: int):
             good = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == short) if len(wanted) else at[:0]
             doc = ids[row[np.searchsorted(starts, runs.at[good], "right") - 1]]
             # the first and the last document of each distinct run of this buffer
-            order = np.lexsort((doc, runs.key[good]))
-            key = runs.key[good][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+            order = np.lexsort((doc, runs.check[good], runs.key[good]))
+            key, check = runs.key[good][order], runs.check[good][order]
+            first = np.flatnonzero(_new(key, check))
             last = np.append(first[1:], len(key)) - 1 if len(key) else order
             rows = good[order[first]]
             anchors.append(runs.anchor[rows])
             keys.append(key[first])
+            checks.append(check[first])
             docs.append(np.stack([doc[order[first]], doc[order[last]]], axis=1).reshape(-1, 2))
             sizes.append(runs.size[rows])
             raw = data.tobytes()
             ends = runs.at[rows] + runs.size[rows] + least - 1
             raws += [raw[a:b] for a, b in zip(runs.at[rows].tolist(), ends.tolist())]
         anchor, key, size = np.concatenate(anchors), np.concatenate(keys), np.concatenate(sizes)
-        doc = np.concatenate(docs)
-        order = np.lexsort((doc[:, 0], key))
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        doc, check = np.concatenate(docs), np.concatenate(checks)
+        order = np.lexsort((doc[:, 0], check, key))
+        first = np.flatnonzero(_new(key[order], check[order]))
         rows = order[first]
         low = doc[rows, 0]
         high = np.maximum.reduceat(doc[order, 1], first) if len(first) else low
@@ -261,27 +276,84 @@ def _send_runs(parts: int, least: int):
     return send
 
 
+def common_prefixes(columns: list[np.ndarray], widths: list[int], order: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix in order shares with the one before it; 0 for the first.
+    ``columns`` hold the bytes, ``widths`` of them in each, the first one highest."""
+    out = np.zeros(len(order), np.int64)
+    equal = np.ones(max(len(order) - 1, 0), bool)
+    for column, width in zip(columns, widths):
+        ranked = column[order]
+        differ = ranked[1:] ^ ranked[:-1]
+        for byte in range(width - 1, -1, -1):
+            here = equal & (differ >> np.uint64(8 * byte) == 0)
+            out[1:] += here
+            if byte == 0:
+                equal = here
+    return out
+
+
+def smaller_before(doc: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it with a smaller document (-1: none), and the
+    bytes that the suffixes of both share. Places skip to where those they meet would go."""
+    place, shared = np.arange(-1, len(doc) - 1), lcp.copy()
+    going = np.flatnonzero((place >= 0) & (doc[place] >= doc))
+    while len(going):
+        met = place[going]
+        shared[going] = np.minimum(shared[going], shared[met])
+        place[going] = place[met]
+        now = place[going]
+        going = going[(now >= 0) & (doc[now] >= doc[going])]
+    shared[place < 0] = 0
+    return place, shared
+
+
+def previous_factors(doc: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length of the longest previous factor of each place in suffix order, and the
+    place of its suffix (itself, where there is none)."""
+    n = len(doc)
+    before, one = smaller_before(doc, lcp)
+    after, two = smaller_before(doc[::-1], np.concatenate([lcp[:1], lcp[:0:-1]]))
+    after, two = n - 1 - after[::-1], two[::-1]
+    length, source = np.maximum(one, two), np.where(one >= two, before, after)
+    return length, np.where(length > 0, source, np.arange(n))
+
+
 def first_documents(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
     """For each suffix (``at`` in ``raw``, of document ``doc``) the first document with a
-    suffix that agrees with it on ``least`` bytes, by suffix order of those bytes."""
-    columns = []
+    suffix that agrees with it on ``least`` bytes: where its previous factors lead."""
+    columns, widths = [], []
     for step in range(0, least, 8):
         keep = min(8, least - step)
         column = np.zeros(len(at), np.uint64)
         for k in range(keep):
             column = (column << np.uint64(8)) | raw[at + step + k]
         columns.append(column)
+        widths.append(keep)
     order = np.lexsort(columns[::-1])
-    differ = np.zeros(len(at), bool)
-    differ[:1] = True
-    for column in columns:
-        ranked = column[order]
-        differ[1:] |= ranked[1:] != ranked[:-1]
-    stretch = np.flatnonzero(differ)
+    ranked = doc[order]
+    length, source = previous_factors(ranked, common_prefixes(columns, widths, order))
+    root = np.where(length >= least, source, np.arange(len(order)))
+    while True:
+        further = root[root]
+        if np.array_equal(further, root):
+            break
+        root = further
     out = np.empty(len(at), np.int64)
-    if len(at):
-        earliest = np.minimum.reduceat(doc[order], stretch)
-        out[order] = np.repeat(earliest, np.diff(np.append(stretch, len(at))))
+    out[order] = ranked[root]
+    return out
+
+
+def _unlike(raw: np.ndarray, at: np.ndarray, length: np.ndarray, other: np.ndarray, some: int = 1 << 16) -> np.ndarray:
+    """Which entries differ in their bytes from entry ``other`` of theirs."""
+    out = length != length[other]
+    left = np.flatnonzero(~out & (other != np.arange(len(at))))
+    for a in range(0, len(left), some):
+        e = left[a : a + some]
+        n = length[e]
+        start = np.cumsum(n) - n
+        nth = np.arange(int(n.sum())) - np.repeat(start, n)
+        differ = raw[np.repeat(at[e], n) + nth] != raw[np.repeat(at[other[e]], n) + nth]
+        out[e] = np.logical_or.reduceat(differ, start)
     return out
 
 
@@ -310,12 +382,12 @@ def _answer(least: int):
         key = mix(ends * _B + size.astype(np.uint64))
         # distinct runs with their first document; of each anchor
         order = np.lexsort((low, key, anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(_new(key[order], anchor[order]))
         run_of = np.empty(len(order), np.int64)
-        run_of[order] = np.cumsum(new) - 1
+        run_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         run = order[first]  # the entry that stands for a distinct run
+        torn = np.zeros(len(run), bool)  # keys of several runs: nothing is told of them
+        torn[run_of[_unlike(raw, at, length, run[run_of])]] = True
         run_doc = low[run]
         again = np.zeros(len(run), bool)
         again[1:] = anchor[run][1:] == anchor[run][:-1]
@@ -335,7 +407,7 @@ def _answer(least: int):
             same[mixed] = lo == hi
             run_doc = run_doc.copy()
             run_doc[mixed] = lo
-        tell = several | (run_doc[run_of] < low)
+        tell = (several | (run_doc[run_of] < low)) & ~torn[run_of]
         out = []
         edges = np.cumsum([0, *counts])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -377,6 +449,11 @@ def _unpack(answers: pa.Table):
     key, count = np.concatenate(keys), np.concatenate(counts)
     start = np.cumsum(count) - count
     order = np.argsort(key, kind="stable")
+    # two answers under one key are answers for two runs
+    ranked = key[order]
+    apart = np.ones(len(ranked) + 1, bool)
+    apart[1:-1] = ranked[1:] != ranked[:-1]
+    order = order[apart[1:] & apart[:-1]]
     return key[order], start[order], count[order], np.concatenate(docs)
 
 
