@@ -7,7 +7,9 @@ last one. Whether it is depends on the k-mer alone, not on its neighbours, so tw
 that share a stretch share its anchors, in the same order. About one k-mer in three is one.
 
 A fingerprint is the list of the distinct anchors of a text, as 32-bit hashes in the order
-in which they first occur. The likeness of two is the Jaccard index of their anchors.
+in which they first occur. Two texts are matched by position: of the anchors that both
+have, taken as the first text has them, those count that the second has in the same order,
+each after the one before it. The likeness is their share of all anchors of both.
 """
 
 from __future__ import annotations
@@ -94,16 +96,49 @@ def _unsigned(h: Column) -> Column:
     return h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard index of the anchors of two texts; 1 for two without any."""
-    x, y = a["hash"], b["hash"]
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+#: Places of an anchor in its fingerprint, below its hash in one number.
+PLACE = 30
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: the likeness of the anchors (a struct with ``hash``) in two columns,
+    from 0 to 1; 1 for two texts without any. Each step is a column of its own.
+
+    Hash, side and place of an anchor make one number, so sorting brings the two places of
+    a shared anchor together; sorted again by the first, the second ones tell the order.
+    """
+    keep, low = df.columns, F.lit((1 << PLACE) - 1)
+
+    def numbers(column: str, side: int) -> Column:
+        base = lambda h: F.shiftleft(_unsigned(h), PLACE + 1)
+        return F.transform(column, lambda h, i: base(h) + F.lit(side << PLACE) + i)
+
+    def neighbours(column: str, with_next) -> Column:
+        n = F.greatest(F.size(column) - 1, F.lit(0))
+        return F.zip_with(_shifted(column, 0, n), _shifted(column, 1, n), with_next)
+
+    step = df.withColumns({"__x": F.array_distinct(F.col(f"{a}.hash")), "__y": F.array_distinct(F.col(f"{b}.hash"))})
+    step = step.withColumn("__both", F.sort_array(F.concat(numbers("__x", 0), numbers("__y", 1))))
+
+    def met(one: Column, two: Column) -> Column:
+        same = F.shiftright(one, PLACE + 1) == F.shiftright(two, PLACE + 1)
+        return F.when(same, F.shiftleft(one.bitwiseAND(low), PLACE) + two.bitwiseAND(low))
+
+    step = step.withColumn("__met", F.sort_array(F.array_compact(neighbours("__both", met))))
+    after = neighbours("__met", lambda one, two: one.bitwiseAND(low) < two.bitwiseAND(low))
+    step = step.withColumn("__after", after)
+    in_order = F.size(F.filter("__after", lambda x: x)) + F.least(F.size("__met"), F.lit(1))
+    union = F.size("__x") + F.size("__y") - F.size("__met")
+    return step.select(*keep, F.when(union == 0, F.lit(1.0)).otherwise(in_order / union).alias(out))
+
+
+#: Ranges of ids per task; they are dealt by hash, and this many even out.
+RANGES = 8
 
 
 def _edges(documents: DataFrame) -> list[float]:
-    """Where to cut the ids into about one range per task, from the ids alone."""
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Where to cut the ids into RANGES ranges per task, from the ids alone."""
+    n = RANGES * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = documents.select(F.col("doc_id").cast("double").alias("doc_id"))
     shares = [k / n for k in range(1, n)]
     return sorted(set(ids.approxQuantile("doc_id", shares, min(0.01, 0.25 / n)))) if shares else []
@@ -114,8 +149,8 @@ def with_next(documents: DataFrame, order_text: str, carried: list[str]) -> Data
     doc_id; the first row follows the last.
 
     Rows are dealt out by ranges of doc_id. A range also gets a copy of the row that its
-    successor begins with. The driver sees the edges and one id per range, no more than
-    there are tasks. Rows that share a doc_id, and those without one, which come last, are
+    successor begins with. The driver sees the edges and one id per range, RANGES for
+    each task. Rows that share a doc_id, and those without one, which come last, are
     ordered by ``order_text``.
     """
     edges = _edges(documents)

@@ -10,7 +10,7 @@ from adoptlens.session import cut_lineage, shared_dir
 from . import mixing, sharding, sql, warc
 from .common import table, whole_text
 from .exact_dedup import exact_groups
-from .fingerprints import fingerprint, fingerprints, likeness
+from .fingerprints import fingerprint, fingerprints, with_likeness
 from .language import held_out, learn, predict
 from .lexical import build_index, search
 from .lines import drop_lines
@@ -23,15 +23,16 @@ from .vector_codes import codebooks_sha256, vector_codes, with_label_error
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprints(table(spark, sf_dir, "documents"))
+    rows = fingerprints(table(spark, sf_dir, "documents")).withColumn("following", F.struct("next.anchors.hash"))
+    rows = with_likeness(with_likeness(rows, "anchors", "edited_anchors", "near_edited"), "anchors", "following", "near_next")
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("anchors")).alias("fingerprint"),
         fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
@@ -75,7 +76,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(
         rows, F.col("source"), F.col("lang"), F.col("__topic"), F.col("n"), F.col("number"), mixing.POWERS
     )
-    return found.select("doc_id", "source", "lang", "mix.topic", F.col("n").alias("n_tokens"), "mix.probability", "mix.kept")
+    return found.select("doc_id", "source", "lang", "mix.topic", F.col("n").alias("n_tokens"), "mix.probability", "mix.kept", "mix.on_target")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,9 +134,14 @@ def syncmers(text, k=7, s=2):
     return out
 
 
-def jaccard(a, b):
-    a, b = set(a), set(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
+def in_order(a, b):
+    """Of the anchors in both lists, in the order of the first, the share of all that the
+    second has after the one before."""
+    x, y = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    places = [y.index(h) for h in x if h in y]
+    good = sum(1 for k, p in enumerate(places) if k == 0 or p > places[k - 1])
+    union = len({*x, *y})
+    return good / union if union else 1.0
 
 
 def exact(rows):

@@ -4,7 +4,9 @@ import hashlib
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,10 +66,26 @@ def test_fingerprint_query_columns(spark, tmp_path):
     assert out[7]["fingerprint"] == "" and out[6]["n_chars"] == 0
     assert out[6]["edited_sha256"] == hashlib.sha256(b"").hexdigest()
     following = [h for _, h in plain.syncmers(texts[12])]
-    assert out[13]["near_next"] == pytest.approx(plain.jaccard(anchors, following))
+    assert out[13]["near_next"] == pytest.approx(plain.in_order(anchors, following))
     assert all(0 <= r["near_edited"] <= 1 for r in out.values())
 
 
+def test_likeness_is_that_of_plain_python(spark):
+    base = plain.sentence(40, 60).split()
+    moved = base[30:] + base[:30]
+    texts = [" ".join(base), " ".join(moved), " ".join(base[:40]), " ".join(reversed(base)), "", "one two", plain.sentence(41, 30) * 2]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y")
+    found = fingerprints.with_likeness(df, "x", "y", "likeness").collect()
+    for r in found:
+        one, two = ([h for _, h in plain.syncmers(t)] for t in (r["a"], r["b"]))
+        assert r["likeness"] == pytest.approx(plain.in_order(one, two))
+    told = {(r["a"], r["b"]): r["likeness"] for r in found}
+    assert all(told[t, t] == 1.0 for t in texts)
+    assert 0.5 < told[texts[0], texts[1]] < 1.0 and told[texts[0], ""] == 0.0
+
+
 def test_fingerprints_of_odd_and_empty_tables(odd, empty):
     assert fingerprints.fingerprints(empty).count() == 0
     found = fingerprints.fingerprints(odd).collect()
@@ -139,6 +157,42 @@ def test_first_documents_agree_with_pairs(texts, least):
     assert found.tolist() == [min(d for d, s in zip(doc.tolist(), strings) if s == mine) for mine in strings]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=8, max_size=8), st.integers(0, 5)), max_size=40))
+def test_previous_factors_agree_with_every_pair(suffixes):
+    suffixes = sorted(suffixes, key=lambda x: x[0])
+    common = lambda a, b: next((k for k in range(8) if a[k] != b[k]), 8)
+    columns = [np.array([int.from_bytes(t[k : k + n].encode()) for t, _ in suffixes], np.uint64) for k, n in ((0, 5), (5, 3))]
+    lcp = repeats.common_prefixes(columns, [5, 3], np.arange(len(suffixes)))
+    assert lcp.tolist() == [common(suffixes[k - 1][0], t) if k else 0 for k, (t, _) in enumerate(suffixes)]
+    doc = np.array([d for _, d in suffixes], dtype=np.int64)
+    length, source = repeats.previous_factors(doc, lcp)
+    for k, (text, d) in enumerate(suffixes):
+        assert length[k] == max([common(text, t) for t, e in suffixes if e < d], default=0)
+        if length[k]:
+            assert doc[source[k]] < d and common(suffixes[source[k]][0], text) == length[k]
+
+
+def test_runs_under_one_key_are_told_apart(spark, monkeypatch):
+    text = [plain.sentence(k, 60) for k in range(70, 76)]
+    docs = [(k, a + "\n" + b) for k, (a, b) in enumerate([(text[0], text[1]), (text[2], text[0]), (text[3], text[3]), (text[1], text[4])])]
+    want = plain.repeats(docs)
+    assert sum(r[2] for r in want) > 500
+    raw = np.frombuffer(b"abcabcabdabc", np.uint8)
+    at, length = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    assert repeats._unlike(raw, at, length, np.zeros(4, np.int64)).tolist() == [False, False, True, True]
+    # with one key for all runs nothing is removed, and nothing wrong is
+    monkeypatch.setattr(repeats, "_unlike", lambda raw, at, length, other: np.ones(len(at), bool))
+    table = pa.Table.from_arrays(
+        [pa.array([0]), pa.array([0]), pa.array([np.array([1], "<i8").tobytes() + np.array([5], "<i8").tobytes()
+         + np.array([3], "<u2").tobytes() + zstandard.compress(b"x" * 50)])], names=["part", "split", "data"],
+    )
+    told = repeats._answer(50)(table).column("data")[0].as_py()
+    assert np.frombuffer(told, "<i8", 2).tolist() == [0, 0]
+    monkeypatch.undo()
+    same(removed(plain.frame(spark, docs)), want)
+
+
 # exact duplicates
 
 
@@ -152,8 +206,36 @@ def test_exact_groups(edge, empty, odd):
 
 
 def test_chunks_make_up_the_text(edge):
-    joined = F.array_join(exact_dedup.chunks(F.col("text"), 16, 64), "")
-    assert edge.filter(F.col("text").isNotNull() & (joined != F.col("text"))).count() == 0
+    parts = exact_dedup.chunks(F.col("text"), 16, 64)
+    for r in edge.filter("text is not null").select("text", parts.alias("parts")).collect():
+        assert b"".join(map(bytes, r["parts"])).decode() == r["text"]
+        assert all(len(p) <= 64 for p in r["parts"]) and all(len(p) >= 16 for p in r["parts"][:-1] if len(p) < 64)
+
+
+def test_an_edit_moves_only_the_cuts_near_it(spark):
+    random = np.random.default_rng(7)
+    alphabets = [
+        [chr(c) for c in range(0x4E00, 0x9FA5)], [chr(c) for c in range(0xE01, 0xE3B)], list("0123456789abcdef"), list("ACGT"),
+        list("etaoin shrdlu"), [chr(c) for c in range(0x430, 0x450)],
+    ]
+    pairs = []
+    for letters in alphabets:
+        text = "".join(random.choice(letters, 60_000))
+        for at in random.integers(0, len(text), 6):
+            pairs.append((text, text[:at] + "x" + text[at:]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    changed = []
+    for r in df.select(exact_dedup.chunks(F.col("a")).alias("a"), exact_dedup.chunks(F.col("b")).alias("b")).collect():
+        one, two = [bytes(x) for x in r["a"]], [bytes(x) for x in r["b"]]
+        changed.append(len(set(two) - set(one)))
+        assert 20 < len(one) and 256 <= sum(map(len, one)) / len(one) <= 4096
+    assert max(changed) <= 3 and np.mean(changed) < 2
+
+
+def test_very_long_text_without_a_cut(spark):
+    df = spark.range(1).select(F.expr("repeat('a', int(3000000 + id))").alias("t"))
+    sizes = df.select(F.transform(exact_dedup.chunks(F.col("t")), F.octet_length).alias("n")).first()["n"]
+    assert sum(sizes) == 3_000_000 and max(sizes) == exact_dedup.MOST
 
 
 def test_one_identifier_for_two_chunks_is_an_error(edge, monkeypatch):
