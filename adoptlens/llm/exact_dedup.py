@@ -27,19 +27,19 @@ ROLLING = ((0, 1), (0, 0), (1, 1), (0, 1), (0, 0), (0, 0), (2, 1), (0, 1), (1, 0
 
 
 def _cut_pattern(least: int, most: int) -> str:
-    """The next chunk of a text in hexadecimal digits, two per byte; the chosen bits are
-    those of a byte's second digit."""
-    bits = ["." + "[" + "".join(f"{d:X}" for d in range(16) if d >> bit & 1 == value) + "]" for bit, value in ROLLING]
-    windows = "|".join((".." * (step - 1)).join(bits) for step in STEPS)
+    """The next chunk of a text with one character per byte."""
+    bits = ["[" + "".join(f"\\x{c:02X}" for c in range(256) if c >> bit & 1 == value) + "]" for bit, value in ROLLING]
+    windows = "|".join(("." * (step - 1)).join(bits) for step in STEPS)
     longest = STEPS[-1] * (len(ROLLING) - 1) + 1
-    return rf"(?:..){{{max(least - len(ROLLING), 0)},{most - longest}}}?(?:{windows})|(?:..){{1,{most}}}"
+    return rf"(?s).{{{max(least - len(ROLLING), 0)},{most - longest}}}?(?:{windows})|.{{1,{most}}}"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """The chunks of a text in order, as bytes; together they are the whole text. None for
     an empty one."""
-    pieces = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(_cut_pattern(least, most)), F.lit(0))
-    return F.transform(pieces, F.unhex)
+    latin = F.decode(text.cast("binary"), "ISO-8859-1")
+    pieces = F.regexp_extract_all(latin, F.lit(_cut_pattern(least, most)), F.lit(0))
+    return F.transform(pieces, lambda piece: F.encode(piece, "ISO-8859-1"))
 
 
 def identifier(chunk: Column) -> Column:
