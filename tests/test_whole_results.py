@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from adoptlens.functions.arrays import with_running_sums
-from adoptlens.operators import adoption, chunking, corpus, intervals, metrics
+from adoptlens.operators import adoption, chunking, corpus, expectations, intervals, metrics, scoring
 from adoptlens.operators.metrics import Measure, Metric
 from adoptlens.operators.passages import passage_occurrences, passage_spans
 from adoptlens.operators.ranking import global_rank, running_total
@@ -143,6 +143,25 @@ def test_every_place_of_every_passage_is_masked(spark):
     assert passage_occurrences(none, docs).count() == 0
 
 
+def test_failed_queries_are_rows(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, " \n\x1c"), (3, "-- .. !"), (4, "")], "document_id long, text string")
+    tasks = [("a", 1, "words"), ("b", 1, "?!"), ("c", 2, "words"), ("d", 3, "words"), ("e", 9, "words"), ("f", 4, "words"), ("g", 1, None)]
+    tasks = spark.createDataFrame(tasks, "case_id string, document_id long, query string")
+    got = {r["case_id"]: (r["status"], r["error_type"]) for r in scoring.retrieval_states(tasks, docs).collect()}
+    empty, error = ("error", "empty_document"), "error"
+    assert got == {
+        "a": ("ok", None), "b": (error, "invalid_query"), "c": empty, "d": (error, "empty_vocabulary"),
+        "e": (error, "unknown_document"), "f": empty, "g": (error, "invalid_query"),
+    }
+
+
+def test_an_unknown_value_meets_no_expectation(spark):
+    names = [r[0] for r in expectations.RANGES]
+    values = [(names[0], 20.9), (names[1], 2.0), (names[3], 12.0), (names[10], None), (names[12], 0.75), (names[16], 0.0)]
+    got = {r["check"]: r["ok"] for r in expectations.judged(spark.createDataFrame(values, "check string, value double")).collect()}
+    assert [got[n] for n, _ in values] == [True, True, False, False, False, True]
+
+
 def test_a_short_stratum_is_an_error(spark):
     docs = spark.createDataFrame([(i, "p", "w " * i) for i in range(1, 9)], "document_id long, partition string, text string")
     assert corpus.stratified_select(docs, {"p": [1, 1, 1, 1]}, "s").count() == 4
