@@ -2,10 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from adoptlens.plans import telemetry as plans
 from adoptlens.streaming import windows
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_window_percentile_is_exact_beyond_a_sketch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
@@ -27,3 +31,9 @@ def test_window_percentile_is_exact_beyond_a_sketch(spark, tmp_path):
     assert as_dict(windows.windowed_percentile(df, by=["tool_id"]).collect()) == want
     got = as_dict(windows.run_available(windows.windowed_percentile(stream, by=["tool_id"]), "exact").collect())
     assert got and all(want[k] == v for k, v in got.items())
+
+
+@pytest.mark.parametrize("name", ["ingest_conflicts", "review_revisions"])
+def test_lines_are_parsed_once(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
