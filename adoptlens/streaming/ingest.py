@@ -29,6 +29,8 @@ LEDGER_SCHEMA = (
 )
 QUARANTINE_SCHEMA = "event_json string, rules string, batch bigint"
 LEDGER_PARTS = 16
+#: Lines of a refused batch for each of the folders, up to one per bucket, that hold them.
+LINES_PER_PIECE = 10_000
 
 
 def names_of(schema: str) -> list[str]:
@@ -115,7 +117,10 @@ class EventStore:
             else:
                 lines = batch.select("event_json", F.array_join("violations", ",").alias("rules"))
                 lines = lines.withColumn("batch", F.lit(key).cast("long"))
-                state = state.added("quarantine", self.tables.stage(lines, "quarantine", F.lit(part)))
+                # a refused batch may be as large as any other: its lines go to many tasks
+                pieces = min(buckets, total // LINES_PER_PIECE + 1)
+                held = self.tables.stage(lines, "quarantine", bucket(F.col("event_json"), pieces))
+                state = state.added("quarantine", held)
             status = "success" if error is None else "failed"
             entry = spark.range(1).select(
                 F.lit(batch_id).cast("long").alias("sequence"),

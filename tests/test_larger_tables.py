@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from adoptlens.functions.events import parse_events, validate_events
 from adoptlens.plans import telemetry as plans
-from adoptlens.streaming import windows
+from adoptlens.streaming import ingest, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,16 @@ def test_window_percentile_is_exact_beyond_a_sketch(spark, tmp_path):
 def test_lines_are_parsed_once(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan
+
+
+def test_a_refused_batch_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "LINES_PER_PIECE", 20, raising=False)
+    store = ingest.EventStore(str(tmp_path / "store"), buckets=8)
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(400)
+    checked = validate_events(parse_events(plans.event_lines(events.withColumn("event_id", -1 - F.col("event_id")))))
+    checked = checked.withColumn("violations", F.array(F.lit("invalid_event")))
+    assert store.ingest(checked, 0) == "failed"
+    assert len(store.tables.state(spark).tables["quarantine"]) == 8
+    lines = {r["event_json"] for r in checked.select("event_json").collect()}
+    assert {r["event_json"] for r in store.quarantine(spark).collect()} == lines
+    assert store.ingest(checked, 0) == "failed" and store.quarantine(spark).count() == 400
