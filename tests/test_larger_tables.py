@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adoptlens.functions.events import parse_events, validate_events
-from adoptlens.operators import monitor
+from adoptlens.operators import monitor, passages
 from adoptlens.plans import telemetry as plans
 from adoptlens.streaming import ingest, windows
 
@@ -59,3 +59,13 @@ def test_a_refused_batch_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     lines = {r["event_json"] for r in checked.select("event_json").collect()}
     assert {r["event_json"] for r in store.quarantine(spark).collect()} == lines
     assert store.ingest(checked, 0) == "failed" and store.quarantine(spark).count() == 400
+
+
+def test_word_runs_are_compiled(spark):
+    docs = spark.createDataFrame([(1, "a b  c d e f")], "document_id long, text string")
+    words = F.split("text", r"\s+").alias("__words")
+    runs = passages._grams(docs.select("document_id", words), 4)
+    assert "lambda" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    asked = spark.createDataFrame([(7, "b  c d"), (8, "d e f"), (9, "c d  e"), (10, "f")], "item_id long, text string")
+    got = {(r["item_id"], r["start"]) for r in passages.passage_occurrences(asked, docs).collect()}
+    assert got == {(7, 2), (8, 7), (10, 11)}
