@@ -74,15 +74,10 @@ def sentence_units(docs: DataFrame, doc: str = "document_id", text: str = "text"
         F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda s: F.length(s) > 0),
         F.length,
     )
-    pieces = docs.select(doc, F.posexplode(lengths).alias("__pos", "__n"))
-    order = (
-        Window.partitionBy(doc)
-        .orderBy("__pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return pieces.withColumn("end", F.sum("__n").over(order)).select(
-        doc, (F.col("end") - F.col("__n")).alias("start"), "end"
-    )
+    # sums inside the row: no unit moves or is sorted
+    ends = with_running_sums(docs.select(doc, text), lengths, F.lit(0), "__at")
+    unit = F.arrays_zip(F.slice("__at", F.lit(1), F.size("__at") - 1).alias("start"), F.slice("__at", F.lit(2), F.size("__at") - 1).alias("end"))
+    return ends.select(doc, F.inline(unit).alias("start", "end")).select(doc, F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 def unit_violations(
