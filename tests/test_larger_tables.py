@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adoptlens.functions.events import parse_events, validate_events
-from adoptlens.operators import monitor, passages
+from adoptlens.operators import bm25, chunking, monitor, passages
 from adoptlens.plans import telemetry as plans
 from adoptlens.streaming import ingest, windows
 
@@ -69,3 +69,18 @@ def test_word_runs_are_compiled(spark):
     asked = spark.createDataFrame([(7, "b  c d"), (8, "d e f"), (9, "c d  e"), (10, "f")], "item_id long, text string")
     got = {(r["item_id"], r["start"]) for r in passages.passage_occurrences(asked, docs).collect()}
     assert got == {(7, 2), (8, 7), (10, 11)}
+
+
+def test_sentences_are_not_sorted(spark):
+    docs = spark.createDataFrame([(1, "One. Two!\nThree"), (2, "")], "document_id long, text string")
+    units = chunking.sentence_units(docs)
+    assert "Window" not in units._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in units.collect()) == [(1, 0, 5), (1, 5, 10), (1, 10, 15)]
+
+
+def test_terms_are_put_back_by_compiled_steps(spark):
+    listed = spark.createDataFrame([(1, ["cats", "a", "cats", "b"]), (2, [])], "document_id long, tokens array<string>")
+    term_map = spark.createDataFrame([("cats", "cat"), ("a", "a"), ("b", None)], "raw string, norm string")
+    out = bm25.normalize_terms(listed, ["document_id"], term_map)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["document_id"]: r["tokens"] for r in out.collect()} == {1: ["cat", "a", "cat", "b"], 2: []}
