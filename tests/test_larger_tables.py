@@ -84,3 +84,12 @@ def test_terms_are_put_back_by_compiled_steps(spark):
     out = bm25.normalize_terms(listed, ["document_id"], term_map)
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["document_id"]: r["tokens"] for r in out.collect()} == {1: ["cat", "a", "cat", "b"], 2: []}
+
+
+def test_keys_in_the_usual_order_are_not_sorted_by_a_function(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 20")
+    checked = validate_events(parse_events(plans.event_lines(events, faults=False)))
+    assert "array_sort" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    turned = plans.event_lines(events, faults=False).select(F.regexp_replace("value", r'^\{("schema_version":1),(.*)\}$', r"{$2,$1}").alias("value"))
+    for lines in (plans.event_lines(events, faults=False), turned):
+        assert validate_events(parse_events(lines)).where("size(violations) > 0").count() == 0
