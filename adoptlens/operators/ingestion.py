@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IDENTITY = ("source_id", "data_origin", "run_kind", "trace_id")
@@ -53,6 +53,58 @@ def provenance_violations(incoming: DataFrame, stored: DataFrame | None = None)
     )
 
 
+def _pair(*columns: str) -> list[Column]:
+    """128 bits of the values as two numbers; null is a value of its own."""
+    told = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
+    return [F.xxhash64(*told), F.xxhash64(F.lit(1), *told)]
+
+
+def _differ(*names: str) -> Column:
+    """Whether a group has two values of a pair of numbers."""
+    apart = F.lit(False)
+    for n in names:
+        apart = apart | (F.min(n) != F.max(n))
+    return apart
+
+
+def event_counts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: ids of a batch that are not stored, and ids that may have different content.
+
+    Ids and contents are hashes here, so that little moves. Ids that share a hash differ in
+    content, so without a suspect the counts are those of the ids themselves.
+    """
+    def narrow(df: DataFrame, is_new: bool) -> DataFrame:
+        a, b = _pair("payload_hash")
+        return df.select(F.xxhash64("event_id").alias("key"), a.alias("a"), b.alias("b"), F.lit(is_new).alias("is_new"))
+
+    by_id = narrow(incoming, True).unionByName(narrow(stored, False)).groupBy("key").agg(
+        F.max("is_new").alias("is_new"), F.min("is_new").alias("is_fresh"), _differ("a", "b").alias("apart")
+    )
+    return by_id.where("is_new").agg(
+        F.count(F.when(F.col("is_fresh"), 1)).alias("fresh"),
+        F.count(F.when(F.col("apart"), 1)).alias("suspects"),
+    )
+
+
+def request_suspects(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Hashes of the requests of a batch whose provenance may not be the same everywhere,
+    and of their revisions that may have different event ids. Without one there is no such
+    request; with one the exact checks decide."""
+    def suspects(key: list[str], told: list[str]) -> DataFrame:
+        a, b = _pair(*told)
+        both = [
+            df.where(F.col("request_id").isNotNull()).select(
+                _pair(*key)[0].alias("key"), a.alias("a"), b.alias("b"), F.lit(is_new).alias("is_new")
+            )
+            for df, is_new in ((incoming, True), (stored, False))
+        ]
+        found = both[0].unionByName(both[1]).groupBy("key").agg(F.max("is_new").alias("is_new"), _differ("a", "b").alias("apart"))
+        return found.where("is_new AND apart").select("key")
+
+    by_revision = suspects(["request_id", "event_type", "revision"], ["event_id"])
+    return by_revision.unionByName(suspects(["request_id"], list(IDENTITY)))
+
+
 def dedupe_events(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One row per new event id. Copies are equal after the conflict check, so which
     one is kept does not matter."""

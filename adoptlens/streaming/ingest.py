@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.events import PAYLOAD_TYPE, parse_events, validate_events
-from ..sources.published import Published, State
-from ..operators.ingestion import dedupe_events, ingest_conflicts, provenance_violations
+from ..sources.published import PART, Published, State
+from ..operators.ingestion import event_counts, ingest_conflicts, provenance_violations, request_suspects
 
 LOG_SCHEMA = (
     "event_json string, payload_hash string, schema_version int, event_id string, "
@@ -31,6 +31,8 @@ QUARANTINE_SCHEMA = "event_json string, rules string, batch bigint"
 LEDGER_PARTS = 16
 #: Lines of a refused batch for each of the folders, up to one per bucket, that hold them.
 LINES_PER_PIECE = 10_000
+#: Lines of a batch and a bucket that one task sorts; a bucket with more goes to several.
+LINES_PER_TASK = 100_000
 
 
 def names_of(schema: str) -> list[str]:
@@ -86,7 +88,9 @@ class EventStore:
         started = spark.range(1).select(F.current_timestamp()).head()[0]
         state = self.tables.state(spark)
         buckets = state.settings.get("buckets", self.buckets)
-        batch = validated.persist(StorageLevel.MEMORY_AND_DISK)
+        # payloads are parsed again where they are stored: a line is shorter than its fields
+        batch = validated.select("event_json", *names_of(IDENTITY_SCHEMA), "violations")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             request = F.when(F.col("request_id").isNotNull(), bucket(F.col("request_id"), buckets))
             total, content, *touched = batch.agg(
@@ -100,21 +104,20 @@ class EventStore:
             done = self.tables.read(spark, "ledger", LEDGER_SCHEMA, [part], state).where(F.col("batch") == key).head(1)
             if done:
                 return done[0]["status"]
-            same_event, same_request = self.related(batch, *touched, state)
-            error = self._error(batch, same_event, same_request)
-            inserted = 0
-            if error is None:
-                fresh = dedupe_events(batch, same_event).withColumn("batch", F.lit(key).cast("long"))
+            error, inserted, plain = self._judged(batch, *touched, total, state)
+            if error is None and inserted:
+                lines = self._fresh_lines(batch, touched[0], None if plain else state, buckets, total)
+                fresh = parse_events(lines, "event_json").withColumn("batch", F.lit(key).cast("long"))
                 log = self.tables.stage(
-                    fresh.select(*names_of(LOG_SCHEMA)), "event_log", bucket(F.col("event_id"), buckets), sort=("event_type", "event_id")
-                )
+                    fresh.select(*names_of(LOG_SCHEMA)), "event_log", bucket(F.col("event_id"), buckets),
+                    sort=("event_type", "event_id"), placed=True,
+                )
                 state = state.added("event_log", log)
                 added = self._staged(spark, log).select(*names_of(IDENTITY_SCHEMA))
-                inserted = added.count()
                 added = added.where(F.col("request_id").isNotNull())
                 named = self.tables.stage(added, "request_events", bucket(F.col("request_id"), buckets), sort=("request_id",))
                 state = state.added("request_events", named)
-            else:
+            elif error is not None:
                 lines = batch.select("event_json", F.array_join("violations", ",").alias("rules"))
                 lines = lines.withColumn("batch", F.lit(key).cast("long"))
                 # a refused batch may be as large as any other: its lines go to many tasks
@@ -148,15 +151,50 @@ class EventStore:
     def _staged(self, spark: SparkSession, folders: dict[str, list[tuple[int, str]]]) -> DataFrame:
         return self.tables.read(spark, "staged", LOG_SCHEMA, state=State(tables={"staged": folders}))
 
-    def _error(self, batch: DataFrame, same_event: DataFrame, same_request: DataFrame) -> str | None:
+    def _judged(self, batch: DataFrame, events: list[int], requests: list[int], total: int, state: State) -> tuple[str | None, int, bool]:
+        """What is wrong with a batch; without an error how many events it adds, and whether
+        these are all its lines. Hashes tell whether there is anything that the exact checks
+        have to look at."""
+        spark = batch.sparkSession
         if not batch.where(F.size("violations") > 0).isEmpty():
-            return "invalid_event"
-        stored = same_event.unionByName(same_request).dropDuplicates(["event_id", "payload_hash"])
-        if not ingest_conflicts(batch, stored).isEmpty():
-            return "identity_conflict"
-        if not provenance_violations(batch, same_request).isEmpty():
-            return "provenance_changed"
-        return None
+            return "invalid_event", 0, False
+        stored = self.tables.read(spark, "event_log", LOG_SCHEMA, map(str, events), state)
+        named = self.tables.read(spark, "request_events", IDENTITY_SCHEMA, map(str, requests), state)
+        fresh, suspects = event_counts(batch, stored).head()
+        if suspects or not request_suspects(batch, named).isEmpty():
+            same_event, same_request = self.related(batch, events, requests, state)
+            both = same_event.unionByName(same_request).dropDuplicates(["event_id", "payload_hash"])
+            if not ingest_conflicts(batch, both).isEmpty():
+                return "identity_conflict", 0, False
+            if not provenance_violations(batch, same_request).isEmpty():
+                return "provenance_changed", 0, False
+        if suspects:
+            # different ids share a hash
+            fresh = batch.select("event_id").distinct().count() - same_event.select("event_id").distinct().count()
+        return None, fresh, fresh == total
+
+    def _fresh_lines(self, batch: DataFrame, events: list[int], state: State | None, buckets: int, total: int) -> DataFrame:
+        """The lines of a batch that ``state`` does not hold, each event once, in the tasks
+        that write its bucket; all lines without a state. A line moves once. Copies are equal
+        after the conflict check, so which one is kept does not matter."""
+        pieces = total // (buckets * LINES_PER_TASK) + 1
+        # other bits than those of the bucket
+        piece = F.pmod(F.xxhash64(F.lit(1), "event_id"), F.lit(pieces))
+        where = {PART: bucket(F.col("event_id"), buckets).cast("string"), "__piece": piece}
+
+        def placed(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumns(where)
+            return rows.repartition(PART) if pieces == 1 else rows.repartition(pieces * buckets, PART, "__piece")
+
+        lines = batch.select("event_id", "event_json", F.lit(False).alias("known"))
+        if state is None:
+            return placed(lines.select("event_id", "event_json"))
+        stored = self.tables.read(batch.sparkSession, "event_log", LOG_SCHEMA, map(str, events), state)
+        known = stored.select("event_id", F.lit(None).cast("string").alias("event_json"), F.lit(True).alias("known"))
+        one = placed(lines.unionByName(known)).groupBy(PART, "__piece", "event_id").agg(
+            F.max("known").alias("known"), F.max("event_json").alias("event_json")
+        )
+        return one.where(~F.col("known"))
 
 
 def ingest_stream(lines: DataFrame, store: EventStore, checkpoint: str, once: bool = True):

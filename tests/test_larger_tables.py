@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adoptlens.functions.events import parse_events, validate_events
-from adoptlens.operators import bm25, chunking, monitor, passages
+from adoptlens.operators import bm25, chunking, ingestion, monitor, passages
 from adoptlens.plans import telemetry as plans
 from adoptlens.streaming import ingest, windows
 
@@ -93,3 +93,40 @@ def test_keys_in_the_usual_order_are_not_sorted_by_a_function(spark):
     turned = plans.event_lines(events, faults=False).select(F.regexp_replace("value", r'^\{("schema_version":1),(.*)\}$', r"{$2,$1}").alias("value"))
     for lines in (plans.event_lines(events, faults=False), turned):
         assert validate_events(parse_events(lines)).where("size(violations) > 0").count() == 0
+
+
+def test_a_line_moves_once_into_the_event_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "LINES_PER_TASK", 10, raising=False)
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 400")
+    checked = validate_events(parse_events(plans.event_lines(events, faults=False)))
+    staged, stage = [], ingest.Published.stage
+
+    def watched(self, rows, table, *args, **more):
+        if table == "event_log":
+            staged.append(rows._jdf.queryExecution().executedPlan().toString() if more.get("placed") else "moved later")
+        return stage(self, rows, table, *args, **more)
+
+    monkeypatch.setattr(ingest.Published, "stage", watched)
+    store = ingest.EventStore(str(tmp_path / "store"), buckets=4)
+    half = checked.where("conv(substr(event_id, 1, 1), 16, 10) < 8")
+    for number, batch in enumerate((half, half.unionByName(checked), checked, checked.limit(300))):
+        assert store.ingest(batch, number) == "success"
+    # the payload is not among what moves, and a batch without a new event moves none of it
+    assert len(staged) == 2 and all(plan.count("Exchange hashpartitioning") == 1 for plan in staged)
+    want = {r["event_id"]: r for r in checked.select(*ingest.names_of(ingest.LOG_SCHEMA)[:-1]).collect()}
+    got = store.log(spark).drop("batch").select(*ingest.names_of(ingest.LOG_SCHEMA)[:-1]).collect()
+    assert len(got) == len(want) == 400 and {r["event_id"]: r for r in got} == want
+    found = [r["inserted_count"] for r in store.ledger(spark).orderBy("sequence").collect()]
+    assert found == [half.count(), 400 - half.count(), 0, 0]
+
+
+def test_ids_that_share_a_hash_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingestion, "_pair", lambda *columns: [F.lit(1).cast("long"), F.xxhash64(*columns)])
+    store = ingest.EventStore(str(tmp_path / "store"), buckets=4)
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 60")
+    checked = validate_events(parse_events(plans.event_lines(events, faults=False)))
+    real = ingestion.event_counts
+    monkeypatch.setattr(ingest, "event_counts", lambda new, old: real(new.withColumn("event_id", F.lit("x")), old.withColumn("event_id", F.lit("x"))))
+    half = checked.where("conv(substr(event_id, 1, 1), 16, 10) < 8")
+    assert store.ingest(half, 0) == "success" and store.ingest(checked, 1) == "success"
+    assert store.log(spark).select("event_id").distinct().count() == store.log(spark).count() == 60
