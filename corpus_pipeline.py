@@ -60,12 +60,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics meet their target weights.
     ``lang`` is the language given or, without one, found."""
-    rows = mixing.with_topic(docs, table(spark, sf_dir, "labels"))
+    # weights and draws are taken before labels are joined: what the cells need moves without texts
+    weighed = docs.withColumns({"__tokens": mixing.words(F.col("text")), "__draw": mixing.draw(F.col("doc_id"), F.col("text"))})
+    rows = mixing.with_topic(weighed, table(spark, sf_dir, "labels"))
     rows = mixing.mix(
         rows.withColumnRenamed("mix", "__own") if "mix" in docs.columns else rows,
-        F.col("source"), F.col("lang"), F.col("__topic"), mixing.words(F.col("text")),
-        mixing.draw(F.col("doc_id"), F.col("text")), mixing.POWERS,
-    ).filter("mix.kept").drop("mix", "__topic")
+        F.col("source"), F.col("lang"), F.col("__topic"), F.col("__tokens"), F.col("__draw"), mixing.POWERS,
+    ).filter("mix.kept").drop("mix", "__topic", "__tokens", "__draw")
     return rows.withColumnRenamed("__own", "mix").select(*docs.columns)
 
 

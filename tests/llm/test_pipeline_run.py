@@ -139,3 +139,20 @@ def test_near_stage_keeps_one_row_of_each_group(spark):
 def test_run_of_an_empty_table(spark, tmp_path):
     _, found = run(spark, tmp_path, [])
     assert found == {name: [] for name, _ in corpus_pipeline.STAGES}
+
+
+def test_weights_of_the_mix_move_without_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen, mix = plain.frame(spark, plain.odd_rows()), [], mixing.mix
+
+    def watched(rows, source, lang, topic, weight, *more):
+        cells = rows.groupBy(source, lang, topic).agg(F.sum(weight))
+        seen.append(cells._jdf.queryExecution().optimizedPlan().toString())
+        return mix(rows, source, lang, topic, weight, *more)
+
+    monkeypatch.setattr(mixing, "mix", watched)
+    found = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    (plan,) = seen
+    joined = plan.index("Join LeftOuter")
+    assert "text" not in plan[:joined] and "text" in plan[joined:]
