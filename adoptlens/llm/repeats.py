@@ -7,10 +7,13 @@ longest previous factor, the longest match with a suffix of an earlier document,
 share the smallest hash of their first 16-byte strings, their anchor. The work is therefore
 done in parts, one per range of anchors:
 
-1. Documents are dealt into splits. Consecutive suffixes with the same anchor form a run.
-   Each split sends its distinct anchors; those met in two documents are sent back.
-2. A split sends its distinct runs of such anchors: their bytes and their first document.
-3. A part puts the suffixes of its runs in order. Between neighbours the longest common
+1. Documents are dealt into splits. Consecutive suffixes with their anchor at the same place
+   form a run. A string reaches far beyond its anchor on one side at least, so each split
+   sends its distinct anchors once with the bytes before and once with those after them;
+   the longer strings met in two documents are sent back. Sixteen bytes alone meet by
+   chance, and the more so the larger the corpus is.
+2. A split sends its distinct runs with such a side: their bytes and their first document.
+3. A part puts the suffixes of its runs in order; strings whose hash no other has are left out. Between neighbours the longest common
    prefix is taken; the nearest suffixes before and after in that order whose documents are
    smaller give the two matches of which the longer is the previous factor. A suffix whose
    factor reaches ``least`` follows it to the first document of its string. Runs with equal
@@ -41,8 +44,10 @@ from .common import groups_for, whole_text
 from .shingles import mix
 
 LEAST = 50
-#: Bytes of an anchor.
-ANCHOR = 16
+#: Bytes of an anchor, and those beside it that a side of it has at most.
+ANCHOR = SIDE = 16
+#: Of an anchor's hash these bits decide; in the others a minimum carries its place.
+PLACE = np.uint64((1 << 24) - 1)
 #: Text bytes of a split, and bytes that are worked on together.
 SPLIT_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Stands for a null doc_id, smaller than every other.
@@ -86,23 +91,26 @@ def string_hashes(h: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of suffixes with one anchor in the pieces of a buffer.
+    """Runs of suffixes with their anchor at one place in the pieces of a buffer.
 
-    at: where the first suffix of a run starts; size: its suffixes, no more than a string
-    has anchors; anchor; key: names the bytes of the run; check: a second key.
+    at: where the first suffix of a run starts; size: its suffixes; anchor: the bits of the
+    anchor's hash that decide; place: where the anchor is.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int):
         n = len(data) - least + 1
         edge = np.zeros(max(n, 0) + 1, np.int32)
         long = lengths >= least
+        self.data, self.least = data, least
         if n <= 0 or not long.any():
-            self.at = self.size = np.zeros(0, np.int64)
-            self.anchor = self.key = self.check = np.zeros(0, np.uint64)
+            self.at = self.size = self.place = np.zeros(0, np.int64)
+            self.anchor = np.zeros(0, np.uint64)
+            self.h = np.zeros(0, np.uint64)
             return
-        h = anchor_hashes(data)
-        width = least - ANCHOR + 1
-        least_of = sliding_min(h, width)
+        self.h = h = anchor_hashes(data)
+        assert len(h) <= int(PLACE)
+        # of equal anchors in a string the first one counts
+        least_of = sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), least - ANCHOR + 1)
         edge[starts[long]] += 1
         edge[starts[long] + lengths[long] - least + 1] -= 1
         index = np.flatnonzero(np.cumsum(edge[:-1]))
@@ -110,17 +118,37 @@ class Runs:
         new = np.ones(len(index), bool)
         new[1:] = (anchors[1:] != anchors[:-1]) | (index[1:] != index[:-1] + 1)
         first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(index)))
-        times = -(-size // width)  # repetitive text has longer runs; they are cut
-        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        first, size = np.repeat(first, times) + nth * width, np.repeat(size, times) - nth * width
-        self.at, self.size = index[first], np.minimum(size, width)
-        self.anchor = anchors[first]
-        last = self.at + self.size - 1
-        ends = string_hashes(h, self.at, least) * _A + string_hashes(h, last, least)
-        self.key = mix(ends * _B + self.size.astype(np.uint64))
-        other = anchor_hashes(data, _C, _A, _B)
-        self.check = mix(string_hashes(other, self.at, least) * _B + string_hashes(other, last, least))
+        self.at, self.size = index[first], np.diff(np.append(first, len(index)))
+        self.anchor, self.place = anchors[first] & ~PLACE, (anchors[first] & PLACE).astype(np.int64)
+
+    def keys(self, rows=slice(None)) -> np.ndarray:
+        """What names the bytes of each run."""
+        at, size = self.at[rows], self.size[rows]
+        return run_keys(self.h, at, size, self.least)
+
+    def checks(self, rows=slice(None)) -> np.ndarray:
+        """A second key."""
+        at, last = self.at[rows], self.at[rows] + self.size[rows] - 1
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        other = anchor_hashes(self.data, _C, _A, _B)
+        return mix(string_hashes(other, at, self.least) * _B + string_hashes(other, last, self.least))
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchors with the bytes before and with those after them; where no
+        string of a run reaches as far on one side, both are that of the other side."""
+        reach = min(SIDE, -(-(self.least - ANCHOR) // 2))
+        before = self.place - self.at >= reach
+        after = self.at + self.size - 1 + self.least - self.place - ANCHOR >= reach
+        here = self.h[self.place]
+        left = mix(here * _A + self.h[np.where(before, self.place - reach, self.place)])
+        right = mix(here * _C + self.h[np.where(after, self.place + reach, self.place)] + _B)
+        return np.where(before, left, right), np.where(after, right, left)
+
+
+def run_keys(h: np.ndarray, at: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    ends = string_hashes(h, at, least) * _A + string_hashes(h, at + size - 1, least)
+    return mix(ends * _B + size.astype(np.uint64))
 
 
 def _pieces(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,53 +197,57 @@ def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
     return (mix(anchor) % np.uint64(parts)).astype(np.int64)
 
 
-def _short(anchor: np.ndarray) -> bytes:
-    """Anchors without their last 16 bits. Two that only these tell apart pass for one, and
-    step 3 finds that their strings differ."""
-    high = (anchor >> np.uint64(32)).astype("<u4").tobytes()
-    return high + ((anchor >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+def _short(side: np.ndarray) -> np.ndarray:
+    """What tells the sides of one part apart. Two with equal bits pass for one, and step 3
+    finds that their strings differ."""
+    return (side >> np.uint64(32)).astype("<u4")
 
 
-def _long(data: bytes, n: int) -> np.ndarray:
-    high = np.frombuffer(data, "<u4", n).astype(np.uint64)
-    return (high << np.uint64(16)) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64)
-
-
-def _send_anchors(parts: int, least: int):
+def _send_sides(parts: int, least: int):
     def send(table: pa.Table) -> pa.Table:
-        ids, found, docs = _ids(table), [], []
+        ids, found, docs = _ids(table), [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+
+        def once(side: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each side with the first and the last of its documents."""
+            order = np.argsort(side, kind="stable")
+            side, doc = side[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]])) if len(side) else order
+            if not len(first):
+                return side, doc
+            low, high = np.minimum.reduceat(doc[:, 0], first), np.maximum.reduceat(doc[:, 1], first)
+            return side[first], np.stack([low, high], axis=1)
+
         for data, starts, lengths, row, _ in _pieces(table, least):
             runs = Runs(data, starts, lengths, least)
-            found.append(runs.anchor)
-            docs.append(ids[row[np.searchsorted(starts, runs.at, "right") - 1]])
-        anchor, doc = np.concatenate(found), np.concatenate(docs)
-        order = np.argsort(anchor, kind="stable")
-        anchor, doc = anchor[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else order
-        anchor = anchor[first]
-        several = np.zeros(0, bool)
-        if len(first):
-            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        pack = lambda rows: _short(anchor[rows]) + several[rows].astype(np.uint8).tobytes()
-        return _blobs(_part(anchor, parts), table.column("split")[0].as_py(), pack)
+            doc = ids[row[np.searchsorted(starts, runs.at, "right") - 1]]
+            side, of = once(np.concatenate(runs.sides()), np.tile(np.stack([doc, doc], axis=1), (2, 1)))
+            found.append(side)
+            docs.append(of)
+        side, doc = once(np.concatenate(found), np.concatenate(docs))
+        several = doc[:, 0] != doc[:, 1]
+        pack = lambda rows: _short(side[rows]).tobytes() + np.packbits(several[rows]).tobytes()
+        part = (side % np.uint64(parts)).astype(np.int64)
+        return _blobs(part, table.column("split")[0].as_py(), pack)
 
     return send
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Which anchors of a part are met in two documents, for each split that has them."""
+    """Which sides of a part are met in two documents, for each split that has them."""
     splits, blobs = table.column("split").to_pylist(), table.column("data").to_pylist()
-    counts = np.array([len(b) // 7 for b in blobs], dtype=np.int64)
-    anchor = np.concatenate([_long(b, n) for b, n in zip(blobs, counts.tolist())])
-    several = np.concatenate([np.frombuffer(b, np.uint8, n, 6 * n) for b, n in zip(blobs, counts)])
-    order = np.argsort(anchor, kind="stable")
-    ranked = anchor[order]
+    counts = np.array([len(b) * 8 // 33 for b in blobs], dtype=np.int64)
+    side = np.concatenate([np.frombuffer(b, "<u4", n) for b, n in zip(blobs, counts.tolist())])
+    several = np.concatenate(
+        [np.unpackbits(np.frombuffer(b, np.uint8, offset=4 * n), count=n) for b, n in zip(blobs, counts.tolist())]
+    )
+    order = np.argsort(side, kind="stable")
+    ranked = side[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     size = np.diff(np.append(first, len(ranked)))
-    shared = np.empty(len(anchor), bool)
+    shared = np.empty(len(side), bool)
     shared[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], first) > 0), size)
     edges = np.cumsum(counts)
-    out = [_short(a[s] << np.uint64(16)) for a, s in zip(np.split(anchor, edges[:-1]), np.split(shared, edges[:-1]))]
+    out = [a[s].tobytes() for a, s in zip(np.split(side, edges[:-1]), np.split(shared, edges[:-1]))]
     return pa.Table.from_arrays(
         [table.column("part").combine_chunks().cast(pa.int64()), pa.array(splits, pa.int64()), pa.array(out, pa.binary())],
         schema=BLOB,
@@ -233,18 +265,27 @@ def _send_runs(parts: int, least: int):
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return BLOB.empty_table()
-        wanted = np.sort(np.concatenate([_long(b, len(b) // 6) for b in [b"", *shared.column("data").to_pylist()]]))
+        high = shared.column("part").to_numpy().astype(np.uint64) << np.uint64(32)
+        met = [np.frombuffer(b, "<u4").astype(np.uint64) | part for part, b in zip(high, shared.column("data").to_pylist())]
+        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *met]))
+
+        def is_met(side: np.ndarray) -> np.ndarray:
+            if not len(wanted):
+                return np.zeros(len(side), bool)
+            named = ((side % np.uint64(parts)) << np.uint64(32)) | _short(side)
+            return wanted[np.minimum(np.searchsorted(wanted, named), len(wanted) - 1)] == named
+
         ids = _ids(table)
         anchors, keys, checks, docs, sizes, raws = [], [], [], [], [], []
         for data, starts, lengths, row, _ in _pieces(table, least):
             runs = Runs(data, starts, lengths, least)
-            short = runs.anchor >> np.uint64(16)
-            at = np.searchsorted(wanted, short)
-            good = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == short) if len(wanted) else at[:0]
+            before, after = runs.sides()
+            good = np.flatnonzero(is_met(before) | is_met(after))
+            key, check = runs.keys(good), runs.checks(good)
             doc = ids[row[np.searchsorted(starts, runs.at[good], "right") - 1]]
             # the first and the last document of each distinct run of this buffer
-            order = np.lexsort((doc, runs.check[good], runs.key[good]))
-            key, check = runs.key[good][order], runs.check[good][order]
+            order = np.lexsort((doc, check, key))
+            key, check = key[order], check[order]
             first = np.flatnonzero(_new(key, check))
             last = np.append(first[1:], len(key)) - 1 if len(key) else order
             rows = good[order[first]]
@@ -322,12 +363,11 @@ def first_documents(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, least: int
     """For each suffix (``at`` in ``raw``, of document ``doc``) the first document with a
     suffix that agrees with it on ``least`` bytes: where its previous factors lead."""
     columns, widths = [], []
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
     for step in range(0, least, 8):
         keep = min(8, least - step)
-        column = np.zeros(len(at), np.uint64)
-        for k in range(keep):
-            column = (column << np.uint64(8)) | raw[at + step + k]
-        columns.append(column)
+        columns.append(words[at + step].astype(np.uint64) >> np.uint64(64 - 8 * keep))
         widths.append(keep)
     order = np.lexsort(columns[::-1])
     ranked = doc[order]
@@ -343,6 +383,18 @@ def first_documents(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, least: int
     return out
 
 
+def _shared(h: np.ndarray, at: np.ndarray, least: int, some: int = 1 << 18) -> np.ndarray:
+    """Which suffixes have a string whose hash another one has. Equal strings have equal
+    hashes, so the others agree with none on ``least`` bytes."""
+    named = [string_hashes(h, at[a : a + some], least) for a in range(0, len(at), some)]
+    named = np.concatenate([np.zeros(0, np.uint64), *named])
+    order = np.argsort(named)
+    same = named[order[1:]] == named[order[:-1]]
+    found = np.zeros(len(at), bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
+    return found
+
+
 def _unlike(raw: np.ndarray, at: np.ndarray, length: np.ndarray, other: np.ndarray, some: int = 1 << 16) -> np.ndarray:
     """Which entries differ in their bytes from entry ``other`` of theirs."""
     out = length != length[other]
@@ -373,13 +425,11 @@ def _answer(least: int):
         at = np.cumsum(length) - length
         h = anchor_hashes(raw)
         anchor = np.empty(len(at), np.uint64)
-        ends = np.empty(len(at), np.uint64)
+        key = np.empty(len(at), np.uint64)
         for a in range(0, len(at), 1 << 16):
             some = at[a : a + (1 << 16)]
-            anchor[a : a + (1 << 16)] = np.min([h[some + k] for k in range(least - ANCHOR + 1)], axis=0)
-            last = some + size[a : a + (1 << 16)] - 1
-            ends[a : a + (1 << 16)] = string_hashes(h, some, least) * _A + string_hashes(h, last, least)
-        key = mix(ends * _B + size.astype(np.uint64))
+            anchor[a : a + (1 << 16)] = np.min([h[some + k] for k in range(least - ANCHOR + 1)], axis=0) & ~PLACE
+            key[a : a + (1 << 16)] = run_keys(h, some, size[a : a + (1 << 16)], least)
         # distinct runs with their first document; of each anchor
         order = np.lexsort((low, key, anchor))
         first = np.flatnonzero(_new(key[order], anchor[order]))
@@ -399,7 +449,9 @@ def _answer(least: int):
         base[mixed] = np.cumsum(times) - times
         nth = np.arange(int(times.sum())) - np.repeat(base[mixed], times)
         suffix = np.repeat(at[run[mixed]], times) + nth
-        earliest = first_documents(raw, suffix, np.repeat(run_doc[mixed], times), least)
+        earliest = np.repeat(run_doc[mixed], times)
+        met = np.flatnonzero(_shared(h, suffix, least))
+        earliest[met] = first_documents(raw, suffix[met], earliest[met], least)
         # a run whose suffixes all have the same answer is as good as one without others
         same = np.ones(len(run), bool)
         if len(mixed):
@@ -468,8 +520,9 @@ def _cut_out(least: int, with_kept: bool):
             if not len(key):
                 break
             runs = Runs(data, starts, lengths, least)
-            at = np.minimum(np.searchsorted(key, runs.key), len(key) - 1)
-            hit = np.flatnonzero(key[at] == runs.key)
+            named = runs.keys()
+            at = np.minimum(np.searchsorted(key, named), len(key) - 1)
+            hit = np.flatnonzero(key[at] == named)
             at = at[hit]
             n = runs.size[hit]
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -539,8 +592,8 @@ def remove_repeats(
     n = groups_for(spark, total, SPLIT_BYTES)
     split = F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n))
     texts = texts.withColumn("split", split).repartition(n, "split")
-    anchors = texts.groupBy("split").applyInArrow(_send_anchors(n, least), BLOB_SQL)
-    shared = anchors.groupBy("part").applyInArrow(_meet, BLOB_SQL)
+    sides = texts.groupBy("split").applyInArrow(_send_sides(n, least), BLOB_SQL)
+    shared = sides.groupBy("part").applyInArrow(_meet, BLOB_SQL)
     runs = (
         texts.groupBy("split").cogroup(shared.groupBy("split")).applyInArrow(_send_runs(n, least), BLOB_SQL)
     )

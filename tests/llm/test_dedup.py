@@ -193,6 +193,63 @@ def test_runs_under_one_key_are_told_apart(spark, monkeypatch):
     same(removed(plain.frame(spark, docs)), want)
 
 
+def in_steps(docs, least, splits=2):
+    """The steps of op2 without Spark: removed bytes by row, and the runs that were sent."""
+    deal = [docs[k::splits] for k in range(splits)]
+    tables = [
+        pa.table({
+            "doc_id": pa.array([d for d, _ in rows], pa.int64()),
+            "raw": pa.array([t.encode() for _, t in rows], pa.binary()),
+            "split": pa.array([k] * len(rows), pa.int64()),
+        })
+        for k, rows in enumerate(deal)
+    ]
+
+    def dealt(blobs, by):
+        blobs = pa.concat_tables([repeats.BLOB.empty_table(), *blobs])
+        return [blobs.filter(pa.array([x == k for x in blobs.column(by).to_pylist()], pa.bool_())) for k in range(splits)]
+
+    sides = [repeats._send_sides(splits, least)(t) for t in tables if t.num_rows]
+    shared = dealt([repeats._meet(b) for b in dealt(sides, "part") if b.num_rows], "split")
+    runs = [repeats._send_runs(splits, least)(t, s) for t, s in zip(tables, shared)]
+    answers = dealt([repeats._answer(least)(b) for b in dealt(runs, "part") if b.num_rows], "split")
+    out = [repeats._cut_out(least, False)(t, a) for t, a in zip(tables, answers)]
+    sent = sum(int(np.frombuffer(b, "<i8", 1)[0]) for r in runs for b in r.column("data").to_pylist())
+    return sorted(zip(*[pa.concat_tables(out).column(c).to_pylist() for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")])), sent
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.lists(st.one_of(st.text("ab", max_size=120), st.text("a", max_size=120), st.text("abcdefgh", max_size=40).map(lambda t: t * 4)), max_size=6),
+    st.sampled_from([17, 18, 33, 50, 64]),
+)
+def test_repeats_in_repetitive_texts(texts, least):
+    docs = list(enumerate([*texts, *(t[3:70] for t in texts)]))
+    same(in_steps(docs, least)[0], plain.repeats(docs, least))
+
+
+def test_short_strings_that_meet_by_chance_are_not_sent():
+    phrase = "of the other one in the"
+    far = [(k, plain.sentence(2 * k, 12) + phrase + plain.sentence(2 * k + 1, 12)) for k in range(300, 308)]
+    found, sent = in_steps(far, 50)
+    assert sent == 0 and all(r[2] == 0 for r in found)
+    # one more word on each side, and a string is long enough
+    near = [(k, t.replace(phrase, f"some more words {phrase} and so on again")) for k, t in far]
+    found, sent = in_steps(near, 50)
+    assert sent > 0 and [r[2] > 0 for r in found] == [False] + [True] * 7
+
+
+def test_only_suffixes_with_a_shared_string_are_ordered(monkeypatch):
+    ordered = []
+    first = repeats.first_documents
+    monkeypatch.setattr(repeats, "first_documents", lambda raw, at, *rest: ordered.append(len(at)) or first(raw, at, *rest))
+    common = plain.sentence(310, 9)[:50]
+    docs = [(k, plain.sentence(320 + k, 12) + common + plain.sentence(340 + k, 12)) for k in range(4)]
+    same(in_steps(docs, 50)[0], plain.repeats(docs))
+    # a string of 50 bytes in four documents, and a few that chance adds at its ends
+    assert 0 < sum(ordered) < 40
+
+
 # exact duplicates
 
 
