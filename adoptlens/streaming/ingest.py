@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +32,8 @@ LEDGER_PARTS = 16
 LINES_PER_PIECE = 10_000
 #: Lines of a batch and a bucket that one task sorts; a bucket with more goes to several.
 LINES_PER_TASK = 100_000
+#: How a batch is held while it is judged: a task holds one row group, however large its input is.
+HELD = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
 def names_of(schema: str) -> list[str]:
@@ -88,10 +89,12 @@ class EventStore:
         started = spark.range(1).select(F.current_timestamp()).head()[0]
         state = self.tables.state(spark)
         buckets = state.settings.get("buckets", self.buckets)
-        # payloads are parsed again where they are stored: a line is shorter than its fields
-        batch = validated.select("event_json", *names_of(IDENTITY_SCHEMA), "violations")
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # payloads are parsed again where they are stored: a line is shorter than its fields.
+        # Read several times, so written and not cached: lines of one task may be gigabytes
+        rows = validated.select("event_json", *names_of(IDENTITY_SCHEMA), "violations")
+        held = self.tables.hold(rows, **HELD)
         try:
+            batch = spark.read.schema(rows.schema).parquet(held)
             request = F.when(F.col("request_id").isNotNull(), bucket(F.col("request_id"), buckets))
             total, content, *touched = batch.agg(
                 F.count(F.lit(1)),
@@ -122,8 +125,8 @@ class EventStore:
                 lines = lines.withColumn("batch", F.lit(key).cast("long"))
                 # a refused batch may be as large as any other: its lines go to many tasks
                 pieces = min(buckets, total // LINES_PER_PIECE + 1)
-                held = self.tables.stage(lines, "quarantine", bucket(F.col("event_json"), pieces))
-                state = state.added("quarantine", held)
+                refused = self.tables.stage(lines, "quarantine", bucket(F.col("event_json"), pieces))
+                state = state.added("quarantine", refused)
             status = "success" if error is None else "failed"
             entry = spark.range(1).select(
                 F.lit(batch_id).cast("long").alias("sequence"),
@@ -138,7 +141,7 @@ class EventStore:
             state = state.added("ledger", self.tables.stage(entry, "ledger", F.lit(part)))
             self.tables.publish(spark, replace(state, settings={"buckets": buckets}))
         finally:
-            batch.unpersist()
+            self.tables.let_go(spark, held)
         self.compact(spark)
         return status
 

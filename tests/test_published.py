@@ -139,3 +139,24 @@ def test_conflicts_are_found_in_joined_folders(spark, tmp_path, monkeypatch):
     assert kept.ingest(lines(spark, [request("other", "r1")]), 9) == "failed"
     assert kept.ingest(lines(spark, [beat("h0"), request("e1", "r1"), beat("new")]), 10) == "success"
     assert kept.log(spark).count() == 11
+
+
+def test_a_batch_is_held_in_files_and_not_in_memory(spark, tmp_path, monkeypatch):
+    kept, seen = ingest.EventStore(str(tmp_path / "store"), buckets=2), []
+    judged = ingest.EventStore._judged
+
+    def watched(self, batch, *rest):
+        level = batch.storageLevel
+        seen.append((level.useMemory, level.useDisk, len(batch.inputFiles()) > 0, batch.count()))
+        return judged(self, batch, *rest)
+
+    monkeypatch.setattr(ingest.EventStore, "_judged", watched)
+    assert kept.ingest(lines(spark, [beat("a"), request("e1", "r1")]), 0) == "success"
+    assert kept.ingest(lines(spark, ["torn line", beat("b")]), 1) == "failed"
+    assert seen == [(False, False, True, 2)] * 2
+    assert kept.log(spark).count() == 2 and kept.quarantine(spark).count() == 2
+    # nothing of it stays behind, and a job that died leaves it to vacuum
+    data = tmp_path / "store" / "data"
+    assert not list(data.glob("held-*"))
+    kept.tables.hold(spark.range(2))
+    assert kept.tables.vacuum(spark) == 1 and kept.log(spark).count() == 2
