@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from adoptlens.functions.arrays import with_running_sums
-from adoptlens.operators import adoption, chunking, corpus, expectations, intervals, metrics, scoring
+from adoptlens.operators import adoption, chunking, corpus, diagnostics, expectations, intervals, metrics, scoring
 from adoptlens.operators.metrics import Measure, Metric
 from adoptlens.operators.passages import passage_occurrences, passage_spans
 from adoptlens.operators.ranking import global_rank, running_total
@@ -192,3 +192,40 @@ def test_windows_of_a_long_text(spark):
     starts = [0] + [text.index(f"w{i} ") if i < 19_999 else text.index(f"w{i}") for i in range(step, 20_000, step)][: len(got) - 1]
     assert [r["start"] for r in got] == starts
     assert got[-1]["end"] == len(text) and all(text[r["start"] : r["end"]] == r["chunk_text"] for r in got)
+
+
+def _diagnosed(spark):
+    """Case x finds half of its region, case y has no answer."""
+    docs = spark.createDataFrame([(1, "aaaa bbbb cccc dddd")], "document_id int, text string")
+    tasks = [("x", 1, "c1", "bbbb zzz"), ("y", 1, "c2", "eeee")]
+    tasks = spark.createDataFrame(tasks, "case_id string, document_id int, category string, query string")
+    gold = spark.createDataFrame([("x", 5, 9), ("x", 9, 14)], "case_id string, start long, end long")
+    spans = "case_id string, rank int, start long, end long"
+    ranked = spark.createDataFrame([("x", 1, 0, 9), ("x", 2, 10, 19), ("y", 1, 0, 9)], spans)
+    context = spark.createDataFrame([("x", 1, 0, 9), ("y", 1, 0, 9)], spans)
+    return gold, context, ranked, tasks, docs, 9
+
+
+def _operators(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_regions_are_settled_before_they_are_joined(spark):
+    found = diagnostics.region_diagnostics(*_diagnosed(spark))
+    (r,) = [x.asDict() for x in found.collect()]
+    assert r == {
+        "case_id": "x", "start": 5, "end": 14, "covered_characters": 4, "best_overlapping_chunk_rank": 1, "query_terms_in_region": ["bbbb"],
+        "missing_fragments": 1, "missing_characters": 5, "shares_reached_window_boundary": True,
+    }
+    # a plan that holds every union of intervals has hundreds, and planning it fills the driver
+    assert _operators(found) < 40
+
+
+def test_case_features_are_counted_over_settled_cases(spark):
+    cases = diagnostics.case_diagnostics(*_diagnosed(spark))
+    assert _operators(cases) < 60
+    (x, y) = [r.asDict() for r in cases.orderBy("case_id").collect()]
+    assert (x["gold_characters"], x["missing_gold_characters"], x["missing_in_budget_cut"], x["incomplete_regions"]) == (9, 5, 0, 1)
+    assert (y["is_answerable"], y["context_characters"], y["gold_regions"]) == (False, 9, 0)
+    (r,) = diagnostics.failure_features(cases).collect()
+    assert tuple(r) == (2, 1, 1, 0, 0, 0, 1, 1, 0, 1)
